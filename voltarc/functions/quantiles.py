@@ -10,12 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 4000
 
 
+def array_quantile(ordered: Column, prob: float) -> Column:
+    """Linearly interpolated quantile of an ascending array (interpolated from the nearer end)."""
+    rank = F.lit(prob) * (F.size(ordered) - 1)
+    low = F.get(ordered, F.floor(rank).cast("int"))
+    high = F.get(ordered, F.ceil(rank).cast("int"))
+    part = rank - F.floor(rank)
+    return F.when(part >= 0.5, high - (high - low) * (F.lit(1.0) - part)).otherwise(
+        low + (high - low) * part)
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Mapping[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """One row per group: ``n`` non-null values and one column per entry of ``probs``."""
@@ -32,13 +42,17 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         F.count(F.lit(1)).alias("n"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", bounds, accuracy).alias("_b"))
-    spans = sketch.select(*groups, "n", F.posexplode(F.array(*[
+    # a small group is enumerated whole: the slack would be less than a few ranks
+    small = F.col("n") <= accuracy
+    spans = sketch.select(*groups, "n", F.explode(F.array(*[
         F.struct(
             F.lit(name).alias("prob"),
             (F.lit(probs[name]) * (F.col("n") - 1)).alias("rank"),
-            (F.col("_min") if probs[name] - slack <= 0 else F.col("_b")[2 * i]).alias("lo"),
-            (F.col("_max") if probs[name] + slack >= 1 else F.col("_b")[2 * i + 1]).alias("hi"))
-        for i, name in enumerate(names)])).alias("_i", "_s")).select(*groups, "n", "_s.*")
+            F.when(small | F.lit(probs[name] - slack <= 0), F.col("_min"))
+            .otherwise(F.col("_b")[2 * i]).alias("lo"),
+            F.when(small | F.lit(probs[name] + slack >= 1), F.col("_max"))
+            .otherwise(F.col("_b")[2 * i + 1]).alias("hi"))
+        for i, name in enumerate(names)])).alias("_s")).select(*groups, "n", "_s.*")
 
     # pass 2: values below the span are only counted; values inside are counted one by one
     within = (data.join(spans.select(*groups, "prob", "lo", "hi"), groups)

@@ -10,7 +10,11 @@ from voltarc.functions import fixed, ordered
 from voltarc.functions.quantiles import group_quantiles
 
 CYCLE = ["cell_id", "cycleNumber"]
-IN_CYCLE = Window.partitionBy(*CYCLE).orderBy("time_s", "sample_id")
+
+
+def in_cycle():
+    return Window.partitionBy(*CYCLE).orderBy("time_s", "sample_id")
+
 FLIGHT_CODES = [4, 5, 6]
 
 
@@ -20,7 +24,7 @@ def with_power(samples: DataFrame) -> DataFrame:
 
 def with_spacing(samples: DataFrame) -> DataFrame:
     """``dt``: seconds since the previous sample of the cycle, first 0, never negative."""
-    gap = F.col("time_s") - F.lag("time_s").over(IN_CYCLE)
+    gap = F.col("time_s") - F.lag("time_s").over(in_cycle())
     return samples.withColumn("dt", F.greatest(F.coalesce(gap, F.lit(0.0)), F.lit(0.0)))
 
 
@@ -62,8 +66,8 @@ def cycle_facts(samples: DataFrame) -> DataFrame:
     """All per-cycle sums in one pass over the samples; both current directions are kept."""
     t, v, i, q = F.col("time_s"), F.col("Ecell_V"), F.col("I_mA"), F.col("QDischarge_mA_h")
     work = with_power(with_spacing(samples)).withColumns({
-        "_jump": F.abs(v - F.lag(v).over(IN_CYCLE)),
-        "_up": F.coalesce(q - F.lag(q).over(IN_CYCLE) > 0, F.lit(False))})
+        "_jump": F.abs(v - F.lag(v).over(in_cycle())),
+        "_up": F.coalesce(q - F.lag(q).over(in_cycle()) > 0, F.lit(False))})
     code = F.col("Ns")
     place = F.struct("time_s", "sample_id")
     energy = {name: (F.max(source) if source in samples.columns else F.lit(None).cast("double"))
@@ -234,19 +238,27 @@ def with_anomalies(cycles: DataFrame, facts: DataFrame | None = None) -> DataFra
             .withColumn("any_anomaly", F.col("anomaly_score") > 0).drop("_typical"))
 
 
-def rejected_cells(telemetry: DataFrame, cycles: DataFrame, tests: DataFrame) -> DataFrame:
-    """``(cell_id, reason)`` for cells a later stage cannot use: each rule is a set operation."""
-    cells = telemetry.select("cell_id").distinct()
-    no_summary = cells.join(cycles.select("cell_id").distinct(), "cell_id", "left_anti")
-    no_test = cells.join(
-        tests.where(F.col("is_capacity_test")).select("cell_id").distinct(), "cell_id",
-        "left_anti")
-    # a required column that is entirely missing in a cell
-    empties = telemetry.groupBy("cell_id").agg(*[
-        F.count(c).alias(c) for c in fixed.REQUIRED_RAW])
-    names = F.filter(F.array(*[F.when(F.col(c) == 0, F.lit(f"no values in {c}"))
-                               for c in fixed.REQUIRED_RAW]), lambda x: x.isNotNull())
-    empty = empties.select("cell_id", F.explode(names).alias("reason"))
-    return (no_summary.withColumn("reason", F.lit("no cycle summary"))
-            .unionByName(no_test.withColumn("reason", F.lit("no capacity test")))
-            .unionByName(empty))
+def cell_checks(telemetry: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Can later stages use a cell? ``reason`` is NULL when they can.
+
+    Cells without cycle rows are found by the left join; the rest are counts per cell.
+    """
+    raw = telemetry.groupBy("cell_id").agg(
+        F.count(F.lit(1)).alias("n_samples"), *[F.count(c).alias(c) for c in fixed.REQUIRED_RAW])
+    table = cycles.groupBy("cell_id").agg(
+        F.count(F.lit(1)).alias("_cycles"),
+        F.count_if("is_capacity_test").alias("_tests"))
+    empty = F.concat_ws(" ", *[F.when(F.col(c) == 0, F.lit(c)) for c in fixed.REQUIRED_RAW])
+    checks = raw.join(table, "cell_id", "left")
+    return checks.select(
+        "cell_id", "n_samples", F.coalesce("_cycles", F.lit(0)).alias("n_cycles"),
+        F.coalesce("_tests", F.lit(0)).alias("n_capacity_tests"),
+        F.when(F.length(empty) > 0, F.concat(F.lit("no values in "), empty))
+        .when(F.col("_cycles").isNull(), "no cycle summary")
+        .when(F.col("_tests") == 0, "no capacity test").alias("reason"))
+
+
+def rejected_cells(telemetry: DataFrame, cycles: DataFrame) -> DataFrame:
+    """``(cell_id, reason)`` of the cells to skip."""
+    return cell_checks(telemetry, cycles).where(F.col("reason").isNotNull()).select(
+        "cell_id", "reason")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltarc.functions import columns as C
 from voltarc.functions import fixed, ordered
-from voltarc.operators.cycles import CYCLE, IN_CYCLE
+from voltarc.operators.cycles import CYCLE, in_cycle
 
 
 def initial_capacity(cycles: DataFrame, tests: int = 3) -> DataFrame:
@@ -74,8 +74,8 @@ def with_soc(samples: DataFrame, cycles: DataFrame) -> DataFrame:
     needed = cycles.select(*CYCLE, "SOH_pct", "initial_capacity_mAh", "discharge_sign")
     cap = F.when(F.col("initial_capacity_mAh") > 0,
                  F.col("SOH_pct") / F.lit(100.0) * F.col("initial_capacity_mAh"))
-    upto = IN_CYCLE.rowsBetween(Window.unboundedPreceding, 0)
-    hours = (F.col("time_s") - F.coalesce(F.lag("time_s").over(IN_CYCLE), F.col("time_s"))
+    upto = in_cycle().rowsBetween(Window.unboundedPreceding, 0)
+    hours = (F.col("time_s") - F.coalesce(F.lag("time_s").over(in_cycle()), F.col("time_s"))
              ) / F.lit(3600.0)
     moved = C.standard_current(F.col("I_mA"), F.col("discharge_sign")) * hours
     total = F.when(F.count_if(F.col("_mAh").isNull()).over(upto) == 0, F.sum("_mAh").over(upto))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltarc.functions import columns as C
 from voltarc.functions import fixed
-from voltarc.functions.quantiles import group_quantiles
+from voltarc.functions.quantiles import array_quantile, group_quantiles
 from voltarc.operators.segments import SEGMENT
 
 
@@ -20,28 +20,36 @@ def with_thermal(segments: DataFrame) -> DataFrame:
             power >= fixed.MIN_POWER_W, F.col("thermal_slope_K_per_s") / power))
 
 
+def voltage_span(samples: DataFrame) -> DataFrame:
+    """2nd and 98th voltage percentile of each segment fit for an incremental-capacity curve.
+
+    Left out are segments with fewer than 8 samples, a range under 0.05 V, or a missing value.
+    The array holds the samples of one segment.
+    """
+    volts = F.col("Ecell_V")
+    whole = volts.isNotNull() & F.col("I_mA").isNotNull() & F.col("time_s").isNotNull()
+    return (samples.where(F.col("Ns").isNotNull()).groupBy(*SEGMENT)
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(whole).alias("_whole"),
+                 F.sort_array(F.collect_list(volts)).alias("_v"))
+            .where(F.col("_whole") & (F.col("_n") >= fixed.IC_MIN_SAMPLES))
+            .select(*SEGMENT, array_quantile(F.col("_v"), 0.02).alias("vmin"),
+                    array_quantile(F.col("_v"), 0.98).alias("vmax"))
+            .where(F.col("vmax") - F.col("vmin") >= fixed.IC_MIN_RANGE_V))
+
+
 def ic_histogram(samples: DataFrame, bins: int = fixed.IC_BINS) -> DataFrame:
     """Charge per voltage bin of each segment (only bins that hold samples).
 
-    ``samples`` carries ``seg_id``. Bins are half-open over the 2nd to 98th voltage percentile;
-    segments with fewer than 8 samples, a range under 0.05 V, or a missing value have no rows.
+    ``samples`` carries ``seg_id``. Bins are half-open over the 2nd to 98th voltage percentile.
     """
     v = F.col("Ecell_V")
-    segment = Window.partitionBy(*SEGMENT)
-    in_order = segment.orderBy("time_s", "sample_id")
-    whole = v.isNotNull() & F.col("I_mA").isNotNull() & F.col("time_s").isNotNull()
-    work = samples.where(F.col("Ns").isNotNull()).withColumns({
-        "_n": F.count(F.lit(1)).over(segment),
-        "_whole": F.min(whole).over(segment),
-        "_span": F.percentile("Ecell_V", F.array(F.lit(0.02), F.lit(0.98))).over(segment),
-        "_dq": F.col("I_mA") * (F.coalesce(F.col("time_s") - F.lag("time_s").over(in_order),
-                                           F.lit(0.0)) / F.lit(3600.0))})
-    low, high = F.col("_span")[0], F.col("_span")[1]
-    kept = (work.withColumns({"vmin": low, "vmax": high})
-            .where(F.col("_whole") & (F.col("_n") >= fixed.IC_MIN_SAMPLES)
-                   & (F.col("vmax") - F.col("vmin") >= fixed.IC_MIN_RANGE_V)))
+    in_order = Window.partitionBy(*SEGMENT).orderBy("time_s", "sample_id")
+    hours = F.coalesce(F.col("time_s") - F.lag("time_s").over(in_order), F.lit(0.0)
+                       ) / F.lit(3600.0)
     share = (v - F.col("vmin")) * F.lit(float(bins)) / (F.col("vmax") - F.col("vmin"))
-    return (kept.withColumn("bin", F.floor(share).cast("int"))
+    return (samples.withColumn("_dq", F.col("I_mA") * hours)
+            .join(voltage_span(samples), SEGMENT)
+            .withColumn("bin", F.floor(share).cast("int"))
             .where((F.col("bin") >= 0) & (F.col("bin") < bins))
             .groupBy(*SEGMENT, "bin")
             .agg(F.max("vmin").alias("vmin"), F.max("vmax").alias("vmax"),

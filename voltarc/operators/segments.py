@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltarc.functions import columns as C
-from voltarc.operators.cycles import CYCLE, IN_CYCLE, with_power, with_spacing
+from voltarc.operators.cycles import CYCLE, in_cycle, with_power, with_spacing
 
 SEGMENT = [*CYCLE, "seg_id"]
 
@@ -20,10 +20,10 @@ def with_segments(samples: DataFrame) -> DataFrame:
     """``seg_id``: run of equal phase codes within a cycle; a missing code never equals another."""
     code = F.col("Ns")
     marked = samples.withColumns({
-        "_nth": F.row_number().over(IN_CYCLE), "_prev": F.lag(code).over(IN_CYCLE)})
+        "_nth": F.row_number().over(in_cycle()), "_prev": F.lag(code).over(in_cycle())})
     changed = F.when(F.col("_nth") == 1, code.isNull()).otherwise(
         F.coalesce(code != F.col("_prev"), F.lit(True)))
-    upto = IN_CYCLE.rowsBetween(Window.unboundedPreceding, 0)
+    upto = in_cycle().rowsBetween(Window.unboundedPreceding, 0)
     return (marked.withColumn("seg_id", F.sum(changed.cast("int")).over(upto).cast("int"))
             .drop("_nth", "_prev"))
 

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from voltarc.operators import cycles as cy
-from voltarc.operators import health, missions, physics, segments
+from voltarc.operators import health, missions, physics, segments, sequences, tables
 from voltarc.sources.derived import arrays_from_embeddings, telemetry_from_events
 from voltarc.sources.stages import StageStore
 
@@ -117,6 +117,36 @@ class Pipeline:
         return self.store.plain("dictionary_mission", missions.dictionary_mission(
             self.dictionary_phase, self.setpoints))
 
+    # ---- model inputs: every fold reads them, so they are written once ----
+
+    @cached_property
+    def horizon(self) -> DataFrame:
+        """Missions with filled features and the SOH drop over the horizon."""
+        rows, _ = sequences.mission_rows(self.dictionary_mission)
+        return self.store.plain("horizon", sequences.soh_horizon(rows))
+
+    @cached_property
+    def rul_samples(self) -> DataFrame:
+        rows, _ = sequences.mission_rows(self.dictionary_mission)
+        return self.store.plain("rul_samples", sequences.rul_missions(rows))
+
+    @cached_property
+    def soc_samples(self) -> DataFrame:
+        """Flight segments from the second of a mission on, with the SOC change as label."""
+        rows, features = sequences.soc_rows(self.dictionary_phase)
+        ids = sequences.soc_sequences(rows, features).select(*missions.MISSION, "seg_id")
+        return self.store.plain("soc_samples", rows.join(ids, [*missions.MISSION, "seg_id"],
+                                                         "left_semi"))
+
+    @cached_property
+    def pooled_horizon(self) -> DataFrame:
+        features = tables.model_features("mission", self.horizon.columns)
+        return self.store.plain("pooled_horizon", sequences.pooled(self.horizon, features))
+
+    @cached_property
+    def soh_model_table(self) -> DataFrame:
+        return self.store.plain("soh_model_table", tables.soh_table(self.missions))
+
 
 _pipelines: dict[tuple[str, str], Pipeline] = {}
 

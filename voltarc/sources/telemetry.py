@@ -45,12 +45,22 @@ def read_telemetry(spark: SparkSession, paths: str | Sequence[str],
     return out
 
 
-def missing_columns(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, Sequence[str]]]
-                    ) -> DataFrame:
-    """``(dataset, missing_column)`` for each required column that a table lacks."""
-    rows = [(name, column) for name, (df, required) in tables.items()
-            for column in required if column not in df.columns]
-    return spark.createDataFrame(rows, "dataset string, missing_column string")
+def required_columns(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """``(dataset, column_name, n_values, is_missing)`` for each required column of each table.
+
+    A column is missing when the table lacks it; ``n_values`` counts its values otherwise.
+    """
+    out = None
+    for name, (df, required) in tables.items():
+        counts = df.agg(*[
+            (F.count(c) if c in df.columns else F.lit(0).cast("long")).alias(c)
+            for c in required])
+        rows = counts.select(F.explode(F.array(*[F.struct(
+            F.lit(name).alias("dataset"), F.lit(c).alias("column_name"),
+            F.col(c).alias("n_values"), F.lit(c not in df.columns).alias("is_missing"))
+            for c in required])).alias("_r")).select("_r.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def pruned_scan(df: DataFrame, wanted: Sequence[str] = fixed.PRUNED_SAMPLES,
