@@ -55,18 +55,17 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         for i, name in enumerate(names)])).alias("_s")).select(*groups, "n", "_s.*")
 
     # pass 2: values below the span are only counted; values inside are counted one by one
-    within = (data.join(spans.select(*groups, "prob", "lo", "hi"), groups)
+    span = [*groups, "n", "prob", "rank"]
+    within = (data.join(spans, groups)
                   .where(F.col("_v") <= F.col("hi"))
                   .withColumn("_v", F.when(F.col("_v") >= F.col("lo"), F.col("_v")))
-                  .groupBy(*groups, "prob", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    order = Window.partitionBy(*groups, "prob").orderBy(F.col("_v").asc_nulls_first())
-    ranked = (within.withColumn("_end", F.sum("_c").over(
+                  .groupBy(*span, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    order = Window.partitionBy(*span).orderBy(F.col("_v").asc_nulls_first())
+    picked = (within.withColumn("_end", F.sum("_c").over(
                   order.rowsBetween(Window.unboundedPreceding, 0)))
-                    .where(F.col("_v").isNotNull()))
-    picked = (spans.join(ranked, [*groups, "prob"])
-              .where((F.col("_end") > F.floor("rank"))
+              .where(F.col("_v").isNotNull() & (F.col("_end") > F.floor("rank"))
                      & (F.col("_end") - F.col("_c") <= F.ceil("rank")))
-              .groupBy(*groups, "n", "prob", "rank")
+              .groupBy(*span)
               .agg(F.min("_v").alias("_at_floor"), F.max("_v").alias("_at_ceil")))
     exact = F.col("_at_floor") + (F.col("_at_ceil") - F.col("_at_floor")) * (
         F.col("rank") - F.floor("rank"))

@@ -11,12 +11,13 @@ from voltarc.functions.quantiles import group_quantiles
 
 CYCLE = ["cell_id", "cycleNumber"]
 
+FLIGHT_CODES = [4, 5, 6]
+
 
 def in_cycle():
+    """Samples of one cycle in time order."""
     return Window.partitionBy(*CYCLE).orderBy("time_s", "sample_id")
 
-FLIGHT_CODES = [4, 5, 6]
-
 
 def with_power(samples: DataFrame) -> DataFrame:
     return samples.withColumn("power_W", C.power_w(F.col("Ecell_V"), F.col("I_mA")))
@@ -168,10 +169,17 @@ def capacity_features(facts: DataFrame, signs: DataFrame) -> DataFrame:
 def score_cycles(features: DataFrame) -> DataFrame:
     """``score`` 0-5: one point per sign of a capacity test."""
     cell = ["cell_id"]
-    flight = group_quantiles(features.where(F.col("frac_flight") > 0.2), cell, "dis_dur_s",
-                             {"_mission_dur": 0.5}).drop("n")
-    charge = group_quantiles(features, cell, "QDischarge_mAh", {"_q90": 0.9, "_qmax": 1.0}
-                             ).drop("n")
+    long = features.select("cell_id", F.explode(F.array(
+        F.struct(F.lit("dur").alias("of"),
+                 F.when(F.col("frac_flight") > 0.2, F.col("dis_dur_s")).alias("x")),
+        F.struct(F.lit("charge").alias("of"), F.col("QDischarge_mAh").alias("x")))).alias("_p")
+    ).select("cell_id", "_p.*")
+    marks = group_quantiles(long, ["cell_id", "of"], "x", {"_50": 0.5, "_90": 0.9, "_100": 1.0})
+    is_dur = F.col("of") == "dur"
+    marks = marks.groupBy("cell_id").agg(
+        F.max(F.when(is_dur, F.col("_50"))).alias("_mission_dur"),
+        F.max(F.when(~is_dur, F.col("_90"))).alias("_q90"),
+        F.max(F.when(~is_dur, F.col("_100"))).alias("_qmax"))
     limit = F.greatest(F.lit(1200.0), F.lit(1.8) * F.coalesce("_mission_dur", F.lit(800.0)))
     tests = [
         F.col("frac_flight") < 0.02,
@@ -181,8 +189,8 @@ def score_cycles(features: DataFrame) -> DataFrame:
         (F.col("min_voltage") <= 3.0) | (F.col("vdrop") >= 0.8),
     ]
     score = sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0))
-    return (features.join(flight, cell, "left").join(charge, cell, "left")
-            .withColumn("score", score).drop("_mission_dur", "_q90", "_qmax"))
+    return (features.join(marks, cell, "left").withColumn("score", score)
+            .drop("_mission_dur", "_q90", "_qmax"))
 
 
 def _best_first():

@@ -77,11 +77,12 @@ def dsoh_spearman(missions: DataFrame, features=tuple(fixed.DSOH_FEATURES),
     y_rank = average_ranks(kept.withColumn("all", F.lit(1)), ["all"], target, "y_rank"
                            ).drop("all")
     ranked = pairs.join(y_rank, target).join(x_rank, ["feature", "x"], "left")
-    # correlation of ranks about the middle rank keeps the sums small
+    y_seen = F.when(F.col("x_rank").isNotNull(), F.col("y_rank"))
     out = ranked.groupBy("feature").agg(
-        F.count("x").alias("n"), F.corr("x_rank", "y_rank").alias("_r"))
-    return out.select("feature", F.when(F.col("n") >= min_rows, F.nanvl("_r", F.lit(None)))
-                      .alias("spearman_r"), "n")
+        F.count("x").alias("n"), F.covar_pop("x_rank", "y_rank").alias("_cov"),
+        F.stddev_pop("x_rank").alias("_sx"), F.stddev_pop(y_seen).alias("_sy"))
+    r = F.try_divide(F.col("_cov"), F.col("_sx") * F.col("_sy"))
+    return out.select("feature", F.when(F.col("n") >= min_rows, r).alias("spearman_r"), "n")
 
 
 def phase_degradation(segments: DataFrame) -> DataFrame:

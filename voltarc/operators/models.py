@@ -128,17 +128,18 @@ def permutation_importance(table: DataFrame, keys: Sequence[str], name: str, tre
 def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
                      keys: Sequence[str], make: Callable[[], object], name: str,
                      guard: bool = True, hold_only: Iterable[str] | None = None,
-                     parallel: int = 4) -> DataFrame:
+                     fill_missing: bool = False, parallel: int = 8) -> DataFrame:
     """Predictions of every held-out cell from a model fitted on the other cells.
 
     ``guard`` applies the name and correlation guards; fill values and scaling come from the
-    training cells alone. ``samples`` should be a written table: every fold reads it.
+    training cells alone. ``samples`` should be a written table, as every fold reads it, and
+    ``fill_missing`` is needed only when its features have missing values.
     """
     features = safe_names(features) if guard else list(features)
     limit = fixed.CORR_LIMIT if guard else float("inf")
     plan: dict[str, list] = {}
     # one row per (cell, feature): bounded by the cell limit of the folds
-    for row in folds.fold_prepare(samples, features, label, limit).collect():
+    for row in folds.fold_prepare(samples, features, label, limit, fill_missing).collect():
         plan.setdefault(row["hold"], []).append(row)
     runs = {r["hold"] for r in folds.loco_folds(samples).where("is_run").collect()}
     roles: dict[str, list[str]] = {}

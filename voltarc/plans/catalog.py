@@ -1,8 +1,9 @@
 """The query catalog: every operator as a named query, with the SQL it is checked against.
 
 A query is a function of the pipeline plus one output list that both sides project:
-``name`` is kept; ``^name``, ``*name`` and ``~name`` are rounded to 9, 6 and 3 digits, because
-sums of doubles depend on the order of addition; ``+name`` is a nullable integer shown as double.
+``name`` is kept; ``*name`` and ``~name`` are rounded to 6 and 3 digits, because sums of doubles
+depend on the order of addition; ``+name`` is a nullable integer shown as double. A guard far
+below the last digit makes decimal ties round the same way whatever that order was.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ class Query:
             if digits is None:
                 return col
             # + 0.0 turns -0.0 into 0.0
-            return (F.round(col.cast("double"), digits) + F.lit(0.0)).alias(name)
+            return (F.round(col.cast("double") + F.lit(_guard(digits)), digits) + F.lit(0.0)
+                    ).alias(name)
 
         return self.run(p).select(*map(shown, self.columns.split()))
 
@@ -48,7 +50,8 @@ class Query:
         def shown(token: str) -> str:
             name, digits = _split(token)
             return (f'"{name}"' if digits is None else
-                    f'round(CAST("{name}" AS DOUBLE), {digits}) + 0e0') + f' AS "{name}"'
+                    f'round(CAST("{name}" AS DOUBLE) + {_guard(digits)!r}, {digits}) + 0e0'
+                    ) + f' AS "{name}"'
 
         if self.source is None:
             return None
@@ -56,7 +59,11 @@ class Query:
             f"SELECT {', '.join(map(shown, self.columns.split()))} FROM {self.source}")
 
 
-MARKS = {"^": 9, "*": 6, "~": 3, "+": 0}
+MARKS = {"*": 6, "~": 3, "+": 0}
+
+
+def _guard(digits: int) -> float:
+    return 10.0 ** -(digits + 4)
 
 
 def _split(token: str) -> tuple[str, int | None]:
@@ -127,14 +134,14 @@ def load_stage(p):
     return telemetry.trimmed(p.spark.read.parquet(path))
 
 
-@query("sink_roundtrip", f"{SEG} phase_name ^energy_Wh *end_SOC +mission_id", "c_phases")
+@query("sink_roundtrip", f"{SEG} phase_name *energy_Wh *end_SOC +mission_id", "c_phases")
 def sink_roundtrip(p):
     path = p.store.path("phases_by_cell")
     stages.write_table(p.phases, path, mode="overwrite")
     return stages.read_tables(p.spark, [path])
 
 
-@query("union_cells", f"{SEG} phase_name *start_SOC ^energy_Wh",
+@query("union_cells", f"{SEG} phase_name *start_SOC *energy_Wh",
        "(SELECT * EXCLUDE (start_SOC), CASE WHEN cell_id >= 'VAH05' THEN start_SOC END "
        "AS start_SOC FROM c_phases)")
 def union_cells(p):
@@ -165,7 +172,7 @@ query("rejected_cells", "cell_id n_samples n_cycles n_capacity_tests reason",
 
 # ---------------------------------------------------------------- samples
 
-query("power", f"sample_id {KEY} ^power_W", "c_smp")(lambda p: cy.with_power(p.telemetry))
+query("power", f"sample_id {KEY} *power_W", "c_smp")(lambda p: cy.with_power(p.telemetry))
 query("sample_dt", f"sample_id {KEY} dt", "c_smp")(lambda p: cy.with_spacing(p.telemetry))
 query("segments", f"sample_id {SEG} +Ns", "c_seg")(lambda p: segments.with_segments(p.telemetry))
 query("label_phases", f"sample_id {KEY} +Ns phase phase_source", "c_soc")(
@@ -225,11 +232,11 @@ query("capacity_fade", f"{KEY} is_capacity_test *capacity_mAh *SOH_pct below_eol
 
 # ---------------------------------------------------------------- segments
 
-query("segment_energy", f"{SEG} ^energy_Wh",
+query("segment_energy", f"{SEG} *energy_Wh",
       "(SELECT cell_id, cycleNumber, seg_id, sum(power_W * dt / 3600e0) AS energy_Wh FROM c_seg "
       "GROUP BY cell_id, cycleNumber, seg_id)")(lambda p: segments.segment_energy(p.telemetry))
 query("phase_instances", f"{SEG} Ns phase_name phase_family cell_condition t_start_s t_end_s "
-      "duration_s ^energy_Wh ^mean_power_W ^max_power_W ^mean_abs_power_W ~mean_I_mA *max_I_mA "
+      "duration_s *energy_Wh *mean_power_W *max_power_W *mean_abs_power_W ~mean_I_mA *max_I_mA "
       "*min_I_mA *mean_temp_C *max_temp_C *start_SOC *end_SOC *SOH_cycle_pct *cap_Ah "
       "*mean_C_rate *max_C_rate *delta_SOC *start_SOH_pct *end_SOH_pct delta_SOH_pct +mission_id "
       "+phase_order_in_mission is_mission_cycle is_charge_phase is_flight_phase is_rest_phase "
@@ -267,15 +274,15 @@ query("segment_range_join", f"{SEG} n_samples *sum_V",
         F.count(F.lit(1)).alias("n_samples"), F.sum("Ecell_V").alias("sum_V")))
 query("thermal_features", f"{SEG} *thermal_slope_K_per_s *thermal_gain_K_per_W", "c_phases")(
     lambda p: physics.with_thermal(p.phases))
-query("ic_histogram", f"{SEG} bin ^vmin ^vmax ^charge_mAh", "c_ichist")(
+query("ic_histogram", f"{SEG} bin *vmin *vmax *charge_mAh", "c_ichist")(
     lambda p: physics.ic_histogram(p.segmented()))
-query("ic_features", f"{SEG} *ic_centroid_V *ic_spread_V ^ic_peak1_V ~ic_peak1_height "
-      "^ic_peak2_V ~ic_peak2_height", "c_ic")(
+query("ic_features", f"{SEG} *ic_centroid_V *ic_spread_V *ic_peak1_V ~ic_peak1_height "
+      "*ic_peak2_V ~ic_peak2_height", "c_ic")(
     lambda p: physics.ic_features(physics.ic_histogram(p.segmented())))
 query("vi_resistance", f"{SEG} *vi_slope_R_ohm", "c_vi")(
     lambda p: physics.vi_resistance(p.segmented()))
 query("phase_features", f"{SEG} phase_name duration_s *thermal_slope_K_per_s "
-      "*thermal_gain_K_per_W *ic_centroid_V ^ic_peak1_V *vi_slope_R_ohm", "c_pf")(
+      "*thermal_gain_K_per_W *ic_centroid_V *ic_peak1_V *vi_slope_R_ohm", "c_pf")(
     lambda p: physics.phase_features(p.phases, p.segmented()))
 query("cv_setpoint", "cell_id *v95 *cv_setpoint_V", "c_setpoint")(
     lambda p: physics.cv_setpoint(p.telemetry))
@@ -284,7 +291,7 @@ query("cv_setpoint", "cell_id *v95 *cv_setpoint_V", "c_setpoint")(
 
 query("mission_features", f"{MIS} n_segments dur_flight_s dur_charge_s dur_rest_s "
       "dur_transition_s *energy_flight_Wh *energy_charge_Wh *th_gain_med *th_gain_max *R_ohm_med "
-      "*R_ohm_p90 *ic_centroid_V *ic_spread_V ^ic_p1_V ~ic_p1_h *SOH_end_pct cc_duration_s "
+      "*R_ohm_p90 *ic_centroid_V *ic_spread_V *ic_p1_V ~ic_p1_h *SOH_end_pct cc_duration_s "
       "cv_duration_s *cv_energy_Wh *flight_Wh_abs *eff_energy *cv_fraction *cc_fraction "
       "*cv_mean_I_A_proxy *SOH_next_pct *dSOH_drop_pct is_last_mission", "c_ms")(
     lambda p: missions.mission_features(p.phase_features))
@@ -308,8 +315,8 @@ query("mission_table", f"{MIS} n_segments *energy_flight_Wh *energy_charge_Wh *e
     lambda p: exploration.mission_table(p.phases))
 query("dsoh_spearman", "feature *spearman_r n", "c_spear")(
     lambda p: exploration.dsoh_spearman(exploration.mission_table(p.phases)))
-query("phase_degradation", f"{SEG} +mission_id phase_name phase_family duration_s ^energy_Wh "
-      "*delta_SOC ^mean_abs_power_W *mean_temp_C *max_temp_C *mean_C_rate *max_C_rate "
+query("phase_degradation", f"{SEG} +mission_id phase_name phase_family duration_s *energy_Wh "
+      "*delta_SOC *mean_abs_power_W *mean_temp_C *max_temp_C *mean_C_rate *max_C_rate "
       "*thermal_slope_K_per_s *thermal_gain_K_per_W", "c_phases")(
     lambda p: exploration.phase_degradation(p.phases))
 query("charge_acceptance", f"{MIS} cc_duration_s *cc_energy_Wh *cc_mean_C cv_duration_s "
@@ -322,7 +329,7 @@ query("mission_degradation", f"{MIS} cc_duration_s cv_duration_s *cv_fraction "
       "*cv_mean_I_A_proxy *energy_flight_Wh *energy_charge_Wh *eff_energy *SOH_mission_end_pct "
       "RUL_missions_after_phase RUL_missions_censored", "c_deg")(
     lambda p: exploration.mission_degradation(p.phases))
-query("phase_box_stats", "phase_name feature n ^q1 ^median ^q3 ^whisker_low ^whisker_high",
+query("phase_box_stats", "phase_name feature n *q1 *median *q3 *whisker_low *whisker_high",
       "c_box")(lambda p: exploration.phase_box_stats(exploration.phase_degradation(p.phases)))
 query("mission_histograms", "feature bin *bin_low *bin_high n", "c_hist")(
     lambda p: exploration.mission_histograms(exploration.mission_degradation(p.phases)))
@@ -395,9 +402,9 @@ query("leakage_name_guard", "feature n_values kept",
       f"(SELECT *, NOT ({_LEAK_SQL}) AS kept FROM c_names)")(
     lambda p: tables.leakage_name_guard(_value_counts(p.missions, MISSION_COLUMNS)))
 
-query("soc_table", f"{SEG} duration_s ^energy_Wh ^mean_abs_power_W *mean_temp_C *max_temp_C "
+query("soc_table", f"{SEG} duration_s *energy_Wh *mean_abs_power_W *mean_temp_C *max_temp_C "
       "*mean_C_rate *max_C_rate *thermal_slope_K_per_s *thermal_gain_K_per_W *vi_slope_R_ohm "
-      "*ic_centroid_V *ic_spread_V ^ic_peak1_V ~ic_peak1_height phase_name_Cruise "
+      "*ic_centroid_V *ic_spread_V *ic_peak1_V ~ic_peak1_height phase_name_Cruise "
       "phase_family_flight *target",
       "(SELECT *, CASE WHEN phase_name = 'Cruise' THEN 1 ELSE 0 END AS phase_name_Cruise, "
       "CASE WHEN phase_family = 'flight' THEN 1 ELSE 0 END AS phase_family_flight, "
@@ -657,8 +664,8 @@ query("gate_entropy", "*gate_entropy n",
 # ---------------------------------------------------------------- models (rows only)
 # The operators default to the full budgets; these queries run smaller ones to keep a check short.
 
-BUDGET = dict(trees=40, depth=10)
-ROUNDS = 12
+BUDGET = dict(trees=20, depth=6)
+ROUNDS = 8
 
 
 def _as_rows(name: str, columns: str):
@@ -696,7 +703,7 @@ def loco_gbt(p):
     for preset in models.PRESETS:
         one = models.loco_predictions(
             p.horizon, oracle.MISSION_MODEL, "dSOH_to_future", missions.MISSION,
-            lambda: models.boosted(preset, maxIter=ROUNDS, stepSize=0.1, maxDepth=4), preset)
+            lambda: models.boosted(preset, maxIter=ROUNDS, stepSize=0.1, maxDepth=3), preset)
         out = one if out is None else out.unionByName(one)
     return out
 
