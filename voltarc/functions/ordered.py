@@ -27,9 +27,9 @@ def range_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return ranged.checkpoint(eager=True)
 
 
-def number_blocks(df: DataFrame, order: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def number_blocks(df: DataFrame, order: str, rows: int | None = None) -> DataFrame:
     """Blocks of ``rows`` consecutive values of an integer order column."""
-    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(rows)))
+    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(rows or BLOCK_ROWS)))
 
 
 def _same(keys: Sequence[str]) -> list[str]:
@@ -98,8 +98,8 @@ class Halo:
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], position: str, before: int = 0,
-                 after: int = 0, rows: int = BLOCK_ROWS):
-        rows = max(rows, before + 1, after + 1)
+                 after: int = 0, rows: int | None = None):
+        rows = max(rows or BLOCK_ROWS, before + 1, after + 1)
         home = F.floor(F.col(position) / F.lit(rows))
         inside = F.pmod(F.col(position), F.lit(rows))
         targets = F.array(

@@ -46,11 +46,15 @@ def ic_histogram(samples: DataFrame, bins: int = fixed.IC_BINS) -> DataFrame:
     in_order = Window.partitionBy(*SEGMENT).orderBy("time_s", "sample_id")
     hours = F.coalesce(F.col("time_s") - F.lag("time_s").over(in_order), F.lit(0.0)
                        ) / F.lit(3600.0)
-    share = (v - F.col("vmin")) * F.lit(float(bins)) / (F.col("vmax") - F.col("vmin"))
+    low, step = F.col("vmin"), (F.col("vmax") - F.col("vmin")) / F.lit(float(bins))
+    guess = F.floor((v - low) / step)
+    # the division may be off by one at a bin edge: compare with the edges themselves
+    place = (F.when(v >= (guess + 1) * step + low, guess + 1)
+             .when(v < guess * step + low, guess - 1).otherwise(guess))
     return (samples.withColumn("_dq", F.col("I_mA") * hours)
             .join(voltage_span(samples), SEGMENT)
-            .withColumn("bin", F.floor(share).cast("int"))
-            .where((F.col("bin") >= 0) & (F.col("bin") < bins))
+            .where((v >= low) & (v < F.col("vmax")))
+            .withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
             .groupBy(*SEGMENT, "bin")
             .agg(F.max("vmin").alias("vmin"), F.max("vmax").alias("vmax"),
                  F.sum("_dq").alias("charge_mAh")))

@@ -300,7 +300,8 @@ WHERE vmax - vmin >= 0.05e0"""
 
 PARTS["c_icbase"] = """
 SELECT s.cell_id, s.cycleNumber, s.seg_id, g.vmin, g.vmax,
-       CAST(floor((s.Ecell_V - g.vmin) * 60e0 / (g.vmax - g.vmin)) AS INTEGER) AS bin,
+       CASE WHEN s.Ecell_V >= g.vmax THEN 60 ELSE CAST(len(list_filter(range(60), lambda i:
+         i * ((g.vmax - g.vmin) / 60e0) + g.vmin <= s.Ecell_V)) - 1 AS INTEGER) END AS bin,
        s.I_mA * (coalesce(s.time_s - lag(s.time_s) OVER (
          PARTITION BY s.cell_id, s.cycleNumber, s.seg_id ORDER BY s.time_s, s.sample_id), 0e0)
          / 3600e0) AS dq
