@@ -67,11 +67,22 @@ def snap_setpoint(p95: Column) -> Column:
     return F.when(p95.isNotNull(), snapped)
 
 
-def softmax(logits: Column) -> Column:
-    peak = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - peak))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / (total + F.lit(1e-12)))
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def softmax(logits: Column, slack: float = 1e-12, floor: float = 0.0) -> Column:
+    """Max-shifted softmax; ``slack`` is added to the divisor and ``floor`` to each weight."""
+    exps = let(F.struct(logits.alias("v"), F.array_max(logits).alias("top")),
+               lambda s: F.transform(s["v"], lambda x: F.exp(x - s["top"])))
+    return let(exps, lambda e: let(
+        F.struct(e.alias("e"), (array_sum(e) + F.lit(slack)).alias("sum")),
+        lambda s: F.transform(s["e"], lambda x: x / s["sum"] + F.lit(floor))))
 
 
 def null_missing(df: DataFrame, types: Mapping[str, str]) -> DataFrame:

@@ -8,11 +8,14 @@ copying the edge rows of a block to its neighbour.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltarc.sources.stages import shared_folder
+
 BLOCK_ROWS = 4096
 BLOCK = "_blk"
 
@@ -21,10 +24,13 @@ def range_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Cut ``df`` into contiguous ranges of ``order``; the block number of a row is frozen.
 
     Range bounds follow the data, so a hot key is spread over several blocks. The result is
-    checkpointed because a second evaluation could pick other bounds.
+    written to the shared folder because a second evaluation could pick other bounds.
     """
-    ranged = df.repartitionByRange(*order).withColumn(BLOCK, F.spark_partition_id().cast("long"))
-    return ranged.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/voltarc-ranges-{uuid.uuid4().hex}"
+    (df.repartitionByRange(*order).withColumn(BLOCK, F.spark_partition_id().cast("long"))
+       .write.parquet(path))
+    return spark.read.parquet(path)
 
 
 def number_blocks(df: DataFrame, order: str, rows: int | None = None) -> DataFrame:

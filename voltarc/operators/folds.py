@@ -147,13 +147,14 @@ def fold_scaling(fold_stats: DataFrame, medians: DataFrame) -> DataFrame:
 
 
 def fold_prepare(samples: DataFrame, features: Sequence[str], label: str,
-                 limit: float = fixed.CORR_LIMIT, fill_missing: bool = True) -> DataFrame:
+                 limit: float = fixed.CORR_LIMIT, fill_missing: bool = True,
+                 roles: DataFrame | None = None) -> DataFrame:
     """Plan of every fold: kept features with fill, center and scale from its training cells.
 
     ``features`` have passed the name guard. ``fill_missing=False`` saves the median pass for
-    samples without missing values.
+    samples without missing values. ``roles`` is :func:`fold_roles` where it is already at hand.
     """
-    roles = fold_roles(samples)
+    roles = fold_roles(samples) if roles is None else roles
     stats = corr_guard(fold_statistics(cell_statistics(samples, features, label), roles), limit)
     if not fill_missing:
         return fold_scaling(stats, stats.select("hold", "feature", F.lit(0.0).alias("median")))

@@ -128,7 +128,8 @@ def permutation_importance(table: DataFrame, keys: Sequence[str], name: str, tre
 def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
                      keys: Sequence[str], make: Callable[[], object], name: str,
                      guard: bool = True, hold_only: Iterable[str] | None = None,
-                     fill_missing: bool = False, parallel: int = 8) -> DataFrame:
+                     fill_missing: bool = False, roles: DataFrame | None = None,
+                     parallel: int = 8) -> DataFrame:
     """Predictions of every held-out cell from a model fitted on the other cells.
 
     ``guard`` applies the name and correlation guards; fill values and scaling come from the
@@ -137,14 +138,15 @@ def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
     """
     features = safe_names(features) if guard else list(features)
     limit = fixed.CORR_LIMIT if guard else float("inf")
+    roles = folds.fold_roles(samples) if roles is None else roles
     plan: dict[str, list] = {}
     # one row per (cell, feature): bounded by the cell limit of the folds
-    for row in folds.fold_prepare(samples, features, label, limit, fill_missing).collect():
+    for row in folds.fold_prepare(samples, features, label, limit, fill_missing, roles).collect():
         plan.setdefault(row["hold"], []).append(row)
     runs = {r["hold"] for r in folds.loco_folds(samples).where("is_run").collect()}
-    roles: dict[str, list[str]] = {}
-    for r in folds.fold_roles(samples).where("role = 'val'").collect():
-        roles.setdefault(r["hold"], []).append(r["cell_id"])
+    validation: dict[str, list[str]] = {}
+    for r in roles.where("role = 'val'").select("hold", "cell_id").collect():
+        validation.setdefault(r["hold"], []).append(r["cell_id"])
     wanted = [h for h in sorted(runs & set(plan)) if hold_only is None or h in set(hold_only)]
 
     def one(hold: str) -> DataFrame:
@@ -153,7 +155,7 @@ def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
             samples.select(*keys, F.col(label).cast("double").alias("label"),
                            *[quoted(f) for f in features]), rows
         ).select(*keys, "label", "features").withColumn(
-            "is_val", F.col("cell_id").isin(roles.get(hold, [])))
+            "is_val", F.col("cell_id").isin(validation.get(hold, [])))
         estimator = make()
         train = frame.where((F.col("cell_id") != hold) & F.col("label").isNotNull())
         if not isinstance(estimator, GBTRegressor):
@@ -165,7 +167,9 @@ def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
             F.lit(name).alias("model"))
 
     if not wanted:
-        raise ValueError("no fold has enough training rows")
+        return prediction_table(samples.limit(0).select(
+            *keys, F.col(label).cast("double").alias("y_true"),
+            F.lit(0.0).alias("y_pred"), F.lit(name).alias("model")))
     with ThreadPool(min(parallel, len(wanted))) as pool:
         return prediction_table(reduce(DataFrame.unionByName, pool.map(one, wanted)))
 

@@ -63,34 +63,37 @@ def ic_histogram(samples: DataFrame, bins: int = fixed.IC_BINS) -> DataFrame:
 def ic_features(histogram: DataFrame, bins: int = fixed.IC_BINS) -> DataFrame:
     """Centroid, spread and the two highest peaks of the incremental-capacity curve.
 
-    At most ``bins`` rows per segment are gathered into one array; absent bins count as 0.
+    One aggregate per segment; moments are taken from the lower voltage edge. Absent bins count
+    as 0: they add nothing to the moments and are the second peak where one bin holds all charge.
     """
     step = (F.col("vmax") - F.col("vmin")) / F.lit(float(bins))
-    packed = histogram.groupBy(*SEGMENT).agg(
-        F.max("vmin").alias("vmin"), F.max("vmax").alias("vmax"),
-        F.map_from_entries(F.collect_list(F.struct("bin", "charge_mAh"))).alias("_m"))
-    curve = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(
-        F.abs(F.coalesce(F.try_element_at("_m", b), F.lit(0.0)) / F.greatest(step, F.lit(1e-6))
-              ).alias("h"),
-        b.alias("bin"),
-        (F.coalesce(F.try_element_at("_m", b), F.lit(0.0)) / F.greatest(step, F.lit(1e-6))
-         ).alias("ic"),
-        (F.col("vmin") + (b + F.lit(0.5)) * step).alias("mid")))
-    zero = F.lit(0.0)
-    work = packed.withColumn("_curve", curve).withColumn(
-        "_total", F.aggregate("_curve", zero, lambda a, x: a + x["h"])).where("_total > 0")
-    work = work.withColumn("ic_centroid_V", F.aggregate(
-        "_curve", zero, lambda a, x: a + x["mid"] * (x["h"] / F.col("_total"))))
-    spread = F.sqrt(F.aggregate("_curve", zero, lambda a, x: a + (
-        (x["mid"] - F.col("ic_centroid_V")) * (x["mid"] - F.col("ic_centroid_V"))
-        * (x["h"] / F.col("_total")))))
-    peaks = F.reverse(F.array_sort("_curve"))
-    return work.withColumn("_peaks", peaks).select(
-        *SEGMENT, "ic_centroid_V", spread.alias("ic_spread_V"),
-        F.col("_peaks")[0]["mid"].alias("ic_peak1_V"),
-        F.col("_peaks")[0]["ic"].alias("ic_peak1_height"),
-        F.col("_peaks")[1]["mid"].alias("ic_peak2_V"),
-        F.col("_peaks")[1]["ic"].alias("ic_peak2_height"))
+    height = F.abs("charge_mAh")
+    offset = (F.col("bin") + F.lit(0.5)) * step
+    sums = histogram.groupBy(*SEGMENT).agg(
+        F.max("vmin").alias("vmin"), F.max(step).alias("_step"),
+        F.sum(height).alias("_total"), F.sum(height * offset).alias("_first"),
+        F.sum(height * offset * offset).alias("_second"),
+        F.sort_array(F.collect_list(F.struct(
+            height.alias("h"), F.col("bin").alias("bin"), F.col("charge_mAh").alias("dq"))),
+            asc=False).alias("_peaks")).where("_total > 0")
+    mean = F.col("_first") / F.col("_total")
+    top, after = F.col("_peaks")[0], F.get("_peaks", F.lit(1))
+    last = F.lit(bins - 1)
+    empty = F.when(top["bin"] == last, last - 1).otherwise(last)
+    second = F.coalesce(F.when(after["h"] > 0, after["bin"]), empty)
+
+    def middle(place):
+        return F.col("vmin") + (place + F.lit(0.5)) * F.col("_step")
+
+    per_volt = F.greatest("_step", F.lit(1e-6))
+    variance = F.col("_second") / F.col("_total") - mean * mean
+    return sums.select(
+        *SEGMENT, (F.col("vmin") + mean).alias("ic_centroid_V"),
+        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("ic_spread_V"),
+        middle(top["bin"]).alias("ic_peak1_V"), (top["dq"] / per_volt).alias("ic_peak1_height"),
+        middle(second).alias("ic_peak2_V"),
+        F.coalesce(F.when(after["h"] > 0, after["dq"]) / per_volt, F.lit(0.0)
+                   ).alias("ic_peak2_height"))
 
 
 def vi_resistance(samples: DataFrame) -> DataFrame:

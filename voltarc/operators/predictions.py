@@ -148,9 +148,10 @@ def attention_summary(arrays: DataFrame, column: str = "attention") -> DataFrame
     """Position (0-based) and size of the largest weight, and normalized entropy (NULL at
     length 1)."""
     a = F.col(column)
-    total = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) + F.lit(1e-12)
-    entropy = F.aggregate(a, F.lit(0.0), lambda acc, x: acc - (x / total) * F.log(
-        x / total + F.lit(1e-12)))
+    shares = C.let(F.struct(a.alias("a"), (C.array_sum(a) + F.lit(1e-12)).alias("sum")),
+                   lambda s: F.transform(s["a"], lambda x: x / s["sum"]))
+    entropy = F.aggregate(shares, F.lit(0.0),
+                          lambda acc, p: acc - p * F.log(p + F.lit(1e-12)))
     size = F.size(a)
     return arrays.withColumns({
         "length": size,
@@ -173,10 +174,7 @@ def gate_top2(arrays: DataFrame, column: str = "gate_logits") -> DataFrame:
 
 def gate_entropy(arrays: DataFrame, column: str = "gate_logits") -> DataFrame:
     """Normalized entropy of the gate weights, averaged over rows."""
-    peak = F.array_max(F.col(column))
-    exps = F.transform(column, lambda x: F.exp(x - peak))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    pi = F.transform(exps, lambda x: x / total + F.lit(1e-8))
+    pi = C.softmax(F.col(column), slack=0.0, floor=1e-8)
     entropy = F.aggregate(pi, F.lit(0.0), lambda acc, x: acc - x * F.log(x))
     size = F.size(column).cast("double")
     return arrays.agg(F.avg(F.when(size > 1, entropy / F.log(size))).alias("gate_entropy"),

@@ -135,27 +135,24 @@ def window_scaler(rows: DataFrame, features: Sequence[str], keys: Sequence[str],
 POOLS = ["last", "mean", "min", "max", "slope"]
 
 
+def pooled_long(rows: DataFrame, features: Sequence[str], steps: int = fixed.MISSION_STEPS
+                ) -> DataFrame:
+    """Each trailing window reduced to last, mean, min, max and slope: one row per mission and
+    feature. One narrow window over all features is far cheaper than a wide one per feature."""
+    long = rows.select(*MISSION, "mission_pos", F.explode(F.array(*[F.struct(
+        F.lit(f).alias("feature"), quoted(f).alias("last")) for f in features])).alias("_p")
+    ).select(*MISSION, "mission_pos", "_p.*")
+    halo = ordered.Halo(long, ["cell_id", "feature"], "mission_pos", before=steps - 1)
+    trailing = halo.window.rowsBetween(-(steps - 1), 0)
+    slope = F.regr_slope("last", F.col("mission_pos").cast("double")).over(trailing)
+    return halo.own(halo.rows.withColumns({
+        "mean": F.avg("last").over(trailing), "min": F.min("last").over(trailing),
+        "max": F.max("last").over(trailing), "slope": F.coalesce(slope, F.lit(0.0))}))
+
+
 def pooled(rows: DataFrame, features: Sequence[str], steps: int = fixed.MISSION_STEPS
            ) -> DataFrame:
-    """Each trailing window reduced to last, mean, min, max and slope per feature
-    (columns ``<feature>__<pool>``)."""
-    halo = ordered.Halo(rows, ["cell_id"], "mission_pos", before=steps - 1)
-    trailing = halo.window.rowsBetween(-(steps - 1), 0)
-    x = F.col("mission_pos").cast("double")
-    aggs = {}
-    for f in features:
-        y = quoted(f)
-        aggs[f"{f}__last"] = y
-        aggs[f"{f}__mean"] = F.avg(y).over(trailing)
-        aggs[f"{f}__min"] = F.min(y).over(trailing)
-        aggs[f"{f}__max"] = F.max(y).over(trailing)
-        aggs[f"{f}__slope"] = F.coalesce(F.regr_slope(y, x).over(trailing), F.lit(0.0))
-    return halo.own(halo.rows.withColumns(aggs))
-
-
-def pooled_long(wide: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row per mission and feature from :func:`pooled`."""
-    return wide.select(*MISSION, F.explode(F.array(*[F.struct(
-        F.lit(f).alias("feature"),
-        *[quoted(f"{f}__{p}").alias(p) for p in POOLS]) for f in features])).alias("_p")
-    ).select(*MISSION, "_p.*")
+    """:func:`pooled_long` as columns ``<feature>__<pool>`` next to the columns of ``rows``."""
+    wide = (pooled_long(rows, features, steps).groupBy(*MISSION)
+            .pivot("feature", list(features)).agg(*[F.first(p).alias(f"_{p}") for p in POOLS]))
+    return rows.join(wide, MISSION)

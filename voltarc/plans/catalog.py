@@ -314,7 +314,7 @@ query("mission_table", f"{MIS} n_segments *energy_flight_Wh *energy_charge_Wh *e
       "*SOH_next_pct *dSOH_drop_pct *flight_Wh_abs", "c_mt")(
     lambda p: exploration.mission_table(p.phases))
 query("dsoh_spearman", "feature *spearman_r n", "c_spear")(
-    lambda p: exploration.dsoh_spearman(exploration.mission_table(p.phases)))
+    lambda p: exploration.dsoh_spearman(p.mission_table))
 query("phase_degradation", f"{SEG} +mission_id phase_name phase_family duration_s *energy_Wh "
       "*delta_SOC *mean_abs_power_W *mean_temp_C *max_temp_C *mean_C_rate *max_C_rate "
       "*thermal_slope_K_per_s *thermal_gain_K_per_W", "c_phases")(
@@ -332,7 +332,7 @@ query("mission_degradation", f"{MIS} cc_duration_s cv_duration_s *cv_fraction "
 query("phase_box_stats", "phase_name feature n *q1 *median *q3 *whisker_low *whisker_high",
       "c_box")(lambda p: exploration.phase_box_stats(exploration.phase_degradation(p.phases)))
 query("mission_histograms", "feature bin *bin_low *bin_high n", "c_hist")(
-    lambda p: exploration.mission_histograms(exploration.mission_degradation(p.phases)))
+    lambda p: exploration.mission_histograms(p.mission_degradation))
 query("phase_trends", "cell_id phase_name mission_id *med_gain *med_dsoc n", "c_trend")(
     lambda p: exploration.phase_trends(exploration.phase_degradation(p.phases)))
 query("first_phases", "phase_name",
@@ -510,13 +510,9 @@ def sequence_scaler(p):
                                    fixed.MISSION_STEPS)
 
 
-def _pooled(p: Pipeline) -> tuple[DataFrame, list[str]]:
-    rows, features = sequences.mission_rows(p.dictionary_mission)
-    return sequences.pooled(rows, features), features
-
-
-query("sequence_pooled", f"{MIS} feature ~last ~mean ~min ~max ~slope", "c_pool")(
-    lambda p: sequences.pooled_long(*_pooled(p)))
+@query("sequence_pooled", f"{MIS} feature ~last ~mean ~min ~max ~slope", "c_pool")
+def sequence_pooled(p):
+    return sequences.pooled_long(*sequences.mission_rows(p.dictionary_mission))
 
 # ---------------------------------------------------------------- folds
 
@@ -535,14 +531,14 @@ def leakage_corr_guard(p):
     rows = p.horizon
     features = tables.safe_names(oracle.MISSION_MODEL)
     stats = folds.cell_statistics(rows, features, "dSOH_to_future")
-    return folds.corr_guard(folds.fold_statistics(stats, folds.fold_roles(rows)))
+    return folds.corr_guard(folds.fold_statistics(stats, p.roles))
 
 
 @query("fold_scaling", "hold feature n n_null ~fill ~center ~scale", "c_scale")
 def fold_scaling(p):
     """Median fill and scaling on mission features that still have missing values."""
     rows = p.missions.where(~F.col("is_last_mission"))
-    roles = folds.fold_roles(p.horizon)
+    roles = p.roles
     features = fixed.SOH_TABLE
     stats = folds.fold_statistics(folds.cell_statistics(rows, features, "dSOH_drop_pct"), roles)
     return folds.fold_scaling(stats, folds.fold_medians(rows, features, "dSOH_drop_pct", roles))
@@ -550,7 +546,7 @@ def fold_scaling(p):
 
 query("fold_prepare", "hold feature pairs *corr kept ~fill ~center ~scale", "c_prep")(
     lambda p: folds.fold_prepare(p.horizon, tables.safe_names(oracle.MISSION_MODEL),
-                                 "dSOH_to_future"))
+                                 "dSOH_to_future", roles=p.roles))
 
 # ---------------------------------------------------------------- predictions
 
@@ -694,7 +690,7 @@ PRED = f"{MIS} y_true y_pred model"
 @_as_rows("loco_rf", PRED)
 def loco_rf(p):
     return models.loco_predictions(p.horizon, oracle.MISSION_MODEL, "dSOH_to_future",
-                                   missions.MISSION, _forest, "rf")
+                                   missions.MISSION, _forest, "rf", roles=p.roles)
 
 
 @_as_rows("loco_gbt", PRED)
@@ -703,7 +699,8 @@ def loco_gbt(p):
     for preset in models.PRESETS:
         one = models.loco_predictions(
             p.horizon, oracle.MISSION_MODEL, "dSOH_to_future", missions.MISSION,
-            lambda: models.boosted(preset, maxIter=ROUNDS, stepSize=0.1, maxDepth=3), preset)
+            lambda: models.boosted(preset, maxIter=ROUNDS, stepSize=0.1, maxDepth=3), preset,
+            roles=p.roles)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -713,7 +710,7 @@ def loco_seq(p):
     """Forest on pooled trailing windows, the stand-in for the recurrent networks."""
     names = [f"{f}__{k}" for f in oracle.MISSION_MODEL for k in sequences.POOLS]
     return models.loco_predictions(p.pooled_horizon, names, "dSOH_to_future", missions.MISSION,
-                                   _forest, "pooled_rf")
+                                   _forest, "pooled_rf", roles=p.roles)
 
 
 @_as_rows("loco_eval", "task model num_cells total_samples MAE_mean MAE_median RMSE_mean "

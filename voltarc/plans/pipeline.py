@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from voltarc.operators import cycles as cy
-from voltarc.operators import health, missions, physics, segments, sequences, tables
+from voltarc.operators import (exploration, folds, health, missions, physics, segments, sequences,
+                               tables)
 from voltarc.sources.derived import arrays_from_embeddings, telemetry_from_events
 from voltarc.sources.stages import StageStore
 
@@ -117,6 +118,15 @@ class Pipeline:
         return self.store.plain("dictionary_mission", missions.dictionary_mission(
             self.dictionary_phase, self.setpoints))
 
+    @cached_property
+    def mission_table(self) -> DataFrame:
+        return self.store.plain("mission_table", exploration.mission_table(self.phases))
+
+    @cached_property
+    def mission_degradation(self) -> DataFrame:
+        return self.store.plain("mission_degradation",
+                                exploration.mission_degradation(self.phases))
+
     # ---- model inputs: every fold reads them, so they are written once ----
 
     @cached_property
@@ -125,6 +135,11 @@ class Pipeline:
         rows, _ = sequences.mission_rows(self.dictionary_mission)
         return self.store.plain("horizon", sequences.soh_horizon(rows))
 
+    @cached_property
+    def roles(self) -> DataFrame:
+        """Role of every cell in every fold of the horizon samples."""
+        return self.store.plain("roles", folds.fold_roles(self.horizon))
+
     @cached_property
     def rul_samples(self) -> DataFrame:
         rows, _ = sequences.mission_rows(self.dictionary_mission)
