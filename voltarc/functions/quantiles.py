@@ -16,12 +16,8 @@ from pyspark.sql import functions as F
 ACCURACY = 4000
 
 
-def array_quantile(ordered: Column, prob: float) -> Column:
-    """Linearly interpolated quantile of an ascending array (interpolated from the nearer end)."""
-    rank = F.lit(prob) * (F.size(ordered) - 1)
-    low = F.get(ordered, F.floor(rank).cast("int"))
-    high = F.get(ordered, F.ceil(rank).cast("int"))
-    part = rank - F.floor(rank)
+def interpolated(low: Column, high: Column, part: Column) -> Column:
+    """Value between two neighbours, counted from the nearer one."""
     return F.when(part >= 0.5, high - (high - low) * (F.lit(1.0) - part)).otherwise(
         low + (high - low) * part)
 

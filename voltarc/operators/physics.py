@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltarc.functions import columns as C
 from voltarc.functions import fixed
-from voltarc.functions.quantiles import array_quantile, group_quantiles
+from voltarc.functions.quantiles import group_quantiles, interpolated
 from voltarc.operators.segments import SEGMENT
 
 
@@ -20,21 +20,33 @@ def with_thermal(segments: DataFrame) -> DataFrame:
             power >= fixed.MIN_POWER_W, F.col("thermal_slope_K_per_s") / power))
 
 
-def voltage_span(samples: DataFrame) -> DataFrame:
-    """2nd and 98th voltage percentile of each segment fit for an incremental-capacity curve.
+def with_voltage_span(samples: DataFrame) -> DataFrame:
+    """``vmin, vmax``: 2nd and 98th voltage percentile of the segment, on each of its samples.
 
-    Left out are segments with fewer than 8 samples, a range under 0.05 V, or a missing value.
-    The array holds the samples of one segment.
+    Kept are segments with at least 8 samples, a range of 0.05 V and no missing value. Ranks come
+    from a sort by voltage, which spills, so that no segment has to fit in memory, and every
+    window starts with the bucket columns, so that the samples are not shuffled.
     """
+    whole_segment = Window.partitionBy(*SEGMENT)
     volts = F.col("Ecell_V")
     whole = volts.isNotNull() & F.col("I_mA").isNotNull() & F.col("time_s").isNotNull()
-    return (samples.where(F.col("Ns").isNotNull()).groupBy(*SEGMENT)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(whole).alias("_whole"),
-                 F.sort_array(F.collect_list(volts)).alias("_v"))
-            .where(F.col("_whole") & (F.col("_n") >= fixed.IC_MIN_SAMPLES))
-            .select(*SEGMENT, array_quantile(F.col("_v"), 0.02).alias("vmin"),
-                    array_quantile(F.col("_v"), 0.98).alias("vmax"))
-            .where(F.col("vmax") - F.col("vmin") >= fixed.IC_MIN_RANGE_V))
+    sized = (samples.where(F.col("Ns").isNotNull()).withColumns({
+        "_n": F.count(F.lit(1)).over(whole_segment), "_whole": F.min(whole).over(whole_segment)})
+        .where(F.col("_whole") & (F.col("_n") >= fixed.IC_MIN_SAMPLES))
+        .withColumn("_rank", F.row_number().over(whole_segment.orderBy("Ecell_V")) - 1))
+
+    def at(rank):
+        return F.max(F.when(F.col("_rank") == rank, volts)).over(whole_segment)
+
+    ranks = {"vmin": F.lit(0.02) * (F.col("_n") - 1), "vmax": F.lit(0.98) * (F.col("_n") - 1)}
+    spanned = sized.withColumns({
+        f"{name}_{side}": at(take(rank)) for name, rank in ranks.items()
+        for side, take in (("lo", F.floor), ("hi", F.ceil))})
+    return (spanned.withColumns({
+        name: interpolated(F.col(f"{name}_lo"), F.col(f"{name}_hi"), rank - F.floor(rank))
+        for name, rank in ranks.items()})
+        .drop("_n", "_whole", "_rank", "vmin_lo", "vmin_hi", "vmax_lo", "vmax_hi")
+        .where(F.col("vmax") - F.col("vmin") >= fixed.IC_MIN_RANGE_V))
 
 
 def ic_histogram(samples: DataFrame, bins: int = fixed.IC_BINS) -> DataFrame:
@@ -51,8 +63,7 @@ def ic_histogram(samples: DataFrame, bins: int = fixed.IC_BINS) -> DataFrame:
     # the division may be off by one at a bin edge: compare with the edges themselves
     place = (F.when(v >= (guess + 1) * step + low, guess + 1)
              .when(v < guess * step + low, guess - 1).otherwise(guess))
-    return (samples.withColumn("_dq", F.col("I_mA") * hours)
-            .join(voltage_span(samples), SEGMENT)
+    return (with_voltage_span(samples.withColumn("_dq", F.col("I_mA") * hours))
             .where((v >= low) & (v < F.col("vmax")))
             .withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
             .groupBy(*SEGMENT, "bin")
