@@ -20,7 +20,8 @@ from pyspark.sql import SparkSession  # noqa: E402
 from voltarc.plans.catalog import QUERIES  # noqa: E402
 from voltarc.plans.pipeline import Pipeline  # noqa: E402
 
-STAGES = ["telemetry", "facts", "placed", "signs", "scored", "tested", "healthy", "cycles",
+STAGES = ["telemetry", "facts", "placed", "signs", "scored", "tested", "healthy", "ends",
+          "cycles",
           "phases", "phase_features", "missions", "setpoints", "dictionary_phase",
           "dictionary_mission", "horizon"]
 HEADLINE = ["cycle_summary", "capacity_tests", "anomalies", "soh_smoothed", "rul_cycles", "soc",

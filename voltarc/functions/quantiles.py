@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltarc.sources.stages import settled
+
 ACCURACY = 4000
 
 
@@ -24,7 +26,11 @@ def interpolated(low: Column, high: Column, part: Column) -> Column:
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Mapping[str, float], accuracy: int = ACCURACY) -> DataFrame:
-    """One row per group: ``n`` non-null values and one column per entry of ``probs``."""
+    """One row per group: ``n`` non-null values and one column per entry of ``probs``.
+
+    The sketch pass runs at once; its few rows per group are written so that the second pass can
+    broadcast them if they are small, and leave the data where it is.
+    """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     keys = list(keys)
     if not keys:
@@ -49,6 +55,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
             F.when(small | F.lit(probs[name] + slack >= 1), F.col("_max"))
             .otherwise(F.col("_b")[2 * i + 1]).alias("hi"))
         for i, name in enumerate(names)])).alias("_s")).select(*groups, "n", "_s.*")
+    spans = settled(spans)
 
     # pass 2: values below the span are only counted; values inside are counted one by one
     span = [*groups, "n", "prob", "rank"]

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from voltarc.functions import columns as C
 from voltarc.functions import fixed, ordered
 from voltarc.functions.quantiles import group_quantiles
+from voltarc.sources.stages import settled
 
 CYCLE = ["cell_id", "cycleNumber"]
 
 FLIGHT_CODES = [4, 5, 6]
+MAX_NAMED = 1000
 
 
 def in_cycle():
@@ -142,9 +144,16 @@ def discharge_sign(facts: DataFrame, samples: DataFrame, min_rows: int = 10) ->
               ).alias("_sum"),
         F.sum(F.col("up_n") + (F.col("_border") & F.col("i_first").isNotNull()).cast("long")
               ).alias("_n"))
+    rising = settled(rising)
+    # at most one name per cell; a long list would be a join instead of a pushed-down filter
     few = rising.where(F.col("rising_rows") < min_rows).select("cell_id")
-    medians = group_quantiles(samples.join(few, "cell_id", "left_semi"), ["cell_id"], "I_mA",
-                              {"median_mA": 0.5}).drop("n")
+    named = [r[0] for r in few.limit(MAX_NAMED + 1).collect()]
+    if not named:
+        medians = rising.select("cell_id", F.lit(None).cast("double").alias("median_mA")).limit(0)
+    else:
+        chosen = (samples.where(F.col("cell_id").isin(named)) if len(named) <= MAX_NAMED
+                  else samples.join(few, "cell_id", "left_semi"))
+        medians = group_quantiles(chosen, ["cell_id"], "I_mA", {"median_mA": 0.5}).drop("n")
     mean = C.ratio(F.col("_sum"), F.col("_n"))
     basis = F.when(F.col("rising_rows") < min_rows, F.col("median_mA")).otherwise(mean)
     return rising.join(medians, "cell_id", "left").select(
@@ -189,7 +198,7 @@ def score_cycles(features: DataFrame) -> DataFrame:
         (F.col("min_voltage") <= 3.0) | (F.col("vdrop") >= 0.8),
     ]
     score = sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0))
-    return (features.join(marks, cell, "left").withColumn("score", score)
+    return (features.join(settled(marks), cell, "left").withColumn("score", score)
             .drop("_mission_dur", "_q90", "_qmax"))
 
 
@@ -201,7 +210,8 @@ def _best_first():
 def flag_capacity_tests(scored: DataFrame, min_score: int = 3, fallback: int = 2) -> DataFrame:
     """``is_capacity_test``: score of at least ``min_score``; a cell without any takes its best
     ``fallback`` cycles among those without flight."""
-    found = scored.groupBy("cell_id").agg(F.max(F.col("score") >= min_score).alias("_found"))
+    found = settled(scored.groupBy("cell_id").agg(
+        F.max(F.col("score") >= min_score).alias("_found")))
     flagged = scored.join(found, "cell_id")
     # the rank limit is applied before the shuffle, so a hot cell sends only a few rows
     picks = (flagged.where(~F.col("_found") & (F.col("frac_flight") < 0.02))
@@ -242,7 +252,7 @@ def with_anomalies(cycles: DataFrame, facts: DataFrame | None = None) -> DataFra
         F.col("max_jump_V") > fixed.VOLTAGE_JUMP,
     ]
     score = sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks), F.lit(0))
-    return (cycles.join(typical, "cell_id", "left").withColumn("anomaly_score", score)
+    return (cycles.join(settled(typical), "cell_id", "left").withColumn("anomaly_score", score)
             .withColumn("any_anomaly", F.col("anomaly_score") > 0).drop("_typical"))
 
 

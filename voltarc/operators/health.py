@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voltarc.functions import columns as C
 from voltarc.functions import fixed, ordered
 from voltarc.operators.cycles import CYCLE, in_cycle
+from voltarc.sources.stages import settled
 
 
 def initial_capacity(cycles: DataFrame, tests: int = 3) -> DataFrame:
@@ -26,7 +27,7 @@ def with_soh(cycles: DataFrame) -> DataFrame:
     cap = F.col("initial_capacity_mAh")
     measured = F.when(F.col("is_capacity_test"),
                       F.col("QDischarge_mAh") / cap * F.lit(100.0))
-    base = cycles.join(initial_capacity(cycles), "cell_id", "left").withColumn("_m", measured)
+    base = cycles.join(settled(initial_capacity(cycles)), "cell_id", "left").withColumn("_m", measured)
     near = ordered.nearest_known(ordered.number_blocks(base, "cycle_pos"), ["cell_id"],
                                  "cycle_pos", "_m", "_before", "_after")
     lo, hi = F.col("_before"), F.col("_after")

@@ -223,7 +223,7 @@ query("soh", f"{KEY} *initial_capacity_mAh *SOH_pct", "c_soh")(
 query("soh_smoothed", f"{KEY} *SOH_pct *SOH_pct_smoothed", "c_cycles")(
     lambda p: health.with_smoothed_soh(health.with_soh(p.tested)))
 query("rul_cycles", f"{KEY} RUL_cycles RUL_censored", "c_cycles")(
-    lambda p: health.with_cycle_rul(p.healthy, health.end_of_life(p.healthy)))
+    lambda p: health.with_cycle_rul(p.healthy, p.ends))
 query("capacity_fade", f"{KEY} is_capacity_test *capacity_mAh *SOH_pct below_eol",
       "(SELECT cell_id, cycleNumber, is_capacity_test, CASE WHEN is_capacity_test THEN "
       "QDischarge_mAh END AS capacity_mAh, SOH_pct_smoothed AS SOH_pct, "
@@ -264,7 +264,7 @@ query("phase_order", f"{SEG} +mission_id +phase_order_in_mission", "c_phases")(
 query("rul_phase", f"{SEG} +mission_id RUL_missions_after_phase RUL_missions_censored",
       "c_phases")(lambda p: segments.with_phase_rul(
           p.phases.drop("RUL_missions_after_phase", "RUL_missions_censored").join(
-              health.end_of_life(p.healthy), "cell_id")))
+              p.ends, "cell_id")))
 query("segment_range_join", f"{SEG} n_samples *sum_V",
       "(SELECT p.cell_id, p.cycleNumber, p.seg_id, count(*) AS n_samples, sum(t.Ecell_V) AS sum_V "
       "FROM c_phases p JOIN c_tele t ON t.cell_id = p.cell_id AND t.cycleNumber = p.cycleNumber "

@@ -77,10 +77,15 @@ class Pipeline:
         """Cycles with SOH and smoothed SOH."""
         return self._bucketed("healthy", health.with_smoothed_soh(health.with_soh(self.tested)))
 
+    @cached_property
+    def ends(self) -> DataFrame:
+        """End-of-life and last cycle and mission of each cell."""
+        return self.store.plain("ends", health.end_of_life(self.healthy))
+
     @cached_property
     def cycles(self) -> DataFrame:
         """The full cycle table: SOH, remaining life, missions and anomalies."""
-        rul = health.with_cycle_rul(self.healthy, health.end_of_life(self.healthy))
+        rul = health.with_cycle_rul(self.healthy, self.ends)
         return self._bucketed("cycles", cy.with_anomalies(rul, self.facts))
 
     def samples(self) -> DataFrame:

@@ -20,6 +20,19 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small intermediate table, written to the shared folder and scanned back.
+
+    The scan knows its size in bytes, so Spark's own threshold decides before anything runs
+    whether a join broadcasts it; a size known only at run time would come after the large side
+    had been shuffled.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/voltarc-small-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 class StageStore:
     """Writes stage tables under one fresh folder and hands back their scans.
 
