@@ -79,21 +79,23 @@ def nearest_known(df: DataFrame, keys: Sequence[str], position: str, value: str,
     """Adds the last known and the next known ``struct(pos, val)`` of ``value`` (row included)."""
     known = F.when(F.col(value).isNotNull(),
                    F.struct(F.col(position).alias("pos"), F.col(value).alias("val")))
-    upto = Window.unboundedPreceding
-    beyond = Window.unboundedFollowing
+    # looking ahead runs on the reversed order: a frame that ends at the partition's end is
+    # evaluated anew for every row, one that starts at its beginning grows with the rows
+    def latest(name, keys, order, until):
+        frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(
+            Window.unboundedPreceding, until)
+        return F.last(name, ignorenulls=True).over(frame)
+
     edges = df.groupBy(*_same(keys)).agg(F.max(known).alias("_hi"), F.min(known).alias("_lo"))
-    blocks = Window.partitionBy(*keys).orderBy(BLOCK)
     carried = edges.select(
-        *_same(keys),
-        F.last("_hi", ignorenulls=True).over(blocks.rowsBetween(upto, -1)).alias("_prev"),
-        F.first("_lo", ignorenulls=True).over(blocks.rowsBetween(1, beyond)).alias("_next"))
-    inside = Window.partitionBy(*_same(keys)).orderBy(position)
-    return (df.join(carried, _same(keys))
+        *_same(keys), latest("_hi", keys, F.asc(BLOCK), -1).alias("_prev"),
+        latest("_lo", keys, F.desc(BLOCK), -1).alias("_next"))
+    return (df.join(carried, _same(keys)).withColumn("_known", known)
               .withColumn(before, F.coalesce(
-                  F.last(known, ignorenulls=True).over(inside.rowsBetween(upto, 0)), "_prev"))
+                  latest("_known", _same(keys), F.asc(position), 0), "_prev"))
               .withColumn(after, F.coalesce(
-                  F.first(known, ignorenulls=True).over(inside.rowsBetween(0, beyond)), "_next"))
-              .drop("_prev", "_next"))
+                  latest("_known", _same(keys), F.desc(position), 0), "_next"))
+              .drop("_prev", "_next", "_known"))
 
 
 class Halo:
