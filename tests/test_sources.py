@@ -27,15 +27,32 @@ def test_scan_takes_the_cell_from_the_file_name(spark, folder):
     assert telemetry.read_telemetry(spark, str(folder / "VAH27.csv")).count() == 1
 
 
-def test_optional_columns_are_declared(spark, tmp_path):
+def test_columns_go_by_name_in_any_order(spark, tmp_path):
     (tmp_path / "VAH05.csv").write_text(
-        HEADER.strip() + ",EnergyDischarge_W_h\n0,3.5,1,0,0,20,0,0,2.5\n1,3.5,1,0,0,20,0,0,3.5\n")
-    df = telemetry.read_telemetry(spark, str(tmp_path / "VAH05.csv"),
-                                  [T.StructField("EnergyDischarge_W_h", T.DoubleType())])
+        "Ns,time_s,Ecell_V,I_mA,EnergyDischarge_W_h,QDischarge_mA_h,QCharge_mA_h,"
+        "Temperature__C,cycleNumber,comment\n"
+        "4,0,3.5,1,2.5,0,0,20,7,a\n6,1,3.5,1,3.5,0,0,20,7,b\n")
+    df = telemetry.read_telemetry(spark, str(tmp_path / "VAH05.csv"))
+    assert df.schema["Ns"].dataType == T.IntegerType()
     facts = cycles.cycle_facts(df).first()
+    assert facts["cycleNumber"] == 7 and facts["is_mission"]
     assert facts["energy_discharge"] == 3.5 and facts["energy_charge"] is None
 
 
+def test_json_record_per_cell(spark, tmp_path):
+    rows = spark.createDataFrame([("VAH01", 3, 2)], "cell_id string, n_rows int, n_cycles int")
+    stages.write_table(rows, str(tmp_path / "meta"), partition_by=(), fmt="json")
+    assert spark.read.json(str(tmp_path / "meta")).first()["n_rows"] == 3
+
+
+def test_array_columns_survive_the_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("VAH01", [0.5, 0.5]), ("VAH01", [1.0])],
+                                 "cell_id string, attention array<double>")
+    stages.write_table(rows, str(tmp_path / "extras"))
+    back = spark.read.parquet(str(tmp_path / "extras")).select("attention").collect()
+    assert sorted(r[0] for r in back) == [[0.5, 0.5], [1.0]]
+
+
 def test_required_and_pruned(spark, folder):
     df = telemetry.read_telemetry(spark, str(folder / "VAH*.csv"))
     rows = {r["column_name"]: r for r in telemetry.required_columns(

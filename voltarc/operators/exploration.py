@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltarc.functions import columns as C
@@ -19,10 +19,15 @@ def phase_stress(segments: DataFrame) -> DataFrame:
     base = kept.groupBy("phase_name").agg(
         F.count("seg_id").alias("n"), F.avg("mean_C_rate").alias("mean_mean_C"),
         F.avg("max_temp_C").alias("mean_max_T"))
-    for value, name in (("duration_s", "median_dur_s"), ("energy_Wh", "median_energy_Wh")):
-        base = base.join(group_quantiles(kept, ["phase_name"], value, {name: 0.5}).drop("n"),
-                         "phase_name", "left")
-    return base.select("phase_name", "n", "median_dur_s", "median_energy_Wh", "mean_mean_C",
+    values = {"duration_s": "median_dur_s", "energy_Wh": "median_energy_Wh"}
+    long = kept.select("phase_name", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("of"), F.col(value).alias("x"))
+        for value, name in values.items()])).alias("_p")).select("phase_name", "_p.*")
+    medians = group_quantiles(long, ["phase_name", "of"], "x", {"median": 0.5})
+    wide = medians.groupBy("phase_name").agg(*[
+        F.max(F.when(F.col("of") == name, F.col("median"))).alias(name)
+        for name in values.values()])
+    return base.join(wide, "phase_name", "left").select("phase_name", "n", "median_dur_s", "median_energy_Wh", "mean_mean_C",
                        "mean_max_T").orderBy(F.desc("n"), "phase_name")
 
 

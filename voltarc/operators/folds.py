@@ -15,7 +15,7 @@ from voltarc.functions import fixed
 from voltarc.functions.quantiles import group_quantiles
 from voltarc.operators.tables import quoted
 
-MAX_CELLS = 4096
+MAX_CELLS = 1024
 
 
 def cell_sizes(samples: DataFrame) -> DataFrame:

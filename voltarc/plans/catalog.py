@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltarc.functions import columns as C
-from voltarc.functions import fixed, ordered
+from voltarc.functions import fixed
 from voltarc.operators import cycles as cy
 from voltarc.operators import (exploration, folds, health, missions, models, physics, predictions,
                                segments, sequences, tables)
@@ -89,12 +89,10 @@ SAMPLE = ("sample_id cell_id cycleNumber +Ns time_s *Ecell_V *I_mA *Temperature_
 @query("scan_telemetry", SAMPLE, "c_tele")
 def scan_telemetry(p):
     """Telemetry written as CSV per cell, then scanned back with the declared schema."""
-    from pyspark.sql import types as T
     path = p.store.path("raw_csv")
     order = [f.name for f in telemetry.RAW_SCHEMA] + ["sample_id", "cell_id"]
     stages.write_table(p.telemetry.select(*order), path, fmt="csv", mode="overwrite")
-    return telemetry.read_telemetry(p.spark, f"{path}/*VAH*/*.csv",
-                                    [T.StructField("sample_id", T.LongType())])
+    return telemetry.read_telemetry(p.spark, f"{path}/*VAH*/*.csv")
 
 
 def _counts_sql(dataset: str, source: str, names: list[str], absent: list[str] = ()) -> str:

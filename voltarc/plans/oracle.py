@@ -720,9 +720,6 @@ GROUP BY r.hold, l.feature"""
 PARTS["c_nlong"] = unpivot(
     "c_ms WHERE NOT is_last_mission", "cell_id, dSOH_drop_pct AS y", fixed.SOH_TABLE)
 
-PARTS["c_nrole"] = """
-SELECT r.hold, r.cell_id, r.role FROM c_role r"""
-
 PARTS["c_scale"] = """
 SELECT l.hold, l.feature, max(md) AS fill, avg(coalesce(x, md)) AS center,
        CASE WHEN stddev_pop(coalesce(x, md)) < 1e-12 THEN 1e0

@@ -21,24 +21,31 @@ RAW_SCHEMA = T.StructType([
     T.StructField("cycleNumber", T.IntegerType()),
     T.StructField("Ns", T.IntegerType()),
 ])
+OPTIONAL = T.StructType([
+    T.StructField("EnergyDischarge_W_h", T.DoubleType()),
+    T.StructField("EnergyCharge_W_h", T.DoubleType()),
+    T.StructField("sample_id", T.LongType()),
+])
 CELL_PATTERN = r"(VAH[^/._]*)[^/]*(?:/part-[^/]*)?$"
 
 
-def read_telemetry(spark: SparkSession, paths: str | Sequence[str],
-                   extra: Sequence[T.StructField] = ()) -> DataFrame:
-    """Scan one or many telemetry CSV files with a declared schema.
+def read_telemetry(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Scan one or many telemetry CSV files.
 
-    ``paths`` is a file, a glob such as ``dir/VAH*.csv``, or a list. The cell comes from the file
-    stem (or from a ``VAH..`` directory that Spark wrote). ``extra`` declares optional columns such
-    as the two energy counters, or a sample id when the file has one; otherwise the file order is
-    kept in ``sample_id``. Columns are matched to the file header by position, as Spark's CSV
-    reader does with a schema, so ``extra`` comes after the eight standard columns.
+    ``paths`` is a file, a glob such as ``dir/VAH*.csv``, or a list. Columns go by the names in
+    the header, in any order; types are declared here and nothing is inferred. All files of one
+    call share one header, which is verified per file. The cell comes from the file stem (or from
+    a ``VAH..`` directory that Spark wrote); file order is kept in ``sample_id`` unless the files
+    have that column.
     """
-    schema = T.StructType([*RAW_SCHEMA.fields, *extra])
-    raw = (spark.read.option("header", True).option("enforceSchema", False)
-           .schema(schema).csv(paths))
+    kinds = {f.name: f.dataType for f in [*RAW_SCHEMA.fields, *OPTIONAL.fields]}
+    reader = spark.read.option("header", True)
+    names = reader.csv(paths).columns
+    schema = T.StructType([
+        T.StructField(n, kinds.get(n.strip(), T.StringType())) for n in names])
+    raw = trimmed(reader.option("enforceSchema", False).schema(schema).csv(paths))
     out = raw.withColumns({
-        f.name: C.known(F.col(f.name)) for f in schema if isinstance(f.dataType, T.DoubleType)})
+        n: C.known(F.col(n)) for n in raw.columns if kinds.get(n) == T.DoubleType()})
     out = out.withColumn("cell_id", F.regexp_extract(F.input_file_name(), CELL_PATTERN, 1))
     if "sample_id" not in out.columns:
         out = out.withColumn("sample_id", F.monotonically_increasing_id())
