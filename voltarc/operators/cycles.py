@@ -244,7 +244,8 @@ def with_anomalies(cycles: DataFrame, facts: DataFrame | None = None) -> DataFra
 
     ``facts`` is the table the typical duration is read from (default ``cycles`` itself).
     """
-    typical = group_quantiles(cycles if facts is None else facts, ["cell_id"], "duration_s", {"_typical": 0.5}).drop("n")
+    typical = group_quantiles(cycles if facts is None else facts, ["cell_id"], "duration_s",
+                              {"_typical": 0.5}).drop("n")
     checks = [
         (F.col("min_voltage") < fixed.VOLTAGE_LOW) | (F.col("max_voltage") > fixed.VOLTAGE_HIGH),
         F.col("duration_s") < F.lit(0.1) * F.greatest(

@@ -27,7 +27,8 @@ def with_soh(cycles: DataFrame) -> DataFrame:
     cap = F.col("initial_capacity_mAh")
     measured = F.when(F.col("is_capacity_test"),
                       F.col("QDischarge_mAh") / cap * F.lit(100.0))
-    base = cycles.join(settled(initial_capacity(cycles)), "cell_id", "left").withColumn("_m", measured)
+    base = (cycles.join(settled(initial_capacity(cycles)), "cell_id", "left")
+            .withColumn("_m", measured))
     near = ordered.nearest_known(ordered.number_blocks(base, "cycle_pos"), ["cell_id"],
                                  "cycle_pos", "_m", "_before", "_after")
     lo, hi = F.col("_before"), F.col("_after")

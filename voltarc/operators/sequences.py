@@ -118,7 +118,8 @@ def window_scaler(rows: DataFrame, features: Sequence[str], keys: Sequence[str],
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     p, n = F.col(position), F.col("_n")
     weight = F.least(p + steps - 1, n - 1) - F.greatest(p, F.lit(first)) + 1
-    long = rows.join(sizes, list(keys)).where(weight > 0).select(weight.cast("double").alias("w"), F.explode(F.array(*[
+    weighed = rows.join(sizes, list(keys)).where(weight > 0)
+    long = weighed.select(weight.cast("double").alias("w"), F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), quoted(f).alias("x")) for f in features])).alias("_p")
     ).select("w", "_p.*")
     means = long.groupBy("feature").agg(

@@ -1,8 +1,8 @@
 """The staged pipeline: telemetry -> cycles -> phases -> features -> missions.
 
 Stages are lazy properties. A stage that several operators share is written once to the shared
-folder (bucketed by cell and cycle), so a lost executor re-reads a file instead of replaying the
-lineage, and later work on the same keys needs no shuffle.
+folder, so a lost executor re-reads a file instead of replaying the lineage. Samples and the tables
+that are joined to them are bucketed by cell and cycle, so that this work needs no shuffle.
 """
 
 from __future__ import annotations
@@ -50,11 +50,11 @@ class Pipeline:
     @cached_property
     def facts(self) -> DataFrame:
         """Per-cycle facts: the only full pass over the samples that the cycle layer needs."""
-        return self._bucketed("facts", cy.cycle_facts(self.telemetry))
+        return self.store.plain("facts", cy.cycle_facts(self.telemetry))
 
     @cached_property
     def placed(self) -> DataFrame:
-        return self._bucketed("placed", cy.with_cycle_position(self.facts))
+        return self.store.plain("placed", cy.with_cycle_position(self.facts))
 
     @cached_property
     def signs(self) -> DataFrame:
@@ -65,17 +65,17 @@ class Pipeline:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return self._bucketed("scored", cy.score_cycles(self.capacity_features()))
+        return self.store.plain("scored", cy.score_cycles(self.capacity_features()))
 
     @cached_property
     def tested(self) -> DataFrame:
         """Cycles with capacity evidence, score and flag."""
-        return self._bucketed("tested", cy.flag_capacity_tests(self.scored))
+        return self.store.plain("tested", cy.flag_capacity_tests(self.scored))
 
     @cached_property
     def healthy(self) -> DataFrame:
         """Cycles with SOH and smoothed SOH."""
-        return self._bucketed("healthy", health.with_smoothed_soh(health.with_soh(self.tested)))
+        return self.store.plain("healthy", health.with_smoothed_soh(health.with_soh(self.tested)))
 
     @cached_property
     def ends(self) -> DataFrame:
@@ -102,8 +102,8 @@ class Pipeline:
 
     @cached_property
     def phase_features(self) -> DataFrame:
-        return self._bucketed("phase_features", physics.phase_features(
-            self.phases, self.segmented()), "seg_id")
+        return self.store.plain("phase_features", physics.phase_features(
+            self.phases, self.segmented()))
 
     @cached_property
     def missions(self) -> DataFrame:
@@ -115,8 +115,8 @@ class Pipeline:
 
     @cached_property
     def dictionary_phase(self) -> DataFrame:
-        return self._bucketed("dictionary_phase", missions.dictionary_phase(self.phase_features),
-                              "seg_id")
+        return self.store.plain(
+            "dictionary_phase", missions.dictionary_phase(self.phase_features))
 
     @cached_property
     def dictionary_mission(self) -> DataFrame:

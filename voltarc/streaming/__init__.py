@@ -1 +1 @@
-"""Empty on purpose: every source in scope is a finite set of files, so there is no streaming work."""
+"""Empty on purpose: every source in scope is a finite set of files."""
