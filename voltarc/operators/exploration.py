@@ -28,7 +28,8 @@ def phase_stress(segments: DataFrame) -> DataFrame:
         F.max(F.when(F.col("of") == name, F.col("median"))).alias(name)
         for name in values.values()])
     return base.join(wide, "phase_name", "left").select(
-        "phase_name", "n", "median_dur_s", "median_energy_Wh", "mean_mean_C", "mean_max_T").orderBy(F.desc("n"), "phase_name")
+        "phase_name", "n", "median_dur_s", "median_energy_Wh", "mean_mean_C", "mean_max_T"
+    ).orderBy(F.desc("n"), "phase_name")
 
 
 def mission_table(segments: DataFrame, compat: bool = False) -> DataFrame:
