@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import others
+from voltarc.llm.common import others, shielded
 
 #: Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -204,6 +204,7 @@ def load(path: str) -> BytePairs:
     return BytePairs(path)
 
 
+@shielded
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (array of int). A NULL text counts as empty and gives an empty array."""
     @F.pandas_udf("array<int>")
@@ -214,6 +215,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return docs.select(*others(docs, ["ids"]), ids(F.col(f"`{text}`")).alias("ids"))
 
 
+@shielded
 def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded``. A NULL or empty array gives an empty text."""
     @F.pandas_udf("string")
@@ -224,6 +226,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return docs.select(*others(docs, ["decoded"]), texts(F.col(f"`{ids}`")).alias("decoded"))
 
 
+@shielded
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Encode, decode again and add n_tokens, ids_sha256 and decoded_sha256, in one pass.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +51,32 @@ def others(df: DataFrame, results: list[str]) -> list[Column]:
     """The columns of ``df`` that no result column replaces; names may hold dots."""
     taken = {r.lower() for r in results}
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+
+
+#: Parameters of operators that name a column of their first table.
+_COLUMNS = ("doc_id", "text", "lang", "url", "ids")
+
+
+def shielded(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator work on columns named by position, so that no name in the input, repeated
+    ones included, meets one of its own. Afterwards the input's names come back, but for those that
+    a result has taken."""
+    signature = inspect.signature(op)
+
+    @wraps(op)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        lower = [n.lower() for n in names]
+        bound = signature.bind(docs.toDF(*[f"in{i}" for i in range(len(names))]), *args, **kwargs)
+        bound.apply_defaults()
+        for c in _COLUMNS:
+            if c in bound.arguments:
+                bound.arguments[c] = f"in{lower.index(bound.arguments[c].lower())}"
+        out = op(*bound.args, **bound.kwargs)
+        own = {f"in{i}": n for i, n in enumerate(names)}
+        results = [c for c in out.columns if c not in own]
+        taken = {r.lower() for r in results}
+        return out.select(*[F.col(c).alias(own[c]) for c in out.columns
+                            if c in own and own[c].lower() not in taken], *results)
+
+    return run

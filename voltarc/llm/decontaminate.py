@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import ascii_lower, others, settle
+from voltarc.llm.common import ascii_lower, others, settle, shielded
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -74,6 +74,7 @@ def prefix_tokens(held: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             .select("wtext", "wlen", "size", "m.token", "m.offset"))
 
 
+@shielded
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id",
                  item_text: str = "text", window: int = WINDOW, per_cent: int = 5) -> DataFrame:
     """Add n_words, n_hit, n_items, items_sha256 and contaminated to each document.

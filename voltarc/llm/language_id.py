@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import others
+from voltarc.llm.common import others, shielded
 
 ORDERS = (2, 3, 4)
 PER_ORDER = 8192
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Codes:
                         for r in part.collect()})  # a row per language
 
 
+@shielded
 def identify(docs: DataFrame, model: Codes, text: str = "text") -> DataFrame:
     """Add lang_pred, score (0 to 1) and ambiguous.
 

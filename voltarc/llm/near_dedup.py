@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import settle
+from voltarc.llm.common import settle, shielded
 from voltarc.llm.graph import components
 
 SHINGLE = 5
@@ -182,6 +182,7 @@ def _with_groups(members: DataFrame, groups: DataFrame | None) -> DataFrame:
             .select("band", "node", F.coalesce("comp", "node").alias("comp")))
 
 
+@shielded
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 85,
                     den: int = 100) -> DataFrame:
     """Add n_shingles, component_id (the least id linked, directly or over others) and kept
@@ -260,6 +261,7 @@ def _judged(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> Data
                     "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
+@shielded
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 80,
                 den: int = 100) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, with all their columns. Rows that repeat an id

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import settle
+from voltarc.llm.common import settle, shielded
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -133,8 +133,13 @@ def log_probabilities(requests: DataFrame, counts: DataFrame) -> DataFrame:
                    .agg(F.sum("n").alias(f"_t{k}"),
                         F.sum(F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]))
                         .alias(f"_d{k}")))
-        asked = (asked.join(t.select(F.col("gram").alias(own), n.alias(f"_n{k}")), own, "left")
-                 .join(context, before, "left"))
+        asked = asked.join(t.select(F.col("gram").alias(own), n.alias(f"_n{k}")), own, "left")
+        if k > 1:
+            asked = asked.join(context, before, "left")
+        else:  # the one empty context
+            whole = context.first()
+            asked = (asked.withColumn("_t1", F.lit(whole[1] if whole else None).cast("long"))
+                     .withColumn("_d1", F.lit(whole[2] if whole else None).cast("double")))
         seen, total = F.coalesce(f"_n{k}", F.lit(0)), F.col(f"_t{k}")
         off = F.when(seen == 0, 0.0).when(seen == 1, d[0]).when(seen == 2, d[1]).otherwise(d[2])
         asked = asked.withColumn(f"_p{k}", F.when(total.isNull(), p).otherwise(
@@ -188,11 +193,13 @@ def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text") -> Data
             .applyInPandas(score, f"{schema}, n_grams long, perplexity double"))
 
 
+@shielded
 def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
-          lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+          lang: str = "lang", trusted_id: str = "doc_id", quantile: float = QUANTILE
+          ) -> DataFrame:
     """Add n_grams, perplexity, threshold and kept; the text is left out.
 
-    ``trusted``: a column of ids named ``doc_id``. The model counts every trusted text. kept:
+    ``trusted``: a table of ids. The model counts every trusted text. kept:
     perplexity at most the ``quantile`` of the trusted documents of the row's language (NULL is a
     language of its own); a language without any takes the quantile of all trusted documents, and
     without those everything is kept. A NULL or empty text is one end mark. Rows stay one to one;
@@ -200,7 +207,7 @@ def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
     replaced. The trusted ids are broadcast up to ``BROADCAST_IDS`` of them, else both sides are
     shuffled.
     """
-    ids = settle(trusted.select(F.col(f"`{doc_id}`").alias("_tid")).where("_tid is not null")
+    ids = settle(trusted.select(F.col(f"`{trusted_id}`").alias("_tid")).where("_tid is not null")
                  .distinct(), "trusted-ids")
     marked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(f"`{doc_id}`").alias("_tid"), F.col(f"`{text}`").alias("_text"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import others
+from voltarc.llm.common import others, shielded
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "pan", "ssn", "tel")
@@ -181,6 +181,7 @@ def _detect(texts: pd.Series) -> pd.DataFrame:
                      for t, ss in zip(texts, spans)]})
 
 
+@shielded
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``pii_spans`` (kind, start, end, score) and ``pii_redacted`` (text with marks).
 

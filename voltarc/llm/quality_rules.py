@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import others, settle
+from voltarc.llm.common import others, settle, shielded
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
@@ -30,6 +30,7 @@ TRUST = 0.8  # at the start, the probability that a vote that is given is right
 KEEP_AT = 0.5
 
 
+@shielded
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measures. Words are runs of anything but ASCII white space; a NULL text has none.
     Letters are those with case."""
@@ -132,6 +133,7 @@ def _posteriors(patterns: DataFrame, rules: list[str], iterations: int) -> DataF
             .select(F.col("w.votes").alias("votes"), F.col("w.g").alias("p_good"), "model"))
 
 
+@shielded
 def judge(docs: DataFrame, text: str = "text", rules: dict[str, Column] | None = None,
           iterations: int = ITERATIONS) -> DataFrame:
     """Add the measures, votes, p_good, base_failed and kept.

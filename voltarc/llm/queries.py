@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltarc.llm import (bpe, decontaminate, language_id, near_dedup, perplexity, pii,
-                         quality_rules, toxicity, url_filter)
+                         quality_rules, suffix_dedup, toxicity, url_filter)
 from voltarc.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
              ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+CATEGORIES = ["low_quality", "toxic"]
+
+
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain's categories: low quality, then toxic."""
     return table(spark, sf_dir, "labels").select(
@@ -24,7 +27,7 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chain = toxicity.fit(docs, labels_of(spark, sf_dir), ["low_quality", "toxic"])
+    chain = toxicity.fit(docs, labels_of(spark, sf_dir), CATEGORIES)
     return toxicity.classify(docs, chain).drop("text")
 
 
@@ -42,6 +45,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.repeated(docs).drop("text", "removed")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
@@ -81,7 +89,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_language_id, op3_near_dedup, op5_decontaminate, op6_quality_rules, op7_bpe, op8_perplexity,
+    f.__name__: f for f in (op1_toxicity, op2_language_id, op3_near_dedup, op4_suffix_dedup, op5_decontaminate, op6_quality_rules, op7_bpe, op8_perplexity,
                               op9_url_filter, op10_pii)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

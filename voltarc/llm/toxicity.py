@@ -22,17 +22,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import others
+from voltarc.llm.common import others, shielded
 
 SAMPLE = 12_000  # labelled documents that are learned from, at most
 FEATURES = 1_000  # features per category, at most
 LEAST_DOCS = 3  # sample documents that must hold a feature
+LEAST_LIFT = 2.0  # times the category's share that a feature's documents must have
 PREFIXES = (3, 4, 5, 6)
 FOLDS = 4
-ROUNDS = 80
-STEP = 0.5
-PENALTY = 1.0
-REJECT_AT = 0.5
+ROUNDS = 300
+STEP = 1.0
+PENALTY = 0.3
+REJECT_AT = 0.35
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -172,14 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
         .where(F.col("n") >= LEAST_DOCS))
     index: dict[str, int] = {}
     scores = []
-    for y in ys:  # chi-square of the feature against the category
+    for y in ys:  # chi-square of the feature against the category, where it speaks for it
         pos = float(totals[y] or 0)
         expected = F.col("n") * (pos / max(n, 1))
-        scores.append((F.col(y) - expected)**2 / (F.greatest(expected, F.lit(0.5))
-                                                  * max(1 - pos / max(n, 1), 1e-3)))
+        scores.append(F.when(F.col(y) >= LEAST_LIFT * expected, (F.col(y) - expected)**2 / (
+            F.greatest(expected, F.lit(0.5)) * max(1 - pos / max(n, 1), 1e-3))))
     ranked = summed.select("f", *[s.alias(f"_s{k}") for k, s in enumerate(scores)])
     for k in range(width):
-        for r in ranked.orderBy(F.desc(f"_s{k}"), "f").select("f").limit(FEATURES).collect():
+        for r in ranked.where(f"_s{k} is not null").orderBy(F.desc(f"_s{k}"), "f").select("f").limit(FEATURES).collect():
             index.setdefault(r["f"], len(index))
 
     empty = Chain(categories, index, [], [])
@@ -193,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
                        np.array([list(r["_y"]) for r in got]).reshape(len(got), width), categories)
 
 
+@shielded
 def classify(docs: DataFrame, chain: Chain, text: str = "text", toxic: str | None = None,
              threshold: float = REJECT_AT) -> DataFrame:
     """Add ``p_<category>`` for each category and ``rejected`` (probability of category ``toxic``,

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import LOWER, UPPER, others
+from voltarc.llm.common import LOWER, UPPER, others, shielded
 
 RESULTS = ["host", "path", "rule", "verdict"]
 PREFIX_HEX = 8  # hex digits of the digest that are joined on
@@ -46,6 +46,7 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
 
 
+@shielded
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Add host, path, rule (host + path of the deciding rule, else NULL) and verdict.
 
