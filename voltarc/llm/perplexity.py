@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +105,8 @@ def tables(counts: DataFrame) -> list[DataFrame]:
 
 
 def _discounts(tables_: list[DataFrame]) -> list[list[float]]:
-    """D1, D2, D3+ per order, from how many n-grams have the counts 1 to 4."""
+    """D1, D2, D3+ per order, from how many n-grams have the counts 1 to 4; where these give none
+    between 0 and the count, half the count, so that no probability is 0."""
     out = []
     for t in tables_:
         r = t.agg(*[F.sum((F.col("n") == i).cast("long")) for i in range(1, 5)]).first()
@@ -112,7 +114,7 @@ def _discounts(tables_: list[DataFrame]) -> list[list[float]]:
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
         d = [i - (i + 1) * y * b / a if a else 0.0
              for i, (a, b) in enumerate([(n1, n2), (n2, n3), (n3, n4)], 1)]
-        out.append([min(max(x, 0.0), float(i)) for i, x in enumerate(d, 1)])
+        out.append([x if 0 < x <= i else i / 2 for i, x in enumerate(d, 1)])
     return out
 
 
@@ -177,20 +179,21 @@ def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text") -> Data
                .agg(F.collect_list("gram").alias("_grams"), F.collect_list("logp").alias("_logs")))
     schema = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in rest)
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        texts = list(left["_text"])
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left["_text"].to_pylist()
         sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if texts:
-            logs = dict(zip(right["_grams"].iat[0], right["_logs"].iat[0]))
+            logs = dict(zip(right["_grams"].to_pylist()[0], right["_logs"].to_pylist()[0]))
             for a, b in _portions(texts):
                 names, quad, which = _grams(texts[a:b])
                 per = np.array([logs[g] for g in names])
                 sums[a:b] = np.bincount(which, per[quad], b - a)
                 n[a:b] = np.bincount(which, minlength=b - a)
-        return left[rest].assign(n_grams=n, perplexity=np.exp(-sums / np.maximum(n, 1)))
+        return (left.select(rest).append_column("n_grams", pa.array(n, pa.int64()))
+                .append_column("perplexity", pa.array(np.exp(-sums / np.maximum(n, 1)))))
 
     return (dealt.groupBy("_batch").cogroup(answers.groupBy("_batch"))
-            .applyInPandas(score, f"{schema}, n_grams long, perplexity double"))
+            .applyInArrow(score, f"{schema}, n_grams long, perplexity double"))
 
 
 @shielded
