@@ -13,7 +13,8 @@ hash among its ``GRAM``-byte pieces. Equal windows have equal anchors at equal o
 3. a partition merges its runs with a loser tree that knows each head's common prefix with the last
    winner, so bytes known to be equal are never compared again. The merge leaves suffixes in order
    with the length of the common prefix of neighbours. For each offset, neighbours that agree far
-   enough right, and equally far left, are equal windows; all but the earliest are removed.
+   enough right, and equally far left, are equal windows; all but the earliest are removed. What a
+   partition finds goes out packed by bucket of documents, and each bucket is put together.
 
 Hot anchors (a line or passage that a large part of the corpus shares) are split by offset and by
 the window's own bytes: equal windows were already reduced to one per run, different ones go to
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -265,11 +267,12 @@ def _pack(own: list[tuple]) -> bytes:
     meta = np.array([[len(i[1]), i[2], i[3]] for i in own], np.uint8)
     ids = np.array([[i[4], i[5], i[6]] for i in own], np.int64)
     head = np.array([len(own), len(rest), len(left)], np.int64)
-    return b"".join([head.tobytes(), lcp.tobytes(), lengths.tobytes(), meta.tobytes(),
-                     ids.tobytes(), rest, left])
+    return zstandard.compress(b"".join([head.tobytes(), lcp.tobytes(), lengths.tobytes(),
+                                        meta.tobytes(), ids.tobytes(), rest, left]))
 
 
-def _unpack(blob: bytes):
+def _unpack(packed: bytes):
+    blob = zstandard.decompress(packed)
     n, r, m = np.frombuffer(blob, np.int64, 3).tolist()
     at = 24
     lcp = np.frombuffer(blob, np.uint8, n, at)
@@ -327,19 +330,38 @@ def _equal_windows(pdf: pd.DataFrame) -> pd.DataFrame:
             | (ids[later, 2] != ids[first, 2]))
         hit = later[dup]
         found.append(np.column_stack([ids[hit, 0], ids[hit, 1], ids[hit, 2] - o]))
-    if not found or not sum(map(len, found)):
-        return pd.DataFrame({"_doc": np.empty(0, np.int64), "_txt": np.empty(0, np.int64),
-                             "spans": pd.Series([], dtype=object)})
-    all_ = np.concatenate(found)
-    all_ = all_[np.lexsort((all_[:, 2], all_[:, 1], all_[:, 0]))]
-    cut = np.flatnonzero((np.diff(all_[:, 0]) != 0) | (np.diff(all_[:, 1]) != 0)) + 1
-    rows = []
-    for part in np.split(all_, cut):
-        rows.append((part[0, 0], part[0, 1], _joined(
-            np.column_stack([part[:, 2], part[:, 2] + LENGTH])).tobytes()))
-    docs, texts, spans = zip(*rows)
-    return pd.DataFrame({"_doc": np.array(docs, np.int64), "_txt": np.array(texts, np.int64),
-                         "spans": pd.Series(list(spans), dtype=object)})
+    if not found:
+        return pd.DataFrame({"bucket": pd.Series([], dtype="int64"),
+                             "run": pd.Series([], dtype=object)})
+    rows = _by_document(np.concatenate(found))
+    bucket = (rows[:, 0] ^ rows[:, 1]) % int(pdf["parts"].iat[0])
+    numbers = np.unique(bucket)
+    return pd.DataFrame({"bucket": numbers, "run": pd.Series(
+        [zstandard.compress(rows[bucket == k].tobytes()) for k in numbers], dtype=object)})
+
+
+def _by_document(starts: np.ndarray) -> np.ndarray:
+    """document, digest, window start -> document, digest, start and end of joined spans"""
+    starts = starts[np.lexsort((starts[:, 2], starts[:, 1], starts[:, 0]))]
+    spans = np.column_stack([starts, starts[:, 2] + LENGTH])
+    new = np.ones(len(spans), bool)
+    new[1:] = ((np.diff(spans[:, 0]) != 0) | (np.diff(spans[:, 1]) != 0)
+               | (spans[1:, 2] > spans[:-1, 3]))
+    ends = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(spans) - 1]]).astype(np.int64)
+    return np.column_stack([spans[new][:, :3], spans[ends[:new.sum()], 3]]) if len(spans) else spans
+
+
+def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The partitions' findings for one bucket of documents: a row per document."""
+    rows = np.concatenate([np.frombuffer(zstandard.decompress(b), np.int64).reshape(-1, 4)
+                           for b in pdf["run"]])
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    cut = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
+    parts = np.split(rows, cut) if len(rows) else []
+    return pd.DataFrame({
+        "_doc": np.array([x[0, 0] for x in parts], np.int64),
+        "_txt": np.array([x[0, 1] for x in parts], np.int64),
+        "spans": pd.Series([_joined(x[:, 2:]).tobytes() for x in parts], dtype=object)})
 
 
 def _joined(spans: np.ndarray) -> np.ndarray:
@@ -399,8 +421,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: i
                   .select("_doc", "_txt", "_text", F.col("_marks.place").alias("_place"),
                           F.col("_marks.n").alias("_n"), F.col("_marks.h").alias("_h"))
                   .mapInPandas(_runs(hot, parts), _WIRE), "suffix-runs")
-    merged = (wire.where("part is not null").select("part", "run").groupBy("part")
-              .applyInPandas(_equal_windows, "_doc long, _txt long, spans binary"))
+    merged = (wire.where("part is not null").select("part", "run", F.lit(parts).alias("parts"))
+              .groupBy("part").applyInPandas(_equal_windows, "bucket long, run binary")
+              .groupBy("bucket").applyInPandas(_spans, "_doc long, _txt long, spans binary"))
     spans = (merged.union(wire.where("part is null").select("_doc", "_txt", "spans"))
              .groupBy("_doc", "_txt").agg(F.collect_list("spans").alias("_spans")))
     cut = F.pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
