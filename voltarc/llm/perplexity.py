@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from voltarc.llm.common import settle, shielded
 ORDER = 4
 START, END = "\x02", "\x03"
 BATCH_BYTES = 16 << 20  # of text in a batch, about
+PACK_BYTES = 32 << 20  # of rows that a task holds before it packs them
 PORTION = 2_000_000  # characters that are numbered at a time
 TABLE = 1 << 24  # keys up to which numbering uses a table instead of sorting
 BROADCAST_IDS = 2_000_000
@@ -151,28 +153,61 @@ def log_probabilities(requests: DataFrame, counts: DataFrame) -> DataFrame:
     return asked.select("gram", F.ln(p).alias("logp"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows, about PACK_BYTES at a time, as one compressed blob per ``_batch``."""
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).sort_by("_batch").combine_chunks()
+        own = rows["_batch"].to_numpy()
+        starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1)).tolist()
+        blobs = []
+        for a, b in zip(starts, [*starts[1:], len(own)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as stream:
+                stream.write_table(rows.slice(a, b - a))
+            blobs.append(zstandard.compress(sink.getvalue()))
+        return pa.record_batch([pa.array(own[starts], pa.int32()), pa.array(blobs, pa.binary())],
+                               names=["_batch", "_docs"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield pack(held)
+            held, size = [], 0
+    if held:
+        yield pack(held)
+
+
+def _unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
+
+
 def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text") -> DataFrame:
     """Add n_grams and perplexity, without the text. Documents are dealt by a hash of all their
-    columns; the shuffle of the texts serves both the requests and the scoring."""
+    columns and packed before they move; that one shuffle serves the requests and the scoring."""
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     batches = int(size // BATCH_BYTES) + 1
     rest = [c for c in docs.columns if c.lower() not in {text.lower(), *RESULTS}]
     dealt = (docs.select(*[F.col(f"`{c}`") for c in rest],
                          F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
              .withColumn("_batch", F.pmod(F.xxhash64(*[f"`{c}`" for c in rest], "_text"),
-                                          F.lit(batches)).cast("int"))
-             .repartition(batches, "_batch"))
+                                          F.lit(batches)).cast("int")))
+    packed = dealt.mapInArrow(_packed, "_batch int, _docs binary").repartition(batches, "_batch")
 
     def ask(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in groups:
             for batch, part in pdf.groupby("_batch"):
-                texts, names = list(part["_text"]), set()
-                for a, b in _portions(texts):
-                    names.update(_grams(texts[a:b])[0])
+                names: set[str] = set()
+                for blob in part["_docs"]:
+                    texts = _unpacked(blob)["_text"].to_pylist()
+                    for a, b in _portions(texts):
+                        names.update(_grams(texts[a:b])[0])
                 yield pd.DataFrame({"_batch": np.full(len(names), batch, np.int32),
                                     "gram": pd.Series(list(names), dtype=object)})
 
-    requests = dealt.mapInPandas(ask, "_batch int, gram string").distinct()
+    requests = packed.mapInPandas(ask, "_batch int, gram string").distinct()
     logs = log_probabilities(requests.select("gram").distinct(), counts)
     # A batch has at most as many distinct n-grams as its BATCH_BYTES hold.
     answers = (requests.join(logs, "gram").groupBy("_batch")
@@ -180,6 +215,7 @@ def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text") -> Data
     schema = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in rest)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = pa.concat_tables([_unpacked(b) for b in left["_docs"].to_pylist()])
         texts = left["_text"].to_pylist()
         sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if texts:
@@ -192,7 +228,7 @@ def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text") -> Data
         return (left.select(rest).append_column("n_grams", pa.array(n, pa.int64()))
                 .append_column("perplexity", pa.array(np.exp(-sums / np.maximum(n, 1)))))
 
-    return (dealt.groupBy("_batch").cogroup(answers.groupBy("_batch"))
+    return (packed.groupBy("_batch").cogroup(answers.groupBy("_batch"))
             .applyInArrow(score, f"{schema}, n_grams long, perplexity double"))
 
 
