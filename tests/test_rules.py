@@ -320,8 +320,11 @@ def test_one_hot_gives_zeros_for_missing(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "p string")
     rows = tables.one_hot(df, ["p"]).collect()
     assert [tuple(r) for r in rows] == [(1, 0), (0, 1), (0, 0)]
-    with pytest.raises(ValueError):
-        tables.categories(spark.range(1100).select(F.col("id").cast("string").alias("p")), "p")
+    many = spark.range(1200).select(F.col("id").cast("string").alias("p"))
+    assert len(tables.categories(many, "p")) == 1200
+    listed = tables.one_hot(df, ["p"], values={"p": ["b", "c"]})
+    assert listed.columns == ["p_b", "p_c"] and [tuple(r) for r in listed.collect()] == [
+        (0, 0), (1, 0), (0, 0)]
 
 
 def test_folds_are_disjoint_complete_and_balanced(spark):
@@ -338,6 +341,14 @@ def test_folds_are_disjoint_complete_and_balanced(spark):
     assert runs["a"]["n_train"] == 75 and not runs["a"]["is_run"] and runs["b"]["is_run"]
 
 
+def test_folds_have_no_cell_limit(spark):
+    df = spark.range(2200).select(F.concat(F.lit("c"), F.col("id") % 1100).alias("cell_id"))
+    got = folds.loco_folds(df).collect()
+    assert len(got) == 1100 and {(r["n_test"], r["n_train"]) for r in got} == {(2, 2198)}
+    roles = folds.fold_roles(df, holds=["c7"])
+    assert roles.count() == 1100 and roles.where("role = 'test'").first()["cell_id"] == "c7"
+
+
 def test_fold_statistics_equal_pandas(spark):
     import numpy as np
     import pandas as pd

@@ -13,7 +13,6 @@ from voltarc.sources.stages import settled
 CYCLE = ["cell_id", "cycleNumber"]
 
 FLIGHT_CODES = [4, 5, 6]
-MAX_NAMED = 1000
 
 
 def in_cycle():
@@ -145,15 +144,9 @@ def discharge_sign(facts: DataFrame, samples: DataFrame, min_rows: int = 10) ->
         F.sum(F.col("up_n") + (F.col("_border") & F.col("i_first").isNotNull()).cast("long")
               ).alias("_n"))
     rising = settled(rising)
-    # at most one name per cell; a long list would be a join instead of a pushed-down filter
-    few = rising.where(F.col("rising_rows") < min_rows).select("cell_id")
-    named = [r[0] for r in few.limit(MAX_NAMED + 1).collect()]
-    if not named:
-        medians = rising.select("cell_id", F.lit(None).cast("double").alias("median_mA")).limit(0)
-    else:
-        chosen = (samples.where(F.col("cell_id").isin(named)) if len(named) <= MAX_NAMED
-                  else samples.join(few, "cell_id", "left_semi"))
-        medians = group_quantiles(chosen, ["cell_id"], "I_mA", {"median_mA": 0.5}).drop("n")
+    few = settled(rising.where(F.col("rising_rows") < min_rows).select("cell_id"))
+    medians = group_quantiles(samples.join(few, "cell_id", "left_semi"), ["cell_id"], "I_mA",
+                              {"median_mA": 0.5}).drop("n")
     mean = C.ratio(F.col("_sum"), F.col("_n"))
     basis = F.when(F.col("rising_rows") < min_rows, F.col("median_mA")).otherwise(mean)
     return rising.join(medians, "cell_id", "left").select(

@@ -100,15 +100,17 @@ def phase_degradation(segments: DataFrame) -> DataFrame:
 
 def charge_acceptance(segments: DataFrame, cv_voltage: float = fixed.CV_VOLTAGE_EXPLORATION
                       ) -> DataFrame:
-    """Constant-current and constant-voltage sums per mission (a full outer join of the two)."""
-    def part(phase: str, tag: str) -> DataFrame:
-        rows = of_missions(segments).where(F.col("phase_name") == phase)
-        return rows.groupBy(*MISSION).agg(
-            F.sum("duration_s").alias(f"{tag}_duration_s"),
-            F.sum("energy_Wh").alias(f"{tag}_energy_Wh"),
-            F.avg("mean_C_rate").alias(f"{tag}_mean_C"))
-
-    both = part("CC", "cc").join(part("CV", "cv"), MISSION, "full")
+    """Constant-current and constant-voltage sums of each mission that has either, in one pass."""
+    def part(phase: str, tag: str) -> list:
+        def of(name: str):
+            return F.when(F.col("phase_name") == phase, F.col(name))
+
+        return [F.sum(of("duration_s")).alias(f"{tag}_duration_s"),
+                F.sum(of("energy_Wh")).alias(f"{tag}_energy_Wh"),
+                F.avg(of("mean_C_rate")).alias(f"{tag}_mean_C")]
+
+    rows = of_missions(segments).where(F.col("phase_name").isin("CC", "CV"))
+    both = rows.groupBy(*MISSION).agg(*part("CC", "cc"), *part("CV", "cv"))
     return charge_shares(both, "cc_duration_s", "cv_duration_s", "cv_energy_Wh", cv_voltage)
 
 

@@ -14,39 +14,38 @@ from pyspark.sql import functions as F
 from voltarc.functions import fixed
 from voltarc.functions.quantiles import group_quantiles
 from voltarc.operators.tables import quoted
-
-MAX_CELLS = 1024
+from voltarc.sources.stages import settled
 
 
 def cell_sizes(samples: DataFrame) -> DataFrame:
-    """Samples per cell. Each cell is one model fit, so more than MAX_CELLS cells is refused."""
-    sizes = samples.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
-    if sizes.limit(MAX_CELLS + 1).count() > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells to hold out")
-    return sizes
+    """Samples per cell."""
+    return samples.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def loco_folds(samples: DataFrame, min_train: int = fixed.MIN_TRAIN_ROWS) -> DataFrame:
     """One fold per cell: its own samples test, all others train; ``is_run`` is the skip rule."""
-    everyone = Window.partitionBy()  # one row per cell, at most MAX_CELLS
-    total = F.sum("n").over(everyone)
-    return cell_sizes(samples).select(
+    sizes = settled(cell_sizes(samples))
+    total = sizes.agg(F.sum("n")).first()[0] or 0  # one number
+    return sizes.select(
         F.col("cell_id").alias("hold"), F.col("n").alias("n_test"),
-        (total - F.col("n")).alias("n_train")
+        (F.lit(total).cast("long") - F.col("n")).alias("n_train")
     ).withColumn("is_run", (F.col("n_test") > 0) & (F.col("n_train") >= min_train))
 
 
-def fold_roles(samples: DataFrame) -> DataFrame:
+def fold_roles(samples: DataFrame, holds: Sequence[str] | None = None) -> DataFrame:
     """``(hold, cell_id, n, fold, role)``: role of every cell in every fold.
 
     Training cells are dealt by size, largest first (ties: later cell id first), to the lightest
-    of 2 or 3 parts; the first part is the validation set.
+    of 2 or 3 parts; the first part is the validation set. ``holds`` names the cells to hold out,
+    by default all; the deal of a fold needs the list of all cells, one short entry each.
     """
     sizes = cell_sizes(samples)
-    everyone = Window.partitionBy()  # one row per cell, at most MAX_CELLS
+    everyone = Window.partitionBy()  # one row per cell
     listed = sizes.select(
         F.col("cell_id").alias("hold"), F.col("n").alias("_own"),
         F.collect_list(F.struct("n", "cell_id")).over(everyone).alias("_all"))
+    if holds is not None:
+        listed = listed.where(F.col("hold").isin(list(holds)))
     others = F.reverse(F.array_sort(F.filter("_all", lambda x: x["cell_id"] != F.col("hold"))))
     start = F.struct(
         F.array_repeat(F.lit(0).cast("long"), F.least(F.lit(3), F.greatest(
@@ -95,7 +94,7 @@ def fold_statistics(statistics: DataFrame, roles: DataFrame) -> DataFrame:
     """Training-cell statistics combined per (hold, feature): count, mean, deviation, corr."""
     train = roles.where(F.col("role") == "train").select("hold", "cell_id")
     rows = statistics.join(train, "cell_id")
-    fold = Window.partitionBy("hold", "feature")  # at most MAX_CELLS rows
+    fold = Window.partitionBy("hold", "feature")  # one row per training cell
 
 
     rows = rows.withColumns({"_m": F.try_divide(F.sum(F.col("m") * F.col("n")).over(fold),

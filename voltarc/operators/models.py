@@ -41,9 +41,9 @@ def random_forest(trees: int = 600, min_leaf: int = 2, depth: int = 30, seed: in
 
 
 def boosted(preset: str = "xgb", seed: int = SEED, **changes):
-    """Boosted trees; rounds stop early on the rows that ``is_val`` marks."""
-    return GBTRegressor(**{**PRESETS[preset], "validationIndicatorCol": "is_val", "seed": seed,
-                           **changes})
+    """Boosted trees; rounds end at the first that does not improve on the rows ``is_val`` marks."""
+    return GBTRegressor(**{**PRESETS[preset], "validationIndicatorCol": "is_val",
+                           "validationTol": 0.0, "seed": seed, **changes})
 
 
 def hash_split(table: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -129,21 +129,22 @@ def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
                      keys: Sequence[str], make: Callable[[], object], name: str,
                      guard: bool = True, hold_only: Iterable[str] | None = None,
                      fill_missing: bool = False, roles: DataFrame | None = None,
-                     parallel: int = 8) -> DataFrame:
+                     parallel: int = 8, min_train: int = 1) -> DataFrame:
     """Predictions of every held-out cell from a model fitted on the other cells.
 
     ``guard`` applies the name and correlation guards; fill values and scaling come from the
     training cells alone. ``samples`` should be a written table, as every fold reads it, and
-    ``fill_missing`` is needed only when its features have missing values.
+    ``fill_missing`` is needed only when its features have missing values. Folds with fewer than
+    ``min_train`` training rows are skipped: trees skip empty ones, sequence models small ones.
     """
     features = safe_names(features) if guard else list(features)
     limit = fixed.CORR_LIMIT if guard else float("inf")
     roles = folds.fold_roles(samples) if roles is None else roles
     plan: dict[str, list] = {}
-    # one row per (cell, feature): bounded by the cell limit of the folds
+    # one row per (held-out cell, feature), next to a fitted model per held-out cell
     for row in folds.fold_prepare(samples, features, label, limit, fill_missing, roles).collect():
         plan.setdefault(row["hold"], []).append(row)
-    runs = {r["hold"] for r in folds.loco_folds(samples).where("is_run").collect()}
+    runs = {r["hold"] for r in folds.loco_folds(samples, min_train).where("is_run").collect()}
     validation: dict[str, list[str]] = {}
     for r in roles.where("role = 'val'").select("hold", "cell_id").collect():
         validation.setdefault(r["hold"], []).append(r["cell_id"])
@@ -175,12 +176,13 @@ def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
 
 
 def grid_sweep(samples: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
-               grid: Mapping[str, Sequence], cells: int = 3, **fixed_params) -> DataFrame:
-    """One row per grid point: mean per-cell error over the first ``cells`` held-out cells."""
+               grid: Mapping[str, Sequence], cells: int | None = None, **fixed_params) -> DataFrame:
+    """One row per grid point: mean per-cell error over the held-out cells (all, or the
+    first ``cells`` for a quick look)."""
     from voltarc.operators.predictions import per_cell_metrics
 
-    first = [r[0] for r in samples.select("cell_id").distinct().orderBy("cell_id").limit(cells)
-             .collect()]
+    first = None if cells is None else [r[0] for r in samples.select("cell_id").distinct()
+                                        .orderBy("cell_id").limit(cells).collect()]
     out = []
     for values in product(*grid.values()):
         point = dict(zip(grid, values))

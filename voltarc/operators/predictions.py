@@ -58,12 +58,13 @@ def across_levels(predictions: DataFrame, column: str | None = None,
                   levels: Sequence[int] = tuple(fixed.EOL_SWEEP)) -> DataFrame:
     """One row per mission that has a prediction at every level: columns ``p80, p85, p90``."""
     column = column or ("y_pred_pp" if "y_pred_pp" in predictions.columns else "y_pred")
-    out = None
+    at = {level: F.col("eol") == level for level in levels}
+    wide = predictions.where(F.col("eol").isin(list(levels))).groupBy(*KEYS).agg(
+        *[F.max(F.when(on, F.col(column))).alias(f"p{level}") for level, on in at.items()],
+        *[F.count_if(on).alias(f"_has{level}") for level, on in at.items()])
     for level in levels:
-        one = predictions.where(F.col("eol") == level).select(
-            *KEYS, F.col(column).alias(f"p{level}"))
-        out = one if out is None else out.join(one, KEYS)
-    return out
+        wide = wide.where(F.col(f"_has{level}") > 0).drop(f"_has{level}")
+    return wide
 
 
 def rul_monotonicity(wide: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,24 +11,22 @@ from voltarc.functions import fixed
 from voltarc.operators.missions import MISSION, family_sum, of_missions
 from voltarc.operators.segments import SEGMENT
 
-MAX_CATEGORIES = 1000
-
 
 def categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct values of a label column; refuses columns that are not categories."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(
-        MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} distinct values")
+    """Sorted distinct values of a label column; each becomes a column of its own."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(str(r[0]) for r in rows)
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], drop: bool = True) -> DataFrame:
-    """0/1 columns ``<column>_<value>`` per category; a missing value gives all zeros."""
+def one_hot(df: DataFrame, columns: Sequence[str], drop: bool = True,
+            values: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """0/1 columns ``<column>_<value>`` per category; a missing value gives all zeros. ``values``
+    lists the categories of a column; a column it does not list is read once for them."""
+    known = values or {}
     for c in [c for c in columns if c in df.columns]:
         df = df.withColumns({
             f"{c}_{value}": F.coalesce((F.col(c) == value).cast("int"), F.lit(0))
-            for value in categories(df, c)})
+            for value in (known[c] if c in known else categories(df, c))})
         df = df.drop(c) if drop else df
     return df
 

@@ -204,8 +204,7 @@ query("capacity_features", f"{KEY} *frac_flight dis_dur_s quasi_cc *QDischarge_m
 @query("capacity_tests", f"{KEY} n_rows is_capacity_test score dis_dur_s *frac_flight",
        "c_tested")
 def capacity_tests(p):
-    tests = cy.flag_capacity_tests(cy.score_cycles(p.capacity_features()))
-    return cy.attach_capacity_flags(cy.cycle_summary(p.facts), tests)
+    return cy.attach_capacity_flags(cy.cycle_summary(p.facts), p.tested)
 
 
 query("capacity_candidates", f"{KEY} candidate_rank score dis_dur_s *frac_flight *QDischarge_mAh",
@@ -666,16 +665,30 @@ def _as_rows(name: str, columns: str):
     return query(name, columns, None)
 
 
+def _importance(p: Pipeline, measure) -> DataFrame:
+    """One measure over the three modelling tables."""
+    parts = [measure(tables.soc_table(p.phase_features), segments.SEGMENT, "SOC_phase_delta",
+                     **BUDGET),
+             measure(p.soh_model_table, missions.MISSION, "SOH_next_mission", **BUDGET),
+             measure(tables.rul_table(p.phase_features), missions.MISSION, "RUL_missions",
+                     **BUDGET)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @_as_rows("feature_importance", "task feature gini_importance r2")
 def feature_importance(p):
-    return models.feature_importance(p.soh_model_table, missions.MISSION, "SOH_next_mission",
-                                     **BUDGET)
+    return _importance(p, models.feature_importance)
 
 
 @_as_rows("permutation_importance", "task feature perm_importance_mean perm_importance_std")
 def permutation_importance(p):
-    return models.permutation_importance(p.soh_model_table, missions.MISSION,
-                                         "SOH_next_mission", **BUDGET)
+    return _importance(p, models.permutation_importance)
+
+
+def _loco_features(level: str, rows: DataFrame) -> list[str]:
+    """Dictionary features of a level and the one-hot test conditions."""
+    return tables.model_features(level, rows.columns) + [
+        c for c in rows.columns if c.startswith(("cell_condition_", "test_condition_"))]
 
 
 def _forest():
@@ -687,7 +700,7 @@ PRED = f"{MIS} y_true y_pred model"
 
 @_as_rows("loco_rf", PRED)
 def loco_rf(p):
-    return models.loco_predictions(p.horizon, oracle.MISSION_MODEL, "dSOH_to_future",
+    return models.loco_predictions(p.horizon, _loco_features("mission", p.horizon), "dSOH_to_future",
                                    missions.MISSION, _forest, "rf", roles=p.roles)
 
 
@@ -696,7 +709,8 @@ def loco_gbt(p):
     out = None
     for preset in models.PRESETS:
         one = models.loco_predictions(
-            p.horizon, oracle.MISSION_MODEL, "dSOH_to_future", missions.MISSION,
+            p.horizon, _loco_features("mission", p.horizon), "dSOH_to_future",
+            missions.MISSION,
             lambda: models.boosted(preset, maxIter=ROUNDS, stepSize=0.1, maxDepth=3), preset,
             roles=p.roles)
         out = one if out is None else out.unionByName(one)
@@ -706,22 +720,25 @@ def loco_gbt(p):
 @_as_rows("loco_seq", PRED)
 def loco_seq(p):
     """Forest on pooled trailing windows, the stand-in for the recurrent networks."""
-    names = [f"{f}__{k}" for f in oracle.MISSION_MODEL for k in sequences.POOLS]
+    names = [f"{f}__{k}" for f in tables.model_features("mission", p.horizon.columns)
+             for k in sequences.POOLS]
     return models.loco_predictions(p.pooled_horizon, names, "dSOH_to_future", missions.MISSION,
-                                   _forest, "pooled_rf", roles=p.roles)
+                                   _forest, "pooled_rf", roles=p.roles,
+                                   min_train=fixed.MIN_TRAIN_ROWS)
 
 
 @_as_rows("loco_eval", "task model num_cells total_samples MAE_mean MAE_median RMSE_mean "
           "RMSE_median")
 def loco_eval(p):
     """Fleet metrics of the forest over the five tasks: SOC, SOH and RUL at 80 / 85 / 90."""
-    tasks = [("soc_phase_delta", p.soc_samples, oracle.PHASE_MODEL, "label", segments.SEGMENT),
-             ("soh_next", p.horizon, oracle.MISSION_MODEL, "dSOH_to_future", missions.MISSION)]
+    tasks = [("soc_phase_delta", p.soc_samples, "phase", "label", segments.SEGMENT),
+             ("soh_next", p.horizon, "mission", "dSOH_to_future", missions.MISSION)]
     tasks += [(f"rul_eol_{level}", p.rul_samples.where(F.col("eol") == level),
-               oracle.MISSION_MODEL, "RUL_missions", missions.MISSION)
+               "mission", "RUL_missions", missions.MISSION)
               for level in fixed.EOL_SWEEP]
     out = None
-    for task, rows, features, label, keys in tasks:
+    for task, rows, kind, label, keys in tasks:
+        features = _loco_features(kind, rows)
         guesses = models.loco_predictions(rows, features, label, keys, _forest, "rf")
         fleet = predictions.fleet_metrics(predictions.per_cell_metrics(guesses, ["model"]),
                                           ["model"]).withColumn("task", F.lit(task))
@@ -731,7 +748,8 @@ def loco_eval(p):
 
 @_as_rows("grid_sweep", "maxDepth stepSize MAE_mean RMSE_mean cells N_total")
 def grid_sweep(p):
-    return models.grid_sweep(p.rul_samples.where("eol = 85"), oracle.MISSION_MODEL,
+    return models.grid_sweep(p.rul_samples.where("eol = 85"),
+                             _loco_features("mission", p.rul_samples),
                              "RUL_missions", missions.MISSION,
                              {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, maxIter=ROUNDS)
 

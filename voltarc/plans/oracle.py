@@ -741,8 +741,8 @@ FROM c_corr c JOIN (
   GROUP BY r.hold, l.feature) s ON s.hold = c.hold AND s.feature = c.feature"""
 
 PARTS["c_arr"] = """
-SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:16]] AS a,
-       [CAST(x AS DOUBLE) FOR x IN embedding[1:6]] AS g
+SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS a,
+       [CAST(x AS DOUBLE) FOR x IN embedding] AS g
 FROM embeddings"""
 
 PARTS["c_att"] = """

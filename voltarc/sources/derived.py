@@ -60,10 +60,10 @@ def telemetry_from_events(events: DataFrame) -> DataFrame:
 
 
 def arrays_from_embeddings(embeddings: DataFrame) -> DataFrame:
-    """Attention-like weights (softmax of 16 elements) and gate logits (6 elements) per vector."""
+    """Attention-like weights (softmax of a vector) and gate logits (the vector itself)."""
     from voltarc.functions.columns import softmax
 
     wide = F.transform("embedding", lambda x: x.cast("double"))
     return embeddings.select(
-        "vec_id", softmax(F.slice(wide, 1, 16)).alias("attention"),
-        F.slice(wide, 1, 6).alias("gate_logits"))
+        "vec_id", softmax(wide).alias("attention"),
+        wide.alias("gate_logits"))

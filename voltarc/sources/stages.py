@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a session in one local
+    process gets a temporary folder; a cluster, whose machines would not share it, raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="voltarc-")
         spark.sparkContext.setCheckpointDir(named)
     return named
