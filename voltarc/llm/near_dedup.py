@@ -15,6 +15,7 @@ are cut into blocks there, so that no task holds a bucket. Nothing is capped or
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
@@ -41,19 +42,6 @@ _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _PLACE = _rng.integers(0, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _WordHashes(dict):
-    """Word -> 64-bit hash; starts afresh when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -66,12 +54,13 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     k = min(size, n)
     total = np.full(n - k + 1, k, np.uint64) * _PLACE[size]
     for j in range(k):
         total += h[j:n - k + 1 + j] * _PLACE[j]
-    return np.unique(_mix(total))
+    total = np.sort(_mix(total))
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -144,10 +133,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
 
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches, cut so that no run of equal keys is spread over two of them."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pd.concat([rest, batch], ignore_index=True)
+        if batch.empty:
+            continue
+        last = np.ones(len(batch), bool)
+        for k in keys:
+            last &= (batch[k] == batch[k].iat[-1]).to_numpy()
+        at = len(batch) - int(last.sum())
+        if at:
+            yield batch.iloc[:at].reset_index(drop=True)
+        rest = batch.iloc[at:].reset_index(drop=True)
+    if rest is not None:
+        yield rest
+
+
 def _across(members: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame:
-    """Surviving pairs of different groups in a bucket. members: band, node, comp."""
+    """Surviving pairs of different groups in a bucket. members: band, node, comp.
+
+    The one pair of a bucket of two was compared in the first round. Blocks of buckets are sorted
+    runs in a partition; a partition's runs are compared together, row r with row r + 1, r + 2 ...
+    of its run, so that small buckets cost no call of their own.
+    """
     mixed = (members.groupBy("band").agg(F.count("*").alias("k"), F.min("comp").alias("lo"),
-                                         F.max("comp").alias("hi")).where("lo <> hi")
+                                         F.max("comp").alias("hi")).where("lo <> hi and k > 2")
              .select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (members.join(mixed, "band").withColumn("own", own)
@@ -156,22 +169,31 @@ def _across(members: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame
              .select("band", "node", "comp", "own", F.least("own", "other").alias("i"),
                      F.greatest("own", "other").alias("j"))
              .join(nodes.select("node", "sig"), "node"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        left, right = (pdf[pdf["own"] == k].reset_index(drop=True) for k in (i, j))
-        a, b = _matrix(left["sig"]), _matrix(right["sig"])
-        comp_b = right["comp"].to_numpy()
-        found = []
-        for r in range(len(left)):
-            other = np.flatnonzero(comp_b != left["comp"].iat[r])
-            if i == j:
-                other = other[other > r]
-            kept = other[_stay(np.broadcast_to(a[r], (len(other), HASHES)), b[other], least)]
-            found += [(left["node"].iat[r], right["node"].iat[k]) for k in kept]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return (dealt.groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary")
+    run = ["band", "i", "j"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _runs(batches, run):
+            n = len(pdf)
+            keys = pdf[run].to_numpy()
+            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            end = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n]))
+            sig, node = _matrix(pdf["sig"]), pdf["node"].to_numpy()
+            comp, own = pd.factorize(pdf["comp"])[0], pdf["own"].to_numpy()
+            alone = keys[:, 1] == keys[:, 2]  # a block with itself
+            left, step = np.arange(n), 0
+            while True:
+                step += 1
+                left = left[left + step < end[left]]
+                if not len(left):
+                    break
+                a = left[(comp[left] != comp[left + step])
+                         & (alone[left] | (own[left] != own[left + step]))]
+                a = a[_stay(sig[a], sig[a + step], least)]
+                if len(a):
+                    yield pd.DataFrame({"a": node[a], "b": node[a + step]})
+
+    return (dealt.repartition(*run).sortWithinPartitions(*run)
+            .mapInPandas(compare, "a binary, b binary")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -236,7 +258,11 @@ def _judged(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> Data
         placed = _with_groups(members, groups)
         if turn < STAR_ROUNDS:
             centre = placed.groupBy("band").agg(
-                F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("c"))
+                F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("c"),
+                F.count("*").alias("k"))
+            if turn:  # the pair of a bucket of two has been compared
+                centre = centre.where("k > 2")
+            centre = centre.select("band", "c")
             pairs = (placed.join(centre, "band").where("comp <> c.comp")
                      .select(F.least("node", "c.node").alias("a"),
                              F.greatest("node", "c.node").alias("b")).distinct())
