@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from voltarc.operators import models, predictions
@@ -44,6 +45,21 @@ def test_boosting_stops_on_validation_rows(table):
     assert errors(got) < 2.0
 
 
+def test_patience_outlives_a_flat_stretch(table):
+    flat = [5.0, 4.0, 4.0, 4.1, 4.0, 3.0, 3.5, 3.5, 2.0]
+    assert [models.best_round(flat, p) for p in (1, 3, 4, None)] == [2, 2, 9, 9]
+    rows = table.select(
+        array_to_vector(F.array("signal", "noise")).alias("features"), F.col("y").alias("label"),
+        (F.col("cell_id") == "VAH01").alias("is_val"))
+    # later rounds fit the training rows ever closer; the model keeps those that suit the others
+    make = models.boosted("xgb", maxIter=12, maxDepth=3, stepSize=0.9, subsamplingRate=1.0)
+    whole = make.fit(rows.where("not is_val"))
+    errors = whole.evaluateEachIteration(rows.where("is_val"), "squared")
+    kept = models.fit_patient(make, rows, None)
+    assert kept.getNumTrees == errors.index(min(errors)) + 1
+    assert kept.treeWeights == whole.treeWeights[:kept.getNumTrees]
+
+
 def test_guard_drops_a_copy_of_the_label(table):
     leaky = table.withColumn("copy", F.col("y"))
     plan = models.folds.fold_prepare(leaky, ["signal", "copy"], "y", 0.9999).collect()

@@ -33,6 +33,7 @@ PRESETS = {
     "lightgbm": dict(maxIter=5000, stepSize=0.03, maxDepth=6, minInstancesPerNode=200,
                      subsamplingRate=0.9, featureSubsetStrategy="0.9", lossType="absolute"),
 }
+PATIENCE = 200  # rounds without a lower validation error; the second preset looks at all rounds
 
 
 def random_forest(trees: int = 600, min_leaf: int = 2, depth: int = 30, seed: int = SEED):
@@ -41,9 +42,35 @@ def random_forest(trees: int = 600, min_leaf: int = 2, depth: int = 30, seed: in
 
 
 def boosted(preset: str = "xgb", seed: int = SEED, **changes):
-    """Boosted trees; rounds end at the first that does not improve on the rows ``is_val`` marks."""
-    return GBTRegressor(**{**PRESETS[preset], "validationIndicatorCol": "is_val",
-                           "validationTol": 0.0, "seed": seed, **changes})
+    """Boosted trees with the settings of a preset; ``fit_patient`` chooses the number of rounds."""
+    return GBTRegressor(**{**PRESETS[preset], "seed": seed, **changes})
+
+
+def best_round(errors: Sequence[float], patience: int | None) -> int:
+    """Rounds to keep: up to the least validation error. Looking ends after ``patience`` rounds
+    without a lower one; None looks at all."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif patience is not None and i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_patient(estimator: GBTRegressor, rows: DataFrame, patience: int | None):
+    """Fit on the rows that ``is_val`` does not mark, with the rounds that suit the marked rows.
+
+    A seed gives every round its own draw, so a fit with fewer rounds is a prefix of a longer one.
+    """
+    train, check = rows.where(~F.col("is_val")), rows.where("is_val")
+    model = estimator.fit(train)
+    if check.isEmpty():
+        return model
+    rounds = best_round(model.evaluateEachIteration(check, estimator.getLossType()), patience)
+    if rounds < estimator.getMaxIter():
+        model = estimator.copy({estimator.maxIter: rounds}).fit(train)
+    return model
 
 
 def hash_split(table: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -129,13 +156,15 @@ def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
                      keys: Sequence[str], make: Callable[[], object], name: str,
                      guard: bool = True, hold_only: Iterable[str] | None = None,
                      fill_missing: bool = False, roles: DataFrame | None = None,
-                     parallel: int = 8, min_train: int = 1) -> DataFrame:
+                     parallel: int = 8, min_train: int = 1,
+                     patience: int | None = PATIENCE) -> DataFrame:
     """Predictions of every held-out cell from a model fitted on the other cells.
 
     ``guard`` applies the name and correlation guards; fill values and scaling come from the
     training cells alone. ``samples`` should be a written table, as every fold reads it, and
     ``fill_missing`` is needed only when its features have missing values. Folds with fewer than
     ``min_train`` training rows are skipped: trees skip empty ones, sequence models small ones.
+    Boosted models keep the rounds that suit the validation cells, see ``best_round``.
     """
     features = safe_names(features) if guard else list(features)
     limit = fixed.CORR_LIMIT if guard else float("inf")
@@ -159,9 +188,10 @@ def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
             "is_val", F.col("cell_id").isin(validation.get(hold, [])))
         estimator = make()
         train = frame.where((F.col("cell_id") != hold) & F.col("label").isNotNull())
-        if not isinstance(estimator, GBTRegressor):
-            train = train.where(~F.col("is_val"))
-        model = estimator.fit(train)
+        if isinstance(estimator, GBTRegressor):
+            model = fit_patient(estimator, train, patience)
+        else:
+            model = estimator.fit(train.where(~F.col("is_val")))
         test = frame.where((F.col("cell_id") == hold) & F.col("label").isNotNull())
         return model.transform(test).select(
             *keys, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"),

@@ -712,7 +712,7 @@ def loco_gbt(p):
             p.horizon, _loco_features("mission", p.horizon), "dSOH_to_future",
             missions.MISSION,
             lambda: models.boosted(preset, maxIter=ROUNDS, stepSize=0.1, maxDepth=3), preset,
-            roles=p.roles)
+            roles=p.roles, patience=None if preset == "catboost" else models.PATIENCE)
         out = one if out is None else out.unionByName(one)
     return out
 
