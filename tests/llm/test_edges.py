@@ -231,3 +231,23 @@ def test_chain_uses_earlier_categories():
     assert chain.weights[1][20] > 0  # weight of the first category's probability
     p = np.array([chain.predict(s) for s in sets])
     assert ((p > 0.5) == np.array(labels)).mean() > 0.99
+
+
+def test_near_small_blocks(spark, monkeypatch):
+    """Buckets cut into blocks of two nodes link the same texts as brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 1)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:i * 3] + [f"x{i}"] + base[i * 3 + 1:]) for i in range(12)]
+    texts += [" ".join(base[i * 8:] + [f"y{k}" for k in range(i * 8)]) for i in range(1, 8)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        num=92).collect()}
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= 92 * len(x | y):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert got == dict(enumerate(want)) and len(set(want)) > 2
