@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -251,3 +252,75 @@ def test_near_small_blocks(spark, monkeypatch):
                 if 100 * len(x & y) >= 92 * len(x | y):
                     want[a] = want[b] = min(want[a], want[b])
     assert got == dict(enumerate(want)) and len(set(want)) > 2
+
+
+def kneser_ney(texts, alone, order=3):
+    """Brute force: (n-grams, perplexity) per text, one of ``texts`` if ``alone`` is its place."""
+    def grams(t):
+        w = ["<"] * (order - 1) + t.split() + [">"]
+        return [tuple(w[i:i + order]) for i in range(len(w) - order + 1)]
+
+    def levels(held):
+        out = [Counter(g for t in held for g in grams(t))]
+        for _ in range(order - 1):
+            out.append(Counter(g[1:] for g in out[-1]))
+        return out[::-1]
+
+    discounts = []
+    for level in levels(texts):
+        times = Counter(level.values())
+        n = [times[i] for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0 for i in (1, 2, 3)]
+        discounts.append([0] + [x if 0 < x <= i else i / 2 for i, x in enumerate(d, 1)])
+    units = len({g[-1] for t in texts for g in grams(t)}) + 1
+    model = levels([t for i, t in enumerate(texts) if i != alone])
+
+    def p(g):
+        value = 1 / units
+        for k in range(1, order + 1):
+            level, d = model[k - 1], discounts[k - 1]
+            follow = [n for h, n in level.items() if h[:-1] == g[order - k:-1]]
+            n = level[g[order - k:]]
+            if follow:
+                value = (n - d[min(n, 3)] + value * sum(d[min(m, 3)] for m in follow)) / sum(follow)
+        return value
+
+    return lambda t: (len(grams(t)), np.exp(-np.mean([np.log(p(g)) for g in grams(t)])))
+
+
+def sentences(rng, n):
+    """Words of four kinds in a fixed order of kinds."""
+    kinds = ["the a one this".split(), "red old big new".split(), "fox cat dog bird".split(),
+             "sees has finds eats".split()]
+    return " ".join(str(rng.choice(kinds[k % 4])) for k in range(4 * n))
+
+
+def test_perplexity_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = [sentences(rng, int(rng.integers(1, 6))) for _ in range(12)]
+    texts += [texts[3], "", None, "never seen words", "the red fox", "red red red fox"]
+    trusted = [*range(14), 14]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r.doc_id: r for r in perplexity.judge(
+        docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+    held = [texts[i] or "" for i in trusted]
+    for i, t in enumerate(texts):
+        alone = trusted.index(i) if i in trusted else None
+        n, value = kneser_ney(held, alone)(t or "")
+        assert got[i].n_grams == n and got[i].perplexity == pytest.approx(value)
+
+
+def test_perplexity_hears_word_order(spark):
+    """Unseen texts in the usual order pass; the same words in senseless order do not."""
+    rng = np.random.default_rng(6)
+    rows = [(i, sentences(rng, 15), "en") for i in range(90)]
+    for i in range(30):
+        words = rows[60 + i][1].split()
+        rng.shuffle(words)
+        rows.append((100 + i, " ".join(words), "en"))
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    got = {r.doc_id: r.kept for r in perplexity.judge(
+        spark.createDataFrame(rows, SCHEMA), trusted).collect()}
+    assert sum(got[i] for i in range(60, 90)) >= 27
+    assert not any(got[100 + i] for i in range(30))

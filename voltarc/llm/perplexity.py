@@ -1,21 +1,25 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of word n-grams.
 
 The model is learned from trusted texts. Counts of n-grams, of their continuations and of their
-contexts are grouped tables, sharded by n-gram. A text's perplexity needs the probability of each of
-its n-grams, so documents are dealt into batches by a hash; a batch asks for each distinct n-gram
-once; the distinct requests of all batches are joined with the count tables, order by order, and
-the log-probabilities go back to the batches. A document passes if its perplexity is at most a
-quantile of the trusted documents' perplexities in its language.
-
-n-grams are strings of ``ORDER`` characters over the text as it is, after ``ORDER - 1`` start marks
-and before an end mark. What is gathered grows with the corpus; the number of batches follows the
-size of the input, so a batch stays small.
+contexts are grouped tables, sharded by n-gram, and together they are one table of n-grams of all
+orders. A text's perplexity needs the entries of its n-grams and their contexts, so documents are
+dealt into batches by a hash; a batch asks for each of them once, the requests are joined with the
+table, and what is found goes back to the batches. A trusted text is scored without its own counts,
+as it would else know itself by heart. A document passes if its perplexity is at most a quantile of
+the trusted documents' perplexities in its language.
+
+n-grams are strings of ``ORDER`` words, after ``ORDER - 1`` start marks and before an end mark. Words
+are what white space separates; characters of scripts of East Asia are words by themselves. What
+is gathered grows with the corpus; the number of batches follows the size of the input, so a batch
+stays small. The same code counts n-grams of characters (``CHARACTERS``).
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,45 +30,70 @@ from pyspark.sql import functions as F
 
 from voltarc.llm.common import settle, shielded
 
-ORDER = 4
-START, END = "\x02", "\x03"
-BATCH_BYTES = 16 << 20  # of text in a batch, about
+ORDER = 3
+BATCH_BYTES = 4 << 20  # of text in a batch, about
 PACK_BYTES = 32 << 20  # of rows that a task holds before it packs them
 PORTION = 2_000_000  # characters that are numbered at a time
-TABLE = 1 << 24  # keys up to which numbering uses a table instead of sorting
 BROADCAST_IDS = 2_000_000
 QUANTILE = 0.995
 RESULTS = ["n_grams", "perplexity", "threshold", "kept"]
 
+_EAST = "⺀-鿿豈-﫿\U00020000-\U0003ffff"
+_WORDS = re.compile(f"[{_EAST}]|[^\\s{_EAST}]+")
 
-def _dense(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys below ``size`` and, for each key, its place among them."""
-    if size > TABLE:
-        return np.unique(keys, return_inverse=True)
-    held = np.zeros(size, bool)
-    held[keys] = True
-    distinct = np.flatnonzero(held)
-    place = np.empty(size, np.int32)
-    place[distinct] = np.arange(len(distinct), dtype=np.int32)
-    return distinct, place[keys]
-
-
-def _grams(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct n-grams as strings, and for each n-gram of each text, in order: which one it is and
-    which text it stands in. Pairs are numbered first, then pairs of pairs, so any alphabet goes."""
-    marked = [START * (ORDER - 1) + t + END for t in texts]
-    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
-    which = np.repeat(np.arange(len(texts), dtype=np.int32),
-                      [len(m) - (ORDER - 1) for m in marked])
-    letters, ids = _dense(codes, 0x110000)
-    base = len(letters)
-    pairs, pair = _dense(ids[:-1].astype(np.int64) * base + ids[1:], base * base)
-    at = np.arange(len(which)) + which * (ORDER - 1)
-    quads, quad = _dense(pair[at].astype(np.int64) * len(pairs) + pair[at + 2], len(pairs)**2)
-    left, right = pairs[quads // len(pairs)], pairs[quads % len(pairs)]
-    four = letters[np.column_stack([left // base, left % base, right // base, right % base])]
-    names = four.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return [names[i:i + ORDER] for i in range(0, len(names), ORDER)], quad, which
+
+@dataclass(frozen=True)
+class Units:
+    """What n-grams are made of; a separator and the marks are no part of any unit."""
+    order: int
+    separator: str
+    start: str
+    end: str
+
+    def split(self, text: str) -> list[str]:
+        return _WORDS.findall(text) if self.separator else list(text)
+
+    def first(self, gram: Column | str, k: int) -> Column:
+        return F.substring_index(gram, self.separator, k) if self.separator else F.substring(gram, 1, k)
+
+    def last(self, gram: Column | str, k: int) -> Column:
+        if self.separator:
+            return F.substring_index(gram, self.separator, -k)
+        return F.substring(gram, -k, k)
+
+
+CHARACTERS = Units(4, "", "\x02", "\x03")
+WORDS = Units(ORDER, " ", "\t", "\n")
+
+
+class _Grams:
+    """The units of some texts in a row, numbered: ``ids[k - 1][i]`` is the k-gram that ends at unit
+    i, ``at`` the units that are no start marks and ``which`` the text of each of these."""
+
+    def __init__(self, texts: list[str], units: Units):
+        lead = [units.start] * (units.order - 1)
+        self.units, self.flat, sizes = units, [], []
+        for t in texts:
+            own = units.split(t)
+            self.flat += lead + own + [units.end]
+            sizes.append(len(own) + 1)
+        self.which = np.repeat(np.arange(len(texts)), sizes)
+        self.at = np.arange(len(self.which)) + (self.which + 1) * len(lead)
+        codes, base = pd.factorize(np.array(self.flat, object))
+        self.ids = [codes.astype(np.int64)]
+        for _ in lead:
+            before = np.concatenate([[0], self.ids[-1][:-1]])
+            self.ids.append(np.unique(before * len(base) + codes, return_inverse=True)[1])
+
+    def used(self, k: int) -> tuple[np.ndarray, list[str]]:
+        """Numbers and names of the k-grams that are looked up, also as contexts."""
+        ends = self.at if k == self.units.order else np.concatenate([self.at, self.at - 1])
+        ids, first = np.unique(self.ids[k - 1][ends], return_index=True)
+        return ids, self.names(ends[first], k)
+
+    def names(self, ends: np.ndarray, k: int) -> list[str]:
+        join, flat = self.units.separator.join, self.flat
+        return [join(flat[i - k + 1:i + 1]) for i in ends.tolist()]
 
 
 def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -79,30 +108,31 @@ def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts, total = list(pdf["_text"]), Counter()
-        for a, b in _portions(texts):
-            names, quad, _ = _grams(texts[a:b])
-            total.update(dict(zip(names, np.bincount(quad, minlength=len(names)).tolist())))
-        yield pd.DataFrame({"gram": pd.Series(list(total), dtype=object),
-                            "n": pd.Series(list(total.values()), dtype="int64")})
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
+def count_grams(texts: DataFrame, units: Units = CHARACTERS) -> DataFrame:
     """gram, n over all rows of ``_text``; combined per batch, then by group."""
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts, total = list(pdf["_text"]), Counter()
+            for a, b in _portions(texts):
+                grams = _Grams(texts[a:b], units)
+                _, first, n = np.unique(grams.ids[-1][grams.at], return_index=True,
+                                        return_counts=True)
+                total.update(dict(zip(grams.names(grams.at[first], units.order), n.tolist())))
+            yield pd.DataFrame({"gram": pd.Series(list(total), dtype=object),
+                                "n": pd.Series(list(total.values()), dtype="int64")})
+
     return (texts.select("_text").where("_text is not null")
-            .mapInPandas(_counted, "gram string, n long")
+            .mapInPandas(counted, "gram string, n long")
             .groupBy("gram").agg(F.sum("n").alias("n")))
 
 
-def tables(counts: DataFrame) -> list[DataFrame]:
-    """For k = 1 .. ORDER: gram, n, where n is the count for k = ORDER and else the number of
-    different characters that stand before the gram."""
+def tables(counts: DataFrame, units: Units = CHARACTERS) -> list[DataFrame]:
+    """For k = 1 .. order: gram, n, where n is the count for k = order and else the number of
+    different units that stand before the gram."""
     out = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        out.append(out[-1].groupBy(F.substring("gram", 2, k).alias("gram"))
-                   .agg(F.count("*").alias("n")))
+    for k in range(units.order - 1, 0, -1):
+        out.append(settle(out[-1].groupBy(units.last("gram", k).alias("gram"))
+                          .agg(F.count("*").alias("n")), f"kn-{k}"))
     return out[::-1]
 
 
@@ -120,37 +150,107 @@ def _discounts(tables_: list[DataFrame]) -> list[list[float]]:
     return out
 
 
-def log_probabilities(requests: DataFrame, counts: DataFrame) -> DataFrame:
-    """gram, logp for each distinct requested gram: p(last character | the characters before)."""
-    by_order = [settle(t, f"kn-{k}") for k, t in enumerate(tables(counts), 1)]
-    discounts = _discounts(by_order)
-    letters = by_order[0].count() + 1  # and one for every unseen character
-
-    p: Column = F.lit(1.0 / letters)
-    asked = requests.select("gram")
-    for k, (t, d) in enumerate(zip(by_order, discounts), 1):
-        own, before = f"_g{k}", f"_c{k}"
-        asked = asked.withColumn(own, F.substring("gram", ORDER - k + 1, k))
-        asked = asked.withColumn(before, F.substring("gram", ORDER - k + 1, k - 1))
-        n = F.col("n")
-        context = (t.groupBy(F.substring("gram", 1, k - 1).alias(before))
-                   .agg(F.sum("n").alias(f"_t{k}"),
-                        F.sum(F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]))
-                        .alias(f"_d{k}")))
-        asked = asked.join(t.select(F.col("gram").alias(own), n.alias(f"_n{k}")), own, "left")
-        if k > 1:
-            asked = asked.join(context, before, "left")
-        else:  # the one empty context
-            whole = context.first()
-            asked = (asked.withColumn("_t1", F.lit(whole[1] if whole else None).cast("long"))
-                     .withColumn("_d1", F.lit(whole[2] if whole else None).cast("double")))
-        seen, total = F.coalesce(f"_n{k}", F.lit(0)), F.col(f"_t{k}")
-        off = F.when(seen == 0, 0.0).when(seen == 1, d[0]).when(seen == 2, d[1]).otherwise(d[2])
-        asked = asked.withColumn(f"_p{k}", F.when(total.isNull(), p).otherwise(
-            (F.greatest(seen - off, F.lit(0.0)) + F.col(f"_d{k}") * p) / total))
-        p = F.col(f"_p{k}")
-        asked = asked.drop(own, before, f"_n{k}", f"_t{k}", f"_d{k}")
-    return asked.select("gram", F.ln(p).alias("logp"))
+class Model:
+    """``table``: gram of any order below or at the highest, n of its own, and as a context the
+    total t and the taken-off mass d of what follows. The rest are a few numbers."""
+
+    def __init__(self, counts: DataFrame, units: Units = CHARACTERS):
+        by_order = tables(counts, units)
+        self.units, self.discounts = units, _discounts(by_order)
+        n, parts = F.col("n"), []
+        for k, (t, d) in enumerate(zip(by_order, self.discounts), 1):
+            sums = [F.sum(n).alias("t"),
+                    F.sum(F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])).alias("d")]
+            parts.append(t.select("gram", "n", F.lit(None).cast("long").alias("t"),
+                                  F.lit(None).cast("double").alias("d")))
+            if k == 1:  # the one empty context
+                self.letters = t.count() + 1  # and one for every unseen unit
+                self.t1, self.d1 = [x or 0 for x in t.agg(*sums).first()]
+            else:
+                parts.append(t.groupBy(units.first("gram", k - 1).alias("gram")).agg(*sums)
+                             .select("gram", F.lit(None).cast("long").alias("n"), "t", "d"))
+        table = parts[0]
+        for part in parts[1:]:
+            table = table.union(part)
+        self.table = table.groupBy("gram").agg(*[F.max(c).alias(c) for c in "ntd"])
+
+    def scorer(self) -> Scorer:
+        return Scorer(self.units, self.discounts, self.letters, self.t1, self.d1)
+
+
+@dataclass
+class Scorer:
+    units: Units
+    discounts: list[list[float]]
+    letters: int
+    t1: int
+    d1: float
+
+    def logs(self, grams: _Grams, found: dict[str, tuple[float, float, float]],
+             own: np.ndarray) -> np.ndarray:
+        """Log-probability of each unit at ``grams.at``. A text that ``own`` marks is taken out of the
+        counts, an n-gram that only it holds also out of the counts of shorter ones."""
+        at, which, order = grams.at, grams.which, self.units.order
+        looked = []
+        for k in range(1, order + 1):
+            ids, names = grams.used(k)
+            values = np.zeros((int(grams.ids[k - 1].max()) + 1, 3))
+            values[ids] = [found.get(x, (0.0, 0.0, 0.0)) for x in names]
+            looked.append(values)
+        levels, gone, first_above = [], None, None
+        for k in range(order, 0, -1):
+            d = np.array([0.0, *self.discounts[k - 1]])
+            off = lambda n: d[np.minimum(n, 3).astype(np.int64)]  # noqa: B023, E731
+            gram = grams.ids[k - 1][at]
+            _, first, place, times = np.unique(which * len(looked[k - 1]) + gram, return_index=True,
+                                               return_inverse=True, return_counts=True)
+            mine = (times * own[which[first]] if gone is None
+                    else np.bincount(place[first_above], gone, len(first)))
+            n = looked[k - 1][gram[first], 0]
+            left = np.maximum(n - mine, 0)
+            if k > 1:
+                context = grams.ids[k - 2][at - 1]
+                _, group = np.unique(which * len(looked[k - 2]) + context, return_inverse=True)
+                t, mass = looked[k - 2][context, 1], looked[k - 2][context, 2]
+            else:
+                group, t, mass = which, float(self.t1), self.d1
+            t = t - np.bincount(group[first], mine)[group]
+            mass = mass - np.bincount(group[first], off(n) - off(left))[group]
+            levels.append((np.maximum(left - off(left), 0)[place], t, np.maximum(mass, 0)))
+            gone, first_above = ((mine > 0) & (left == 0)).astype(float), first
+        p = np.full(len(at), 1 / self.letters)
+        for seen, t, mass in reversed(levels):
+            p = np.where(t > 0, (seen + mass * p) / np.maximum(t, 1), p)
+        return np.log(p)
+
+
+def log_probabilities(requests: DataFrame, counts: DataFrame, units: Units = CHARACTERS
+                      ) -> DataFrame:
+    """gram, logp for each distinct requested gram: p(last unit | the units before)."""
+    model = Model(counts, units)
+    scorer, order = model.scorer(), units.order
+    asked = requests.select("gram").distinct()
+    keys = [units.last("gram", k) for k in range(1, order + 1)]
+    keys += [units.first(units.last("gram", k), k - 1) for k in range(2, order + 1)]
+    answers = (asked.select(F.col("gram").alias("_whole"), F.explode(F.array(*keys)).alias("gram"))
+               .distinct().join(model.table, "gram").fillna(0, list("ntd"))
+               .groupBy(F.col("_whole").alias("gram"))
+               .agg(F.collect_list(F.struct("gram", *"ntd")).alias("found")))
+
+    def one(gram: str, rows) -> float:
+        grams = _Grams([""], units)  # start marks and one unit, replaced by those of the gram
+        own = gram.split(units.separator) if units.separator else list(gram)
+        grams.flat, grams.at, grams.which = own, np.array([order - 1]), np.array([0])
+        grams.ids = [np.arange(order, dtype=np.int64)] * order
+        found = {r["gram"]: (r["n"], r["t"], r["d"]) for r in ([] if rows is None else rows)}
+        return float(scorer.logs(grams, found, np.zeros(1))[0])
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"gram": pdf["gram"], "logp": [
+                one(g, f) for g, f in zip(pdf["gram"], pdf["found"])]})
+
+    return asked.join(answers, "gram", "left").mapInPandas(scored, "gram string, logp double")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +284,11 @@ def _unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
 
 
-def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_grams and perplexity, without the text. Documents are dealt by a hash of all their
-    columns and packed before they move; that one shuffle serves the requests and the scoring."""
+def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text", own: str = "_known",
+                 units: Units = WORDS) -> DataFrame:
+    """Add n_grams and perplexity, without the text. ``own`` marks the rows that were counted.
+    Documents are dealt by a hash of all their columns and packed before they move; that one shuffle
+    serves the requests and the scoring."""
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     batches = int(size // BATCH_BYTES) + 1
     rest = [c for c in docs.columns if c.lower() not in {text.lower(), *RESULTS}]
@@ -195,6 +297,8 @@ def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text") -> Data
              .withColumn("_batch", F.pmod(F.xxhash64(*[f"`{c}`" for c in rest], "_text"),
                                           F.lit(batches)).cast("int")))
     packed = dealt.mapInArrow(_packed, "_batch int, _docs binary").repartition(batches, "_batch")
+    model = Model(counts, units)
+    scorer = model.scorer()
 
     def ask(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in groups:
@@ -203,30 +307,36 @@ def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text") -> Data
                 for blob in part["_docs"]:
                     texts = _unpacked(blob)["_text"].to_pylist()
                     for a, b in _portions(texts):
-                        names.update(_grams(texts[a:b])[0])
+                        grams = _Grams(texts[a:b], units)
+                        for k in range(1, units.order + 1):
+                            names.update(grams.used(k)[1])
                 yield pd.DataFrame({"_batch": np.full(len(names), batch, np.int32),
                                     "gram": pd.Series(list(names), dtype=object)})
 
-    requests = packed.mapInPandas(ask, "_batch int, gram string").distinct()
-    logs = log_probabilities(requests.select("gram").distinct(), counts)
-    # A batch has at most as many distinct n-grams as its BATCH_BYTES hold.
-    answers = (requests.join(logs, "gram").groupBy("_batch")
-               .agg(F.collect_list("gram").alias("_grams"), F.collect_list("logp").alias("_logs")))
+    # A batch finds at most as many n-grams as its BATCH_BYTES hold.
+    answers = (packed.mapInPandas(ask, "_batch int, gram string").join(model.table, "gram")
+               .select("_batch", "gram", *[F.coalesce(c, F.lit(0)).alias(c) for c in "ntd"]))
     schema = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in rest)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = pa.concat_tables([_unpacked(b) for b in left["_docs"].to_pylist()])
-        texts = left["_text"].to_pylist()
-        sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        if texts:
-            logs = dict(zip(right["_grams"].to_pylist()[0], right["_logs"].to_pylist()[0]))
+        found = dict(zip(right["gram"].to_pylist(),
+                         zip(*[right[c].to_pylist() for c in "ntd"])))
+        done = []
+        for blob in left["_docs"].to_pylist():
+            docs = _unpacked(blob)
+            texts = docs["_text"].to_pylist()
+            counted = np.array(docs[own].to_pylist(), float)
+            sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for a, b in _portions(texts):
-                names, quad, which = _grams(texts[a:b])
-                per = np.array([logs[g] for g in names])
-                sums[a:b] = np.bincount(which, per[quad], b - a)
-                n[a:b] = np.bincount(which, minlength=b - a)
-        return (left.select(rest).append_column("n_grams", pa.array(n, pa.int64()))
-                .append_column("perplexity", pa.array(np.exp(-sums / np.maximum(n, 1)))))
+                grams = _Grams(texts[a:b], units)
+                logs = scorer.logs(grams, found, counted[a:b])
+                sums[a:b] = np.bincount(grams.which, logs, b - a)
+                n[a:b] = np.bincount(grams.which, minlength=b - a)
+            done.append(docs.select(rest).append_column("n_grams", pa.array(n, pa.int64()))
+                        .append_column("perplexity", pa.array(np.exp(-sums / np.maximum(n, 1)))))
+        if done:
+            return pa.concat_tables(done)
+        return pa.table({})
 
     return (packed.groupBy("_batch").cogroup(answers.groupBy("_batch"))
             .applyInArrow(score, f"{schema}, n_grams long, perplexity double"))
@@ -238,7 +348,8 @@ def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
           ) -> DataFrame:
     """Add n_grams, perplexity, threshold and kept; the text is left out.
 
-    ``trusted``: a table of ids. The model counts every trusted text. kept:
+    ``trusted``: a table of ids. The model counts every trusted text, and each of these is scored
+    without its own counts. kept:
     perplexity at most the ``quantile`` of the trusted documents of the row's language (NULL is a
     language of its own); a language without any takes the quantile of all trusted documents, and
     without those everything is kept. A NULL or empty text is one end mark. Rows stay one to one;
@@ -249,14 +360,18 @@ def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
     ids = settle(trusted.select(F.col(f"`{trusted_id}`").alias("_tid")).where("_tid is not null")
                  .distinct(), "trusted-ids")
     marked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(f"`{doc_id}`").alias("_tid"), F.col(f"`{text}`").alias("_text"))
-    counts = settle(count_grams(texts.join(marked, "_tid", "left_semi")), "gram-counts")
-    scored = settle(perplexities(docs, counts, text), "perplexities")
-    known = scored.join(ids, F.col(f"`{doc_id}`") == F.col("_tid"), "left_semi")
+    rest = [F.col(f"`{c}`") for c in docs.columns]
+    flagged = docs.join(marked, F.col(f"`{doc_id}`") == F.col("_tid"), "left").select(
+        *rest, F.col("_tid").isNotNull().alias("_known"))
+    texts = flagged.where("_known").select(F.col(f"`{text}`").alias("_text"))
+    counts = settle(count_grams(texts.select(F.coalesce("_text", F.lit("")).alias("_text")), WORDS),
+                    "gram-counts")
+    scored = settle(perplexities(flagged, counts, text), "perplexities")
+    known = scored.where("_known")
     at = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = known.groupBy(F.col(f"`{lang}`").alias("_lang")).agg(at.alias("_own"))
     overall = known.agg(at.alias("v")).first()["v"]
-    rest = [F.col(f"`{c}`") for c in scored.columns]
+    rest = [F.col(f"`{c}`") for c in scored.columns if c != "_known"]
     return (scored.join(by_lang, F.col(f"`{lang}`").eqNullSafe(F.col("_lang")), "left")
             .withColumn("threshold", F.coalesce("_own", F.lit(overall).cast("double")))
             .select(*rest, "threshold",
