@@ -75,3 +75,65 @@ def test_importance_finds_the_signal(table):
     few = data.limit(20)
     assert models.feature_importance(few, KEYS, "t").count() == 0
     assert models.permutation_importance(few, KEYS, "t").count() == 0
+
+
+def test_patience_ends_the_fitting(table):
+    """A budget of thousands of rounds is not fitted where looking ends early."""
+    rows = table.select(
+        array_to_vector(F.array("signal", "noise")).alias("features"), F.col("y").alias("label"),
+        (F.col("cell_id") == "VAH01").alias("is_val"))
+    fitted = []
+
+    class Counted(models.GBTRegressor):
+        def _fit(self, dataset):
+            fitted.append(self.getMaxIter())
+            return super()._fit(dataset)
+
+    make = Counted(maxIter=4000, maxDepth=3, stepSize=0.9, seed=7)
+    kept = models.fit_patient(make, rows, 3)
+    assert fitted[0] == 6 and fitted[:-1] == [6 * 2**i for i in range(len(fitted) - 1)]
+    assert max(fitted) < 100
+    errors = make.copy({make.maxIter: max(fitted)}).fit(rows.where("not is_val")) \
+        .evaluateEachIteration(rows.where("is_val"), "squared")
+    assert kept.getNumTrees == models.best_round(errors, 3)
+
+
+@pytest.mark.parametrize("name", ["feature_importance", "permutation_importance", "loco_rf",
+                                  "loco_gbt", "loco_seq", "loco_eval", "grid_sweep"])
+def test_queries_use_the_defaults(spark, monkeypatch, name):
+    """No query changes the number of trees or rounds, and presets stay as they are."""
+    from voltarc.plans import catalog
+    from voltarc.plans.pipeline import pipeline
+
+    made = []
+    forest, boosted = models.random_forest, models.boosted
+
+    def loco(samples, features, label, keys, make, name, *args, **kwargs):
+        made.append((name, make(), kwargs.get("patience", models.PATIENCE)))
+        return samples.select(*keys, F.col(label).alias("y_true"), F.lit(0.0).alias("y_pred"),
+                              F.lit(name).alias("model"))
+
+    def importance(table, keys, task, **changes):
+        made.append((task, forest(**changes), None))
+        return spark.createDataFrame([], "task string, feature string, gini_importance double, "
+                                         "r2 double, perm_importance_mean double, "
+                                         "perm_importance_std double")
+
+    monkeypatch.setattr(models, "loco_predictions", loco)
+    monkeypatch.setattr(models, "feature_importance", importance)
+    monkeypatch.setattr(models, "permutation_importance", importance)
+    catalog.QUERIES[name].spark(pipeline(spark, "/root/testdata/sf0.001"))
+    assert made
+    for name, estimator, patience in made:
+        if name in models.PRESETS:
+            usual = boosted(name)
+            assert patience == (None if name == "catboost" else 200)
+        else:
+            usual = boosted() if isinstance(estimator, models.GBTRegressor) else forest()
+        ours, theirs = ({p.name: v for p, v in e.extractParamMap().items()}
+                        for e in (estimator, usual))
+        if name == "boosted":  # the swept ones
+            ours |= {k: theirs[k] for k in ("maxDepth", "stepSize")}
+        for own in ("featuresCol", "predictionCol", "labelCol"):
+            assert ours[own] == theirs[own]
+        assert ours == theirs

@@ -33,7 +33,8 @@ PRESETS = {
     "lightgbm": dict(maxIter=5000, stepSize=0.03, maxDepth=6, minInstancesPerNode=200,
                      subsamplingRate=0.9, featureSubsetStrategy="0.9", lossType="absolute"),
 }
-PATIENCE = 200  # rounds without a lower validation error; the second preset looks at all rounds
+PATIENCE = 200  # rounds without a lower validation error
+PATIENCES = {"xgb": PATIENCE, "catboost": None, "lightgbm": PATIENCE}  # None looks at all rounds
 
 
 def random_forest(trees: int = 600, min_leaf: int = 2, depth: int = 30, seed: int = SEED):
@@ -61,14 +62,22 @@ def best_round(errors: Sequence[float], patience: int | None) -> int:
 def fit_patient(estimator: GBTRegressor, rows: DataFrame, patience: int | None):
     """Fit on the rows that ``is_val`` does not mark, with the rounds that suit the marked rows.
 
-    A seed gives every round its own draw, so a fit with fewer rounds is a prefix of a longer one.
+    A seed gives every round its own draw, so a fit with fewer rounds is a prefix of a longer one:
+    twice the patience is fitted first and then twice as many, until looking ends.
     """
     train, check = rows.where(~F.col("is_val")), rows.where("is_val")
-    model = estimator.fit(train)
     if check.isEmpty():
-        return model
-    rounds = best_round(model.evaluateEachIteration(check, estimator.getLossType()), patience)
-    if rounds < estimator.getMaxIter():
+        return estimator.fit(train)
+    full = estimator.getMaxIter()
+    fitted = full if patience is None else min(full, 2 * patience)
+    while True:
+        model = estimator.copy({estimator.maxIter: fitted}).fit(train)
+        errors = model.evaluateEachIteration(check, estimator.getLossType())
+        rounds = best_round(errors, patience)
+        if fitted == full or fitted - rounds >= patience:
+            break
+        fitted = min(full, 2 * fitted)
+    if rounds < fitted:
         model = estimator.copy({estimator.maxIter: rounds}).fit(train)
     return model
 

@@ -655,10 +655,7 @@ query("gate_entropy", "*gate_entropy n",
     lambda p: predictions.gate_entropy(p.arrays))
 
 # ---------------------------------------------------------------- models (rows only)
-# The operators default to the full budgets; these queries run smaller ones to keep a check short.
-
-BUDGET = dict(trees=20, depth=6)
-ROUNDS = 8
+# Forests and boosted trees run with the operators' defaults, see ``models.PRESETS``.
 
 
 def _as_rows(name: str, columns: str):
@@ -667,11 +664,9 @@ def _as_rows(name: str, columns: str):
 
 def _importance(p: Pipeline, measure) -> DataFrame:
     """One measure over the three modelling tables."""
-    parts = [measure(tables.soc_table(p.phase_features), segments.SEGMENT, "SOC_phase_delta",
-                     **BUDGET),
-             measure(p.soh_model_table, missions.MISSION, "SOH_next_mission", **BUDGET),
-             measure(tables.rul_table(p.phase_features), missions.MISSION, "RUL_missions",
-                     **BUDGET)]
+    parts = [measure(tables.soc_table(p.phase_features), segments.SEGMENT, "SOC_phase_delta"),
+             measure(p.soh_model_table, missions.MISSION, "SOH_next_mission"),
+             measure(tables.rul_table(p.phase_features), missions.MISSION, "RUL_missions")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -691,17 +686,13 @@ def _loco_features(level: str, rows: DataFrame) -> list[str]:
         c for c in rows.columns if c.startswith(("cell_condition_", "test_condition_"))]
 
 
-def _forest():
-    return models.random_forest(BUDGET["trees"], depth=BUDGET["depth"])
-
-
 PRED = f"{MIS} y_true y_pred model"
 
 
 @_as_rows("loco_rf", PRED)
 def loco_rf(p):
     return models.loco_predictions(p.horizon, _loco_features("mission", p.horizon), "dSOH_to_future",
-                                   missions.MISSION, _forest, "rf", roles=p.roles)
+                                   missions.MISSION, models.random_forest, "rf", roles=p.roles)
 
 
 @_as_rows("loco_gbt", PRED)
@@ -711,8 +702,8 @@ def loco_gbt(p):
         one = models.loco_predictions(
             p.horizon, _loco_features("mission", p.horizon), "dSOH_to_future",
             missions.MISSION,
-            lambda: models.boosted(preset, maxIter=ROUNDS, stepSize=0.1, maxDepth=3), preset,
-            roles=p.roles, patience=None if preset == "catboost" else models.PATIENCE)
+            lambda: models.boosted(preset), preset,  # noqa: B023 (called at once)
+            roles=p.roles, patience=models.PATIENCES[preset])
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -723,7 +714,7 @@ def loco_seq(p):
     names = [f"{f}__{k}" for f in tables.model_features("mission", p.horizon.columns)
              for k in sequences.POOLS]
     return models.loco_predictions(p.pooled_horizon, names, "dSOH_to_future", missions.MISSION,
-                                   _forest, "pooled_rf", roles=p.roles,
+                                   models.random_forest, "pooled_rf", roles=p.roles,
                                    min_train=fixed.MIN_TRAIN_ROWS)
 
 
@@ -739,7 +730,7 @@ def loco_eval(p):
     out = None
     for task, rows, kind, label, keys in tasks:
         features = _loco_features(kind, rows)
-        guesses = models.loco_predictions(rows, features, label, keys, _forest, "rf")
+        guesses = models.loco_predictions(rows, features, label, keys, models.random_forest, "rf")
         fleet = predictions.fleet_metrics(predictions.per_cell_metrics(guesses, ["model"]),
                                           ["model"]).withColumn("task", F.lit(task))
         out = fleet if out is None else out.unionByName(fleet)
@@ -751,7 +742,7 @@ def grid_sweep(p):
     return models.grid_sweep(p.rul_samples.where("eol = 85"),
                              _loco_features("mission", p.rul_samples),
                              "RUL_missions", missions.MISSION,
-                             {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, maxIter=ROUNDS)
+                             {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]})
 
 
 # ---------------------------------------------------------------- entry points
