@@ -57,9 +57,8 @@ def main() -> None:
         end = time.perf_counter()
         seconds[name] = round(end - start, 3)
         if name == "loco_rf":
-            inference = end - built
+            inference, samples = end - built, result.count()
 
-    samples = pipeline.horizon.count()
     total = sum(seconds.values())
     to_phases = sum(seconds[f"stage_{s}"] for s in STAGES[:STAGES.index("phases") + 1])
     print(json.dumps({

@@ -137,3 +137,48 @@ def test_queries_use_the_defaults(spark, monkeypatch, name):
         for own in ("featuresCol", "predictionCol", "labelCol"):
             assert ours[own] == theirs[own]
         assert ours == theirs
+
+
+def test_every_model_meets_every_task(spark, monkeypatch):
+    """Boosters and pooled sequences too get SOC, SOH and all three levels, each with features."""
+    from voltarc.plans import catalog
+    from voltarc.plans.pipeline import pipeline
+
+    runs = []
+
+    def loco(samples, features, label, keys, make, name, *args, **kwargs):
+        runs.append((name, label, len(features)))
+        assert set(features) <= set(samples.columns)
+        return samples.select(*keys, F.col(label).cast("double").alias("y_true"),
+                              F.lit(0.0).alias("y_pred"), F.lit(name).alias("model"))
+
+    monkeypatch.setattr(models, "loco_predictions", loco)
+    p = pipeline(spark, "/root/testdata/sf0.001")
+    tasks = {"soc_phase_delta", "soh_next", "rul_eol_80", "rul_eol_85", "rul_eol_90"}
+    labels = ["label", "dSOH_to_future"] + 3 * ["RUL_missions"]
+    for query, names in (("loco_rf", ["rf"]), ("loco_gbt", list(models.PRESETS)),
+                         ("loco_seq", ["pooled_rf"]),
+                         ("loco_eval", ["rf", *models.PRESETS, "pooled_rf"])):
+        runs.clear()
+        got = catalog.QUERIES[query].spark(p)
+        assert "task" in got.columns
+        assert [(n, y) for n, y, _ in runs] == [(n, y) for n in names for y in labels]
+        assert all(k for *_, k in runs)
+        assert {r.task for r in got.select("task").distinct().collect()} <= tasks
+    runs.clear()
+    assert catalog.QUERIES["grid_sweep"].spark(p).count() == 12
+    assert len(runs) == 12
+
+
+def test_segment_pools(spark):
+    rows = spark.createDataFrame(
+        [("VAH01", 1, 3, s, float(x)) for s, x in enumerate([1, 5, 3, 8])]
+        + [("VAH01", 2, 4, 0, 7.0)],
+        "cell_id string, mission_id int, cycleNumber int, seg_id int, a double")
+    from voltarc.operators import sequences
+    got = {(r.mission_id, r.seg_id): r for r in
+           sequences.pooled_segments(rows, ["a"], steps=3).collect()}
+    assert len(got) == 5
+    assert [got[1, 3][f"a__{k}"] for k in ("last", "mean", "min", "max", "slope")] == \
+        pytest.approx([8, 16 / 3, 3, 8, 1.5])
+    assert got[2, 0]["a__slope"] == 0 and got[2, 0]["a__mean"] == 7

@@ -157,3 +157,24 @@ def pooled(rows: DataFrame, features: Sequence[str], steps: int = fixed.MISSION_
     wide = (pooled_long(rows, features, steps).groupBy(*MISSION)
             .pivot("feature", list(features)).agg(*[F.first(p).alias(f"_{p}") for p in POOLS]))
     return rows.join(wide, MISSION)
+
+
+def pooled_segments(rows: DataFrame, features: Sequence[str], steps: int = fixed.SOC_STEPS
+                    ) -> DataFrame:
+    """The flight segments of a mission, as :func:`soc_rows` gives them, with the same pools of the
+    segments up to each of them as columns."""
+    keys = [*MISSION, "cycleNumber", "seg_id"]
+    in_mission = Window.partitionBy(*MISSION).orderBy("cycleNumber", "seg_id")
+    long = rows.withColumn("_at", F.row_number().over(in_mission)).select(
+        *keys, "_at", F.explode(F.array(*[F.struct(
+            F.lit(f).alias("feature"), quoted(f).alias("last")) for f in features])).alias("_p")
+    ).select(*keys, "_at", "_p.*")
+    trailing = (Window.partitionBy(*MISSION, "feature").orderBy("_at")
+                .rowsBetween(-(steps - 1), 0))
+    slope = F.regr_slope("last", F.col("_at").cast("double")).over(trailing)
+    wide = long.withColumns({
+        "mean": F.avg("last").over(trailing), "min": F.min("last").over(trailing),
+        "max": F.max("last").over(trailing), "slope": F.coalesce(slope, F.lit(0.0))}
+    ).groupBy(*keys).pivot("feature", list(features)).agg(
+        *[F.first(p).alias(f"_{p}") for p in POOLS])
+    return rows.join(wide, keys)

@@ -682,28 +682,65 @@ def permutation_importance(p):
 
 def _loco_features(level: str, rows: DataFrame) -> list[str]:
     """Dictionary features of a level and the one-hot test conditions."""
-    return tables.model_features(level, rows.columns) + [
-        c for c in rows.columns if c.startswith(("cell_condition_", "test_condition_"))]
+    return tables.model_features(level, rows.columns) + _conditions(rows)
 
 
-PRED = f"{MIS} y_true y_pred model"
+def _conditions(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c.startswith(("cell_condition_", "test_condition_"))]
+
+
+SEGMENTS = ["cell_id", "mission_id", "cycleNumber", "seg_id"]
+
+
+def _tasks(p: Pipeline, pooled: bool = False):
+    """``(task, rows, features, label, keys)`` of the five tasks: SOC, SOH and RUL at 80 / 85 / 90."""
+    soc, soh, rul = ((p.pooled_soc, p.pooled_horizon, p.pooled_rul) if pooled else
+                     (p.soc_samples, p.horizon, p.rul_samples))
+
+    def features(level: str, rows: DataFrame) -> list[str]:
+        if not pooled:
+            return _loco_features(level, rows)
+        inputs = [c for c in rows.columns if not c.endswith(POOLED)]
+        return [f"{f}__{k}" for f in tables.model_features(level, inputs)
+                for k in sequences.POOLS] + _conditions(rows)
+
+    yield "soc_phase_delta", soc, features("phase", soc), "label", SEGMENTS
+    yield "soh_next", soh, features("mission", soh), "dSOH_to_future", missions.MISSION
+    for level in fixed.EOL_SWEEP:
+        rows = rul.where(F.col("eol") == level)
+        yield f"rul_eol_{level}", rows, features("mission", rul), "RUL_missions", missions.MISSION
+
+
+POOLED = tuple(f"__{k}" for k in sequences.POOLS)
+PRED = "task cell_id mission_id cycleNumber seg_id y_true y_pred model"
+
+
+def _held_out(p: Pipeline, model: str) -> DataFrame:
+    """Held-out predictions of a model over the five tasks; segments are NULL for missions."""
+    pooled, out = model == "pooled_rf", None
+    more = dict(min_train=fixed.MIN_TRAIN_ROWS) if pooled else {}
+    make = models.random_forest
+    if model in models.PRESETS:
+        more = dict(patience=models.PATIENCES[model])
+        make = lambda: models.boosted(model)
+    for task, rows, features, label, keys in _tasks(p, pooled):
+        roles = p.roles if task == "soh_next" else None
+        one = models.loco_predictions(rows, features, label, keys, make, model, roles=roles,
+                                      **more).withColumn("task", F.lit(task))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 @_as_rows("loco_rf", PRED)
 def loco_rf(p):
-    return models.loco_predictions(p.horizon, _loco_features("mission", p.horizon), "dSOH_to_future",
-                                   missions.MISSION, models.random_forest, "rf", roles=p.roles)
+    return _held_out(p, "rf")
 
 
 @_as_rows("loco_gbt", PRED)
 def loco_gbt(p):
     out = None
     for preset in models.PRESETS:
-        one = models.loco_predictions(
-            p.horizon, _loco_features("mission", p.horizon), "dSOH_to_future",
-            missions.MISSION,
-            lambda: models.boosted(preset), preset,  # noqa: B023 (called at once)
-            roles=p.roles, patience=models.PATIENCES[preset])
+        one = _held_out(p, preset)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -711,38 +748,29 @@ def loco_gbt(p):
 @_as_rows("loco_seq", PRED)
 def loco_seq(p):
     """Forest on pooled trailing windows, the stand-in for the recurrent networks."""
-    names = [f"{f}__{k}" for f in tables.model_features("mission", p.horizon.columns)
-             for k in sequences.POOLS]
-    return models.loco_predictions(p.pooled_horizon, names, "dSOH_to_future", missions.MISSION,
-                                   models.random_forest, "pooled_rf", roles=p.roles,
-                                   min_train=fixed.MIN_TRAIN_ROWS)
+    return _held_out(p, "pooled_rf")
 
 
 @_as_rows("loco_eval", "task model num_cells total_samples MAE_mean MAE_median RMSE_mean "
           "RMSE_median")
 def loco_eval(p):
-    """Fleet metrics of the forest over the five tasks: SOC, SOH and RUL at 80 / 85 / 90."""
-    tasks = [("soc_phase_delta", p.soc_samples, "phase", "label", segments.SEGMENT),
-             ("soh_next", p.horizon, "mission", "dSOH_to_future", missions.MISSION)]
-    tasks += [(f"rul_eol_{level}", p.rul_samples.where(F.col("eol") == level),
-               "mission", "RUL_missions", missions.MISSION)
-              for level in fixed.EOL_SWEEP]
-    out = None
-    for task, rows, kind, label, keys in tasks:
-        features = _loco_features(kind, rows)
-        guesses = models.loco_predictions(rows, features, label, keys, models.random_forest, "rf")
-        fleet = predictions.fleet_metrics(predictions.per_cell_metrics(guesses, ["model"]),
-                                          ["model"]).withColumn("task", F.lit(task))
-        out = fleet if out is None else out.unionByName(fleet)
-    return out
+    """Fleet metrics of forest, boosted presets and pooled forest over the five tasks."""
+    by = ["task", "model"]
+    guesses = loco_rf(p).unionByName(loco_gbt(p)).unionByName(loco_seq(p))
+    return predictions.fleet_metrics(predictions.per_cell_metrics(guesses, by), by)
 
 
-@_as_rows("grid_sweep", "maxDepth stepSize MAE_mean RMSE_mean cells N_total")
+@_as_rows("grid_sweep", "eol maxDepth stepSize MAE_mean RMSE_mean cells N_total")
 def grid_sweep(p):
-    return models.grid_sweep(p.rul_samples.where("eol = 85"),
-                             _loco_features("mission", p.rul_samples),
-                             "RUL_missions", missions.MISSION,
-                             {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]})
+    out = None
+    for level in fixed.EOL_SWEEP:
+        one = models.grid_sweep(p.rul_samples.where(F.col("eol") == level),
+                                _loco_features("mission", p.rul_samples),
+                                "RUL_missions", missions.MISSION,
+                                {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}
+                                ).withColumn("eol", F.lit(level))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---------------------------------------------------------------- entry points

@@ -163,6 +163,22 @@ class Pipeline:
         features = tables.model_features("mission", self.horizon.columns)
         return self.store.plain("pooled_horizon", sequences.pooled(self.horizon, features))
 
+    @cached_property
+    def pooled_rul(self) -> DataFrame:
+        rows, _ = sequences.mission_rows(self.dictionary_mission)
+        features = tables.model_features("mission", rows.columns)
+        return self.store.plain("pooled_rul", sequences.rul_missions(
+            sequences.pooled(rows, features)))
+
+    @cached_property
+    def pooled_soc(self) -> DataFrame:
+        """The samples of ``soc_samples`` with pools over the mission's segments so far."""
+        rows, _ = sequences.soc_rows(self.dictionary_phase)
+        features = tables.model_features("phase", rows.columns)
+        samples = self.soc_samples.select(*missions.MISSION, "seg_id")
+        return self.store.plain("pooled_soc", sequences.pooled_segments(rows, features).join(
+            samples, [*missions.MISSION, "seg_id"], "left_semi"))
+
     @cached_property
     def soh_model_table(self) -> DataFrame:
         return self.store.plain("soh_model_table", tables.soh_table(self.missions))
