@@ -324,3 +324,17 @@ def test_perplexity_hears_word_order(spark):
         spark.createDataFrame(rows, SCHEMA), trusted).collect()}
     assert sum(got[i] for i in range(60, 90)) >= 27
     assert not any(got[100 + i] for i in range(30))
+
+
+def test_one_of_each_without_good_ids(spark):
+    """Near copies that have no id, or share one, leave exactly one document of the group."""
+    base = [f"w{i}" for i in range(120)]
+    copies = [" ".join([*base[:60], f"x{k}", *base[61:]]) for k in range(6)]
+    other = " ".join(f"z{i}" for i in range(50))
+    for ids in ([None] * 6, [4] * 6, [None, 4, None, 4, 9, None]):
+        rows = [*zip(ids, copies), (None, other), (None, None), (2, "")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        left = [(r.doc_id, r.text) for r in near_dedup.one_of_each(docs).collect()]
+        assert len(left) == 4 and {(None, other), (None, None), (2, "")} <= set(left)
+        kept = next(r for r in left if r[1] in copies)
+        assert kept[0] == min((i for i in ids if i is not None), default=None)

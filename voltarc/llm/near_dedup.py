@@ -217,11 +217,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table without texts, so it has every column but the text; shingle sets are written for
     candidates only.
     """
-    return _judged(docs, doc_id, text, num, den).drop("_id", "_key")
+    return _judged(docs, doc_id, text, num, den).drop("_id", "_key", "_group")
 
 
 def _judged(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> DataFrame:
-    """``near_duplicates`` with the row's _id and _key, a digest of its text."""
+    """``near_duplicates`` with the row's _id, _key, a digest of its text, and _group, its component
+    (NULL without words)."""
     key = _key(F.col("_text"))
     rest = [c for c in docs.columns if c.lower() not in {*RESULTS, text.lower()}]
     named = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{doc_id}`").alias("_id"),
@@ -279,22 +280,32 @@ def _judged(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> Data
     named_groups = nodes.join(groups, "node", "left").select(
         "node", "least_id", F.coalesce("comp", "node").alias("comp"))
     smallest = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    by_node = named_groups.join(smallest, "comp").select("node", "component_id")
+    by_node = named_groups.join(smallest, "comp").select("node", "component_id",
+                                                         F.col("comp").alias("_group"))
     return (signs.drop("sig").join(by_node, "node", "left")
             .withColumn("component_id", F.when(F.col("node").isNull(), F.col("_id"))
                         .otherwise(F.col("component_id")))
-            .select(*[F.col(f"`{c}`") for c in rest], "_id", "_key", F.col("n").alias("n_shingles"),
-                    "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")))
+            .select(*[F.col(f"`{c}`") for c in rest], "_id", "_key", "_group",
+                    F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 @shielded
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 80,
                 den: int = 100) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns. Rows that repeat an id
-    and its text stay once."""
+    """One document of each component of ``near_duplicates``, with all its columns: that of the least
+    id, NULL last, then of the least digest of its text. Documents without words stay. Rows that
+    repeat an id and its text stay once."""
     ids = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    judged = (_judged(ids, doc_id, text, num, den).groupBy("_id", "_key")
-              .agg(F.min("kept").alias("_kept"), F.count("*").alias("_rows")))
+    judged = settle(_judged(ids, doc_id, text, num, den).groupBy("_id", "_key")
+                    .agg(F.first("_group").alias("_group"), F.count("*").alias("_rows")), "judged")
+    first = (judged.where("_group is not null").groupBy("_group")
+             .agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_key")).alias("x"))
+             .select(F.col("x._id").alias("_i"), F.col("x._key").alias("_k"),
+                     F.lit(True).alias("_first")))
+    judged = judged.join(first, F.col("_id").eqNullSafe(F.col("_i"))
+                         & (F.col("_key") == F.col("_k")), "left").select(
+        "_id", "_key", "_rows", (F.col("_group").isNull() | F.col("_first").isNotNull())
+        .alias("_kept"))
     judged = settle(judged.where("not _kept or _rows > 1"), "kept-once")
     marked = docs.withColumn("_key_of", _key(F.col(f"`{text}`")))
     same = (F.col(f"`{doc_id}`").eqNullSafe(F.col("_id"))
