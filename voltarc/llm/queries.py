@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltarc.llm import (bpe, decontaminate, language_id, near_dedup, perplexity, pii,
-                         quality_rules, suffix_dedup, toxicity, url_filter)
+                         quality_rules, resample, spelling, suffix_dedup, toxicity, url_filter, warc)
 from voltarc.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -88,9 +88,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.joined().alias("spans"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.count_words(docs, misspell=31))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(pages, folder)
+    return warc.read_archives(index, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    target = table(spark, sf_dir, "benchmark").select("text")
+    return resample.resampled(docs, target)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_language_id, op3_near_dedup, op4_suffix_dedup, op5_decontaminate, op6_quality_rules, op7_bpe, op8_perplexity,
-                              op9_url_filter, op10_pii)}
+    f.__name__: f for f in (op1_toxicity, op2_language_id, op3_near_dedup, op4_suffix_dedup,
+                            op5_decontaminate, op6_quality_rules, op7_bpe, op8_perplexity,
+                            op9_url_filter, op10_pii, op11_spelling_variants, op12_warc,
+                            op13_resample)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE_SQL: dict[str, str] = {
@@ -130,4 +151,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op12_warc": """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 100
+             THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM q""",
 }
