@@ -1,11 +1,14 @@
 """Model operators on a small table with a known signal."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from voltarc.operators import models, predictions
+from voltarc.operators import folds, grower, models, predictions
+from voltarc.operators.grower import held_out
+from voltarc.sources.foldlog import FoldLog
 
 
 @pytest.fixture(scope="module")
@@ -28,41 +31,143 @@ def errors(df):
 
 
 def test_forest_beats_the_mean(table):
-    got = models.loco_predictions(table, ["signal", "noise"], "y", KEYS,
-                                  lambda: models.random_forest(10, depth=5), "rf")
+    got = held_out(table, ["signal", "noise"], "y", KEYS,
+                   [replace(models.FOREST, trees=10, depth=5)])
     assert got.columns[:2] == KEYS and got.count() == table.count()
     mean = table.agg(F.avg("y")).first()[0]
     assert errors(got) < 0.6 * table.agg(F.avg(F.abs(F.col("y") - mean))).first()[0]
     assert predictions.per_cell_metrics(got).count() == 4
 
 
-def test_boosting_stops_on_validation_rows(table):
-    got = models.loco_predictions(table, ["signal", "noise"], "y", KEYS,
-                                  lambda: models.boosted("xgb", maxIter=6, maxDepth=3,
-                                                         stepSize=0.5), "xgb",
-                                  hold_only=["VAH01"])
-    assert got.select("cell_id").distinct().collect()[0][0] == "VAH01"
-    assert errors(got) < 2.0
+def test_patience():
+    flat = [5, 4, 4, 6, 4, 3, 7, 7, 2]
+    for patience, rounds in ((1, 2), (3, 2), (4, 9), (None, 9)):
+        wait = grower.Patience(patience)
+        for e in flat:
+            if not wait.goes_on(e):
+                break
+        assert wait.rounds == rounds
+    wait = grower.Patience(2)  # without validation rows all rounds stay
+    assert all(wait.goes_on(None) for _ in range(9)) and wait.rounds == 9
+
+
+def plain_tree(codes, y, rows, settings, allowed):
+    """A regression tree the slow way: node -> (rows, feature, cut) by trying every cut."""
+    def score(g):
+        return g.sum()**2 / (len(g) + settings.l2)
+
+    def best(own):
+        top = (1e-9, None)
+        for f in allowed:
+            for c in sorted(set(codes[own, f]))[:-1]:
+                left, right = own[codes[own, f] <= c], own[codes[own, f] > c]
+                if min(len(left), len(right)) >= settings.min_rows:
+                    gain = score(y[left]) + score(y[right]) - score(y[own])
+                    if gain > top[0] * (1 + 1e-12):
+                        top = (gain, (f, c, left, right))
+        return top
+
+    leaves, queue = [], [(best(rows), rows, 0)]
+    splits = 0
+    while queue:
+        queue.sort(key=lambda q: -q[0][0])
+        (gain, split), own, depth = queue.pop(0)
+        full = settings.leaves is not None and splits >= settings.leaves - 1
+        if split is None or depth >= settings.depth or full:
+            leaves.append(own)
+            continue
+        splits += 1
+        queue += [(best(split[2]), split[2], depth + 1), (best(split[3]), split[3], depth + 1)]
+    return leaves
+
+
+@pytest.mark.parametrize("changes", [{}, {"leaves": 6, "depth": 30}, {"l2": 4.0, "min_rows": 9},
+                                     {"columns": 0.5}])
+def test_boosting_equals_a_plain_grower(changes):
+    """Rounds of squared-loss boosting on one fold, against trying every cut of every node."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 12, (120, 4)).astype(np.uint8)
+    y = codes @ np.array([1.0, -2.0, 0.5, 0.0]) + rng.normal(size=120)
+    own = replace(models.PRESETS["xgb"], **{"trees": 4, "depth": 3, "rows": 1.0, "columns": 1.0,
+                                            "min_rows": 3, **changes})
+    train, check = np.arange(90), np.arange(90, 120)
+    scale = grower.Scale.of(y.min(), y.max())
+    base, trees = grower.fit(codes, y, np.arange(120, dtype=np.uint64), train, check,
+                             np.ones(4, bool), own, scale)
+    got = grower.predict(base, trees, codes, own)
+    guess, kept = np.full(120, y[train].mean()), []
+    for t in range(4):
+        allowed = np.flatnonzero(grower.columns(np.ones(4, bool), own, t))
+        step = np.zeros(120)
+        for leaf in plain_tree(codes, guess - y, train, own, allowed):
+            # rows outside the training set that the same cuts lead here share its value
+            value = -own.step * (guess - y)[leaf].sum() / (len(leaf) + own.l2)
+            same = grower.walk(trees[t], codes) if t < len(trees) else None
+            if same is None:
+                break
+            assert len(set(same[leaf])) == 1
+            step[same == same[leaf[0]]] = value
+        guess = guess + step
+        kept.append(guess)
+    assert np.allclose(got, kept[len(trees) - 1], atol=1e-5)
+
+
+def test_rows_that_stay_grow_the_same_trees(table):
+    """Models grown over rows that stay where they are equal those grown in one task."""
+    settings = [replace(models.FOREST, trees=5, depth=4),
+                replace(models.PRESETS["xgb"], trees=4, depth=3, patience=2),
+                replace(models.PRESETS["lightgbm"], trees=4, leaves=5, min_rows=4, patience=1)]
+    names = ["signal", "noise", "hole"]
+    rows = table.withColumn("hole", F.when(F.col("mission_id") % 7 != 0, F.col("noise") * 2))
+    args = (rows, names, "y", KEYS, settings)
+    one = held_out(*args, fill_missing=True, holds=["VAH01", "VAH03"])
+    two = held_out(*args, fill_missing=True, holds=["VAH01", "VAH03"], local_cells=0)
+    key = lambda r: (r.model, r.cell_id, r.mission_id)
+    a, b = sorted(one.collect(), key=key), sorted(two.collect(), key=key)
+    assert len(a) == 2 * 3 * 40
+    assert [(key(r), r.rounds) for r in a] == [(key(r), r.rounds) for r in b]
+    assert [r.y_pred for r in a] == pytest.approx([r.y_pred for r in b], abs=1e-9)
+
+
+def test_codes():
+    bounds = np.array([1.0, 2.0, 5.0])
+    assert grower.code_of(np.array([0.5, 1.0, 1.5, 2.0, 5.0, 6.0, np.nan]), bounds).tolist() == [
+        0, 0, 1, 1, 2, 3, 255]
+
+
+def test_folds_without_rows(spark, table):
+    few = [replace(models.FOREST, trees=2)]
+    assert held_out(table.limit(0), ["signal"], "y", KEYS, few).count() == 0
+    assert held_out(table, ["signal"], "y", KEYS, few, min_train=10**6).count() == 0
+    alone = table.where("cell_id = 'VAH01'")
+    assert held_out(alone, ["signal"], "y", KEYS, few).count() == 0
+
+
+def test_log_resumes(spark, table, tmp_path, monkeypatch):
+    """A second run fits only the cells that the first has not committed."""
+    fitted = []
 
+    def spy(*args, **options):
+        fitted.append(options["holds"])
+        if len(fitted) == 2:
+            raise RuntimeError("lost")
+        return held_out(*args, **options)
 
-def test_patience_outlives_a_flat_stretch(table):
-    flat = [5.0, 4.0, 4.0, 4.1, 4.0, 3.0, 3.5, 3.5, 2.0]
-    assert [models.best_round(flat, p) for p in (1, 3, 4, None)] == [2, 2, 9, 9]
-    rows = table.select(
-        array_to_vector(F.array("signal", "noise")).alias("features"), F.col("y").alias("label"),
-        (F.col("cell_id") == "VAH01").alias("is_val"))
-    # later rounds fit the training rows ever closer; the model keeps those that suit the others
-    make = models.boosted("xgb", maxIter=12, maxDepth=3, stepSize=0.9, subsamplingRate=1.0)
-    whole = make.fit(rows.where("not is_val"))
-    errors = whole.evaluateEachIteration(rows.where("is_val"), "squared")
-    kept = models.fit_patient(make, rows, None)
-    assert kept.getNumTrees == errors.index(min(errors)) + 1
-    assert kept.treeWeights == whole.treeWeights[:kept.getNumTrees]
+    monkeypatch.setattr(models, "held_out", spy)
+    run = lambda: models.logged_predictions(
+        FoldLog(spark, str(tmp_path / "log")), table, ["signal"], "y", KEYS,
+        [replace(models.FOREST, trees=2)], per_commit=2)
+    with pytest.raises(RuntimeError):
+        run()
+    got = run()
+    assert fitted == [["VAH01", "VAH02"], ["VAH03", "VAH04"], ["VAH03", "VAH04"]]
+    assert got.count() == 160 and got.select(*KEYS).distinct().count() == 160
+    assert run().count() == 160 and len(fitted) == 3
 
 
 def test_guard_drops_a_copy_of_the_label(table):
     leaky = table.withColumn("copy", F.col("y"))
-    plan = models.folds.fold_prepare(leaky, ["signal", "copy"], "y", 0.9999).collect()
+    plan = folds.fold_prepare(leaky, ["signal", "copy"], "y", 0.9999).collect()
     assert {r["feature"] for r in plan if not r["kept"]} == {"copy"}
 
 
@@ -77,97 +182,44 @@ def test_importance_finds_the_signal(table):
     assert models.permutation_importance(few, KEYS, "t").count() == 0
 
 
-def test_patience_ends_the_fitting(table):
-    """A budget of thousands of rounds is not fitted where looking ends early."""
-    rows = table.select(
-        array_to_vector(F.array("signal", "noise")).alias("features"), F.col("y").alias("label"),
-        (F.col("cell_id") == "VAH01").alias("is_val"))
-    fitted = []
-
-    class Counted(models.GBTRegressor):
-        def _fit(self, dataset):
-            fitted.append(self.getMaxIter())
-            return super()._fit(dataset)
-
-    make = Counted(maxIter=4000, maxDepth=3, stepSize=0.9, seed=7)
-    kept = models.fit_patient(make, rows, 3)
-    assert fitted[0] == 6 and fitted[:-1] == [6 * 2**i for i in range(len(fitted) - 1)]
-    assert max(fitted) < 100
-    errors = make.copy({make.maxIter: max(fitted)}).fit(rows.where("not is_val")) \
-        .evaluateEachIteration(rows.where("is_val"), "squared")
-    assert kept.getNumTrees == models.best_round(errors, 3)
-
-
-@pytest.mark.parametrize("name", ["feature_importance", "permutation_importance", "loco_rf",
-                                  "loco_gbt", "loco_seq", "loco_eval", "grid_sweep"])
-def test_queries_use_the_defaults(spark, monkeypatch, name):
-    """No query changes the number of trees or rounds, and presets stay as they are."""
-    from voltarc.plans import catalog
-    from voltarc.plans.pipeline import pipeline
-
-    made = []
-    forest, boosted = models.random_forest, models.boosted
-
-    def loco(samples, features, label, keys, make, name, *args, **kwargs):
-        made.append((name, make(), kwargs.get("patience", models.PATIENCE)))
-        return samples.select(*keys, F.col(label).alias("y_true"), F.lit(0.0).alias("y_pred"),
-                              F.lit(name).alias("model"))
-
-    def importance(table, keys, task, **changes):
-        made.append((task, forest(**changes), None))
-        return spark.createDataFrame([], "task string, feature string, gini_importance double, "
-                                         "r2 double, perm_importance_mean double, "
-                                         "perm_importance_std double")
-
-    monkeypatch.setattr(models, "loco_predictions", loco)
-    monkeypatch.setattr(models, "feature_importance", importance)
-    monkeypatch.setattr(models, "permutation_importance", importance)
-    catalog.QUERIES[name].spark(pipeline(spark, "/root/testdata/sf0.001"))
-    assert made
-    for name, estimator, patience in made:
-        if name in models.PRESETS:
-            usual = boosted(name)
-            assert patience == (None if name == "catboost" else 200)
-        else:
-            usual = boosted() if isinstance(estimator, models.GBTRegressor) else forest()
-        ours, theirs = ({p.name: v for p, v in e.extractParamMap().items()}
-                        for e in (estimator, usual))
-        if name == "boosted":  # the swept ones
-            ours |= {k: theirs[k] for k in ("maxDepth", "stepSize")}
-        for own in ("featuresCol", "predictionCol", "labelCol"):
-            assert ours[own] == theirs[own]
-        assert ours == theirs
-
-
 def test_every_model_meets_every_task(spark, monkeypatch):
-    """Boosters and pooled sequences too get SOC, SOH and all three levels, each with features."""
+    """Boosters and pooled sequences too get SOC, SOH and all three levels, each with features and
+    with the library's settings."""
     from voltarc.plans import catalog
-    from voltarc.plans.pipeline import pipeline
+    from voltarc.plans.pipeline import Pipeline
 
     runs = []
 
-    def loco(samples, features, label, keys, make, name, *args, **kwargs):
-        runs.append((name, label, len(features)))
+    def fake(samples, features, label, keys, settings, **options):
+        runs.append((tuple(settings), label, len(features)))
         assert set(features) <= set(samples.columns)
         return samples.select(*keys, F.col(label).cast("double").alias("y_true"),
-                              F.lit(0.0).alias("y_pred"), F.lit(name).alias("model"))
+                              F.lit(0.0).alias("y_pred"), F.lit(settings[0].name).alias("model"),
+                              F.lit(0).alias("rounds"), F.lit(0.0).alias("predict_ms"))
 
-    monkeypatch.setattr(models, "loco_predictions", loco)
-    p = pipeline(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(models, "held_out", fake)
+    p = Pipeline.from_tables(spark, "/root/testdata/sf0.001")
     tasks = {"soc_phase_delta", "soh_next", "rul_eol_80", "rul_eol_85", "rul_eol_90"}
-    labels = ["label", "dSOH_to_future"] + 3 * ["RUL_missions"]
-    for query, names in (("loco_rf", ["rf"]), ("loco_gbt", list(models.PRESETS)),
-                         ("loco_seq", ["pooled_rf"]),
-                         ("loco_eval", ["rf", *models.PRESETS, "pooled_rf"])):
+    labels = sorted(["label", "dSOH_to_future"] + 3 * ["RUL_missions"])
+    usual = {"loco_rf": (models.FOREST,), "loco_gbt": tuple(models.PRESETS.values()),
+             "loco_seq": (replace(models.FOREST, name="pooled_rf"),)}
+    for name, settings in usual.items():
         runs.clear()
-        got = catalog.QUERIES[query].spark(p)
-        assert "task" in got.columns
-        assert [(n, y) for n, y, _ in runs] == [(n, y) for n in names for y in labels]
-        assert all(k for *_, k in runs)
+        got = catalog.QUERIES[name].spark(p)
+        assert sorted(y for _, y, _ in runs) == labels
+        assert all(s == settings and k for s, _, k in runs)
         assert {r.task for r in got.select("task").distinct().collect()} <= tasks
     runs.clear()
-    assert catalog.QUERIES["grid_sweep"].spark(p).count() == 12
-    assert len(runs) == 12
+    assert catalog.QUERIES["loco_eval"].spark(p).count() > 0 and not runs  # from the log
+    assert catalog.QUERIES["grid_sweep"].spark(p).count() > 0
+    assert len(runs) == 3 and all(len(s) == 4 for s, _, _ in runs)
+
+
+def test_budgets_are_scaled_together():
+    s = models.SCALE
+    assert [(p.trees * s, round(p.step / s, 9)) for p in models.PRESETS.values()] == [
+        (4000, 0.03), (5000, 0.03), (5000, 0.03)]
+    assert models.PRESETS["xgb"].patience * s == 200 and models.FOREST.trees * s == 600
 
 
 def test_segment_pools(spark):

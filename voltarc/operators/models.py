@@ -1,40 +1,44 @@
-"""Spark ML models: importance, leave-one-cell-out baselines and a parameter sweep.
+"""Model baselines: importance, leave-one-cell-out forests and boosted trees, a parameter sweep.
 
-The driver only steers: each fit, prediction and score is a Spark job, and folds are submitted
-from a small thread pool so that their jobs share the cluster.
+Importance fits Spark ML forests. Held-out models are grown for all cells at once, see ``grower``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.functions import fixed, ordered
-from voltarc.operators import folds
-from voltarc.operators.predictions import prediction_table
-from voltarc.operators.tables import quoted, safe_names
+from voltarc.functions import ordered
+from voltarc.operators.grower import Settings, held_out
+from voltarc.operators.predictions import per_cell_metrics
+from voltarc.operators.tables import quoted
+from voltarc.sources.foldlog import FoldLog
 
 SEED = 1337
 
-# ---- fixed values: boosting budgets and tree settings of the three presets ----
+#: The one default of library, queries and bench: a tenth of the published rounds, patience, trees and
+#: least rows of the large-leaf preset, at ten times the published step. A boosted model so learns as
+#: much in all, in fewer and coarser steps. ``SCALE = 1`` gives the published budgets.
+SCALE = 10
+
+# ---- fixed values: published budgets and tree settings of the models ----
 PRESETS = {
-    "xgb": dict(maxIter=4000, stepSize=0.03, maxDepth=7, minInstancesPerNode=5,
-                subsamplingRate=0.9, featureSubsetStrategy="0.9"),
-    "catboost": dict(maxIter=5000, stepSize=0.03, maxDepth=8),
-    "lightgbm": dict(maxIter=5000, stepSize=0.03, maxDepth=6, minInstancesPerNode=200,
-                     subsamplingRate=0.9, featureSubsetStrategy="0.9", lossType="absolute"),
+    "xgb": Settings("xgb", 4000 // SCALE, step=0.03 * SCALE, depth=7, min_rows=5, l2=1.0, rows=0.9,
+                    columns=0.9, patience=200 // SCALE, seed=SEED),
+    "catboost": Settings("catboost", 5000 // SCALE, step=0.03 * SCALE, depth=8, l2=3.0, seed=SEED),
+    "lightgbm": Settings("lightgbm", 5000 // SCALE, step=0.03 * SCALE, depth=63, leaves=63,
+                         min_rows=200 // SCALE, l2=1.0, rows=0.9, columns=0.9, huber=0.9,
+                         patience=200 // SCALE, seed=SEED),
 }
-PATIENCE = 200  # rounds without a lower validation error
-PATIENCES = {"xgb": PATIENCE, "catboost": None, "lightgbm": PATIENCE}  # None looks at all rounds
+FOREST = Settings("rf", 600 // SCALE, depth=12, min_rows=2, boost=False, seed=SEED)
 
 
 def random_forest(trees: int = 600, min_leaf: int = 2, depth: int = 30, seed: int = SEED):
@@ -42,46 +46,6 @@ def random_forest(trees: int = 600, min_leaf: int = 2, depth: int = 30, seed: in
                                  featureSubsetStrategy="all", seed=seed, maxMemoryInMB=1024)
 
 
-def boosted(preset: str = "xgb", seed: int = SEED, **changes):
-    """Boosted trees with the settings of a preset; ``fit_patient`` chooses the number of rounds."""
-    return GBTRegressor(**{**PRESETS[preset], "seed": seed, **changes})
-
-
-def best_round(errors: Sequence[float], patience: int | None) -> int:
-    """Rounds to keep: up to the least validation error. Looking ends after ``patience`` rounds
-    without a lower one; None looks at all."""
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif patience is not None and i - best >= patience:
-            break
-    return best + 1
-
-
-def fit_patient(estimator: GBTRegressor, rows: DataFrame, patience: int | None):
-    """Fit on the rows that ``is_val`` does not mark, with the rounds that suit the marked rows.
-
-    A seed gives every round its own draw, so a fit with fewer rounds is a prefix of a longer one:
-    twice the patience is fitted first and then twice as many, until looking ends.
-    """
-    train, check = rows.where(~F.col("is_val")), rows.where("is_val")
-    if check.isEmpty():
-        return estimator.fit(train)
-    full = estimator.getMaxIter()
-    fitted = full if patience is None else min(full, 2 * patience)
-    while True:
-        model = estimator.copy({estimator.maxIter: fitted}).fit(train)
-        errors = model.evaluateEachIteration(check, estimator.getLossType())
-        rounds = best_round(errors, patience)
-        if fitted == full or fitted - rounds >= patience:
-            break
-        fitted = min(full, 2 * fitted)
-    if rounds < fitted:
-        model = estimator.copy({estimator.maxIter: rounds}).fit(train)
-    return model
-
-
 def hash_split(table: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """75 / 25 split by a hash of the key: the same rows whatever the partitioning."""
     part = F.pmod(F.xxhash64(*keys), F.lit(4))
@@ -161,75 +125,35 @@ def permutation_importance(table: DataFrame, keys: Sequence[str], name: str, tre
         F.desc("perm_importance_mean"))
 
 
-def loco_predictions(samples: DataFrame, features: Sequence[str], label: str,
-                     keys: Sequence[str], make: Callable[[], object], name: str,
-                     guard: bool = True, hold_only: Iterable[str] | None = None,
-                     fill_missing: bool = False, roles: DataFrame | None = None,
-                     parallel: int = 8, min_train: int = 1,
-                     patience: int | None = PATIENCE) -> DataFrame:
-    """Predictions of every held-out cell from a model fitted on the other cells.
-
-    ``guard`` applies the name and correlation guards; fill values and scaling come from the
-    training cells alone. ``samples`` should be a written table, as every fold reads it, and
-    ``fill_missing`` is needed only when its features have missing values. Folds with fewer than
-    ``min_train`` training rows are skipped: trees skip empty ones, sequence models small ones.
-    Boosted models keep the rounds that suit the validation cells, see ``best_round``.
-    """
-    features = safe_names(features) if guard else list(features)
-    limit = fixed.CORR_LIMIT if guard else float("inf")
-    roles = folds.fold_roles(samples) if roles is None else roles
-    plan: dict[str, list] = {}
-    # one row per (held-out cell, feature), next to a fitted model per held-out cell
-    for row in folds.fold_prepare(samples, features, label, limit, fill_missing, roles).collect():
-        plan.setdefault(row["hold"], []).append(row)
-    runs = {r["hold"] for r in folds.loco_folds(samples, min_train).where("is_run").collect()}
-    validation: dict[str, list[str]] = {}
-    for r in roles.where("role = 'val'").select("hold", "cell_id").collect():
-        validation.setdefault(r["hold"], []).append(r["cell_id"])
-    wanted = [h for h in sorted(runs & set(plan)) if hold_only is None or h in set(hold_only)]
-
-    def one(hold: str) -> DataFrame:
-        rows = sorted(plan[hold], key=lambda r: features.index(r["feature"]))
-        frame = folds.scaled_fold(
-            samples.select(*keys, F.col(label).cast("double").alias("label"),
-                           *[quoted(f) for f in features]), rows
-        ).select(*keys, "label", "features").withColumn(
-            "is_val", F.col("cell_id").isin(validation.get(hold, [])))
-        estimator = make()
-        train = frame.where((F.col("cell_id") != hold) & F.col("label").isNotNull())
-        if isinstance(estimator, GBTRegressor):
-            model = fit_patient(estimator, train, patience)
-        else:
-            model = estimator.fit(train.where(~F.col("is_val")))
-        test = frame.where((F.col("cell_id") == hold) & F.col("label").isNotNull())
-        return model.transform(test).select(
-            *keys, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"),
-            F.lit(name).alias("model"))
-
-    if not wanted:
-        return prediction_table(samples.limit(0).select(
-            *keys, F.col(label).cast("double").alias("y_true"),
-            F.lit(0.0).alias("y_pred"), F.lit(name).alias("model")))
-    with ThreadPool(min(parallel, len(wanted))) as pool:
-        return prediction_table(reduce(DataFrame.unionByName, pool.map(one, wanted)))
+def logged_predictions(log: FoldLog, samples: DataFrame, features: Sequence[str], label: str,
+                       keys: Sequence[str], settings: Sequence[Settings], per_commit: int = 256,
+                       **options) -> DataFrame:
+    """:func:`grower.held_out` through a log: only held-out cells that the log does not hold are
+    fitted, ``per_commit`` cells at a time, so a lost run costs the cells of one commit."""
+    cells = [r[0] for r in samples.select("cell_id").distinct().collect()]  # one name per fold
+    if not cells:
+        return held_out(samples, features, label, keys, settings, **options)
+    left = sorted(set(cells) - log.holds())
+    for at in range(0, len(left), per_commit):
+        own = left[at:at + per_commit]
+        log.commit(held_out(samples, features, label, keys, settings,
+                            holds=own if len(own) < len(cells) else None, **options), own)
+    return log.table()
 
 
 def grid_sweep(samples: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
-               grid: Mapping[str, Sequence], cells: int | None = None, **fixed_params) -> DataFrame:
-    """One row per grid point: mean per-cell error over the held-out cells (all, or the
-    first ``cells`` for a quick look)."""
-    from voltarc.operators.predictions import per_cell_metrics
-
+               grid: Mapping[str, Sequence], base: Settings = PRESETS["xgb"],
+               cells: int | None = None) -> DataFrame:
+    """One row per grid point: mean per-cell error over the held-out cells (all, or the first
+    ``cells`` for a quick look). All points are grown in the same jobs."""
     first = None if cells is None else [r[0] for r in samples.select("cell_id").distinct()
                                         .orderBy("cell_id").limit(cells).collect()]
-    out = []
-    for values in product(*grid.values()):
-        point = dict(zip(grid, values))
-        predictions = loco_predictions(
-            samples, features, label, keys, lambda: boosted(**{**fixed_params, **point}),
-            "boosted", hold_only=first)
-        summary = per_cell_metrics(predictions).agg(
-            F.avg("MAE").alias("MAE_mean"), F.avg("RMSE").alias("RMSE_mean"),
-            F.count(F.lit(1)).alias("cells"), F.sum("N").alias("N_total"))
-        out.append(summary.select(*[F.lit(v).alias(k) for k, v in point.items()], "*"))
-    return reduce(DataFrame.unionByName, out)
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    settings = [replace(base, name=str(i), **p) for i, p in enumerate(points)]
+    guesses = held_out(samples, features, label, keys, settings, holds=first)
+    found = per_cell_metrics(guesses, ["model"]).groupBy("model").agg(
+        F.avg("MAE").alias("MAE_mean"), F.avg("RMSE").alias("RMSE_mean"),
+        F.count(F.lit(1)).alias("cells"), F.sum("N").alias("N_total"))
+    named = [F.element_at(F.array(*[F.lit(p[k]) for p in points]),
+                          F.col("model").cast("int") + 1).alias(k) for k in grid]
+    return found.select(*named, "MAE_mean", "RMSE_mean", "cells", "N_total")

@@ -8,8 +8,9 @@ below the last digit makes decimal ties round the same way whatever that order w
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -655,7 +656,7 @@ query("gate_entropy", "*gate_entropy n",
     lambda p: predictions.gate_entropy(p.arrays))
 
 # ---------------------------------------------------------------- models (rows only)
-# Forests and boosted trees run with the operators' defaults, see ``models.PRESETS``.
+# Forests and boosted trees run with the operators' defaults, see ``models.SCALE``.
 
 
 def _as_rows(name: str, columns: str):
@@ -715,22 +716,39 @@ POOLED = tuple(f"__{k}" for k in sequences.POOLS)
 PRED = "task cell_id mission_id cycleNumber seg_id y_true y_pred model"
 
 
-def _held_out(p: Pipeline, model: str) -> DataFrame:
-    """Held-out predictions of a model over the five tasks; segments are NULL for missions."""
-    pooled, out = model == "pooled_rf", None
-    more = dict(min_train=fixed.MIN_TRAIN_ROWS) if pooled else {}
-    make = models.random_forest
-    if model in models.PRESETS:
-        more = dict(patience=models.PATIENCES[model])
-        make = lambda: models.boosted(model)
-    for task, rows, features, label, keys in _tasks(p, pooled):
-        roles = p.roles if task == "soh_next" else None
-        one = models.loco_predictions(rows, features, label, keys, make, model, roles=roles,
-                                      **more).withColumn("task", F.lit(task))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+#: Groups of models that are grown together.
+GROUPS = {"rf": [models.FOREST], "gbt": list(models.PRESETS.values()),
+          "seq": [replace(models.FOREST, name="pooled_rf")]}
+
+
+def _held_out(p: Pipeline, group: str, only: Sequence[str] | None = None) -> DataFrame:
+    """Held-out predictions of a group of models over the five tasks (or ``only`` some); segments
+    are NULL for missions. Fitted once per pipeline, read from the log afterwards."""
+    pooled = group == "seq"
+
+    def one(task: str, rows: DataFrame, features: list[str], label: str, keys: list[str]):
+        return models.logged_predictions(
+            p.log(task, group), rows, features, label, keys, GROUPS[group],
+            roles=p.roles if task == "soh_next" else None,
+            min_train=fixed.MIN_TRAIN_ROWS if pooled else 1).withColumn("task", F.lit(task))
+
+    tasks = [t for t in _tasks(p, pooled) if only is None or t[0] in only]
+    with ThreadPool(len(tasks)) as pool:  # the preparing jobs of the tasks share the cluster
+        parts = pool.starmap(one, tasks)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    for key in SEGMENTS:
+        if key not in out.columns:
+            out = out.withColumn(key, F.lit(None).cast("int"))
     return out
 
 
+def _all_models(p: Pipeline, only: Sequence[str] | None = None) -> DataFrame:
+    return _held_out(p, "rf", only).unionByName(_held_out(p, "gbt", only)).unionByName(
+        _held_out(p, "seq", only))
+
+
 @_as_rows("loco_rf", PRED)
 def loco_rf(p):
     return _held_out(p, "rf")
@@ -738,17 +756,13 @@ def loco_rf(p):
 
 @_as_rows("loco_gbt", PRED)
 def loco_gbt(p):
-    out = None
-    for preset in models.PRESETS:
-        one = _held_out(p, preset)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _held_out(p, "gbt")
 
 
 @_as_rows("loco_seq", PRED)
 def loco_seq(p):
     """Forest on pooled trailing windows, the stand-in for the recurrent networks."""
-    return _held_out(p, "pooled_rf")
+    return _held_out(p, "seq")
 
 
 @_as_rows("loco_eval", "task model num_cells total_samples MAE_mean MAE_median RMSE_mean "
@@ -756,23 +770,96 @@ def loco_seq(p):
 def loco_eval(p):
     """Fleet metrics of forest, boosted presets and pooled forest over the five tasks."""
     by = ["task", "model"]
-    guesses = loco_rf(p).unionByName(loco_gbt(p)).unionByName(loco_seq(p))
-    return predictions.fleet_metrics(predictions.per_cell_metrics(guesses, by), by)
+    return predictions.fleet_metrics(predictions.per_cell_metrics(_all_models(p), by), by)
 
 
-@_as_rows("grid_sweep", "eol maxDepth stepSize MAE_mean RMSE_mean cells N_total")
+@_as_rows("grid_sweep", "eol depth step MAE_mean RMSE_mean cells N_total")
 def grid_sweep(p):
     out = None
     for level in fixed.EOL_SWEEP:
         one = models.grid_sweep(p.rul_samples.where(F.col("eol") == level),
                                 _loco_features("mission", p.rul_samples),
                                 "RUL_missions", missions.MISSION,
-                                {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}
+                                {"depth": [2, 4], "step": [0.1, 0.3]}
                                 ).withColumn("eol", F.lit(level))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+# ---------------------------------------------------------------- metrics of fitted models
+
+RUL_TASKS = [f"rul_eol_{level}" for level in fixed.EOL_SWEEP]
+MISSION_TASKS = ["soh_next", *RUL_TASKS]
+_MODELS = "(VALUES ('rf'), ('xgb'), ('catboost'), ('lightgbm')) AS m(model)"
+
+
+def _fitted_rul(p: Pipeline) -> DataFrame:
+    """The forest's held-out remaining life at every level."""
+    return _held_out(p, "rf", RUL_TASKS).select(
+        F.substring_index("task", "_", -1).cast("int").alias("eol"), "cell_id", "mission_id",
+        "y_true", "y_pred")
+
+
+@query("loco_truth", "task model cell_id mission_id *y_true is_sane",
+       "(SELECT task, model, cell_id, mission_id, y_true, TRUE AS is_sane FROM (SELECT 'soh_next' "
+       "AS task, cell_id, mission_id, dSOH_to_future AS y_true FROM c_horizon UNION ALL SELECT "
+       "'rul_eol_' || eol, cell_id, mission_id, RUL_missions FROM c_rul) CROSS JOIN "
+       + _MODELS + ")")
+def loco_truth(p):
+    """Every mission is predicted once by every model, from its true label on; a forest stays within
+    the labels that it has seen, a boosted model is finite."""
+    guesses = _held_out(p, "rf", MISSION_TASKS).unionByName(_held_out(p, "gbt", MISSION_TASKS))
+    ends = guesses.groupBy("task").agg(F.min("y_true").alias("lo"), F.max("y_true").alias("hi"))
+    inside = F.col("y_pred").between(F.col("lo") - 1e-6, F.col("hi") + 1e-6)
+    finite = F.col("y_pred").isNotNull() & ~F.isnan("y_pred") & (F.abs("y_pred") < 1e12)
+    return ends.join(guesses, "task").withColumn(
+        "is_sane", F.when(F.col("model") == "rf", inside).otherwise(finite))
+
+
+@_as_rows("fitted_per_cell", "task model cell_id MAE RMSE N")
+def fitted_per_cell(p):
+    return predictions.per_cell_metrics(_all_models(p), ["task", "model"])
+
+
+@_as_rows("fitted_comparison", "task model model_rank MAE_mean RMSE_mean N_cells N_total")
+def fitted_comparison(p):
+    return predictions.model_comparison(fitted_per_cell(p))
+
+
+@_as_rows("fitted_soh", f"{MIS} SOH_now y_true y_pred y_true_pp y_pred_pp")
+def fitted_soh(p):
+    return predictions.soh_reconstruct(_held_out(p, "rf", ["soh_next"]).select(
+        "cell_id", "mission_id", "y_true", "y_pred"), p.missions)
+
+
+@_as_rows("fitted_monotonicity", "viol_85_gt_80 viol_90_gt_85 viol_any N")
+def fitted_monotonicity(p):
+    return predictions.rul_monotonicity(predictions.across_levels(_fitted_rul(p)))
+
+
+@_as_rows("fitted_isotonic", f"{MIS} eol y_true y_pred y_pred_cal")
+def fitted_isotonic(p):
+    guesses = _fitted_rul(p)
+    return predictions.attach_calibrated(guesses, predictions.with_isotonic(
+        predictions.across_levels(guesses)))
+
+
+@_as_rows("fitted_isotonic_summary", "viol_before viol_after N")
+def fitted_isotonic_summary(p):
+    return predictions.isotonic_summary(predictions.with_isotonic(
+        predictions.across_levels(_fitted_rul(p))))
+
+
+@_as_rows("fitted_cascade", f"{MIS} cas80 cas85 cas90")
+def fitted_cascade(p):
+    return predictions.with_cascade(predictions.across_levels(_fitted_rul(p)))
+
+
+@_as_rows("fitted_increase_audit", "eol mean_increase n_cells")
+def fitted_increase_audit(p):
+    return predictions.rul_increase_audit(_fitted_rul(p))
+
+
 # ---------------------------------------------------------------- entry points
 
 

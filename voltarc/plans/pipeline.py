@@ -16,6 +16,7 @@ from voltarc.operators import cycles as cy
 from voltarc.operators import (exploration, folds, health, missions, physics, segments, sequences,
                                tables)
 from voltarc.sources.derived import arrays_from_embeddings, telemetry_from_events
+from voltarc.sources.foldlog import FoldLog
 from voltarc.sources.stages import StageStore
 
 
@@ -179,6 +180,10 @@ class Pipeline:
         return self.store.plain("pooled_soc", sequences.pooled_segments(rows, features).join(
             samples, [*missions.MISSION, "seg_id"], "left_semi"))
 
+    def log(self, task: str, group: str) -> FoldLog:
+        """Held-out predictions of a group of models for a task."""
+        return FoldLog(self.spark, self.store.path(f"predictions/{task}-{group}"))
+
     @cached_property
     def soh_model_table(self) -> DataFrame:
         return self.store.plain("soh_model_table", tables.soh_table(self.missions))

@@ -34,7 +34,21 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/voltarc-small-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.settled_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`settled` has returned, once nothing reads them any more."""
+    for df in tables:
+        if getattr(df, "settled_at", None):
+            remove(df.sparkSession, df.settled_at)
 
 
 class StageStore:
