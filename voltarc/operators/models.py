@@ -131,10 +131,9 @@ def logged_predictions(log: FoldLog, samples: DataFrame, features: Sequence[str]
     """:func:`grower.held_out` through a log: only held-out cells that the log does not hold are
     fitted, ``per_commit`` cells at a time, so a lost run costs the cells of one commit."""
     cells = [r[0] for r in samples.select("cell_id").distinct().collect()]  # one name per fold
-    if not cells:
-        return held_out(samples, features, label, keys, settings, **options)
-    left = sorted(set(cells) - log.holds())
-    for at in range(0, len(left), per_commit):
+    done = log.holds()
+    left = sorted(set(cells) - (done or set()))
+    for at in range(0, max(len(left), done is None), per_commit):  # without cells an empty commit
         own = left[at:at + per_commit]
         log.commit(held_out(samples, features, label, keys, settings,
                             holds=own if len(own) < len(cells) else None, **options), own)

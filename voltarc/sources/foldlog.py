@@ -24,16 +24,17 @@ class FoldLog:
         except AnalysisException:  # no commit yet
             return None
 
-    def holds(self) -> set[str]:
-        """Held-out cells that are done, one name per fold."""
+    def holds(self) -> set[str] | None:
+        """Held-out cells that are done, one name per fold; None before the first commit."""
         manifest = self._manifest()
-        return set() if manifest is None else {r["hold"] for r in manifest.collect()}
+        return None if manifest is None else {
+            r["hold"] for r in manifest.where("hold is not null").collect()}
 
     def commit(self, predictions: DataFrame, holds: list[str]) -> None:
         name = uuid.uuid4().hex
         predictions.write.parquet(f"{self.folder}/data/{name}")
         (self.spark.range(1).select(F.lit(name).alias("commit"), F.explode(F.array(
-            *[F.lit(h) for h in holds])).alias("hold"))
+            F.lit(None).cast("string"), *[F.lit(h) for h in holds])).alias("hold"))
          .coalesce(1).write.parquet(f"{self.folder}/manifest/{name}"))
 
     def table(self) -> DataFrame:
