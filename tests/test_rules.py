@@ -347,6 +347,55 @@ def test_folds_have_no_cell_limit(spark):
     assert len(got) == 1100 and {(r["n_test"], r["n_train"]) for r in got} == {(2, 2198)}
 
 
+def test_roles_of_many_cells(spark):
+    """Folds resumed from a shared state equal a deal from the start."""
+    df = spark.range(6000).select(F.concat(F.lit("c"), F.col("id") % 1100).alias("cell_id"))
+    sizes = {r[0]: r[1] for r in df.groupBy("cell_id").count().collect()}
+    roles = folds.fold_roles(df)
+    assert "Window" not in roles._jdf.queryExecution().toString()
+    assert roles.count() == len(sizes) ** 2
+    some = sorted(sizes)[::60]
+    got = {(r["hold"], r["cell_id"]): (r["n"], r["fold"], r["role"])
+           for r in roles.where(F.col("hold").isin(some)).collect()}
+    for hold in some:
+        loads = [0, 0, 0]
+        for n, c in sorted(((n, c) for c, n in sizes.items() if c != hold), reverse=True):
+            part = loads.index(min(loads))
+            loads[part] += n
+            assert got[hold, c] == (n, part, "val" if part == 0 else "train")
+        assert got[hold, hold] == (sizes[hold], None, "test")
+
+
+@pytest.mark.parametrize("few,blocks", [(256, 64), (3, 8)])
+def test_quantiles_of_unions_of_cells(spark, few, blocks):
+    import numpy as np
+    from voltarc.functions.subsets import subset_quantiles
+    rng = np.random.default_rng(few)
+    rows = [(f"c{rng.integers(0, 6)}", g, float(x)) for g, draw in (
+        ("ties", lambda: rng.integers(0, 3)), ("zero", lambda: max(0, rng.normal())),
+        ("plain", lambda: rng.normal())) for x in [draw() for _ in range(300)]]
+    rows += [("c1", "plain", None), ("c2", "plain", float("nan")), ("c1", "one", 4.0),
+             ("c0", "none", None), ("c9", "big", 1e300), ("c8", "big", -1e300)]
+    members = [(u, f"c{c}") for u, own in {"a": range(6), "b": [0, 5], "d": [1], "e": [8, 9],
+                                           "f": []}.items() for c in own]
+    for prob in (0.5, 0.9):
+        got = {(r["u"], r["g"]): r["quantile"] for r in subset_quantiles(
+            spark.createDataFrame(rows, "cell string, g string, x double"), ["g"], "cell", "x",
+            spark.createDataFrame(members, "u string, cell string"), "u", prob, blocks, few
+        ).collect()}
+        want = {}
+        for u in "abde":
+            own = {c for v, c in members if v == u}
+            for g in {r[1] for r in rows}:
+                x = [r[2] for r in rows if r[0] in own and r[1] == g
+                     and r[2] is not None and r[2] == r[2]]
+                if x:
+                    want[u, g] = np.quantile(x, prob)
+        assert set(got) == set(want)
+        for k, v in want.items():
+            assert got[k] == pytest.approx(v)
+
+
 def test_roles_of_chosen_folds(spark):
     df = spark.range(60).select(F.concat(F.lit("c"), F.col("id") % 30).alias("cell_id"))
     roles = folds.fold_roles(df, holds=["c7"]).collect()

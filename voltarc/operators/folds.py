@@ -6,16 +6,19 @@ combines the rows of its training cells, so the samples are read once and not on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltarc.functions import fixed
-from voltarc.functions.quantiles import group_quantiles
+from voltarc.functions.subsets import subset_quantiles
 from voltarc.operators.tables import quoted
 from voltarc.sources.stages import settled
 
+ROLES_PER_TASK = 50_000  # roles that a dealing task makes, about
+
 
 def cell_sizes(samples: DataFrame) -> DataFrame:
     """Samples per cell."""
@@ -37,37 +40,42 @@ def fold_roles(samples: DataFrame, holds: Sequence[str] | None = None) -> DataFr
 
     Training cells are dealt by size, largest first (ties: later cell id first), to the lightest
     of 2 or 3 parts; the first part is the validation set. ``holds`` names the cells to hold out,
-    by default all; the deal of a fold needs the list of all cells, one short entry each.
+    by default all. Every fold is dealt in a task of its own, from the state that the deal of all
+    cells had before the held-out one, which the fold shares with it. The driver reads the list of
+    cells, a name and a number each, as it does to name the folds.
     """
-    sizes = cell_sizes(samples)
-    everyone = Window.partitionBy()  # one row per cell
-    listed = sizes.select(
-        F.col("cell_id").alias("hold"), F.col("n").alias("_own"),
-        F.collect_list(F.struct("n", "cell_id")).over(everyone).alias("_all"))
+    sizes = settled(cell_sizes(samples))
+    cells = sorted(((r["n"], r["cell_id"]) for r in sizes.where("cell_id is not null").collect()),
+                   reverse=True)
+    parts = min(3, max(2, len(cells) - 1))
+    loads, states, first = [0] * parts, [], []
+    for n, _ in cells:
+        states.append(tuple(loads))
+        first.append(loads.index(min(loads)))
+        loads[first[-1]] += n
+    place = {c: i for i, (_, c) in enumerate(cells)}
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for hold in pdf["cell_id"]:
+                at = place[hold]
+                own, load = first[:at], list(states[at])
+                for n, _ in cells[at + 1:]:
+                    own.append(load.index(min(load)))
+                    load[own[-1]] += n
+                rest = cells[:at] + cells[at + 1:]
+                yield pd.DataFrame({
+                    "hold": hold, "cell_id": [c for _, c in rest] + [hold],
+                    "n": [n for n, _ in rest] + [cells[at][0]],
+                    "fold": pd.array(own + [None], "Int32"),
+                    "role": ["val" if f == 0 else "train" for f in own] + ["test"]})
+
+    chosen = sizes.select("cell_id").where("cell_id is not null")
     if holds is not None:
-        listed = listed.where(F.col("hold").isin(list(holds)))
-    others = F.reverse(F.array_sort(F.filter("_all", lambda x: x["cell_id"] != F.col("hold"))))
-    start = F.struct(
-        F.array_repeat(F.lit(0).cast("long"), F.least(F.lit(3), F.greatest(
-            F.lit(2), F.size("_others")))).alias("load"),
-        F.array().cast("array<struct<n:bigint,cell_id:string,fold:int>>").alias("dealt"))
-
-    def deal(state, x):
-        part = F.array_position(state["load"], F.array_min(state["load"])).cast("int")
-        load = F.transform(state["load"], lambda v, i: F.when(i == part - 1, v + x["n"])
-                           .otherwise(v))
-        card = F.struct(x["n"].alias("n"), x["cell_id"].alias("cell_id"),
-                        (part - 1).alias("fold"))
-        return F.struct(load.alias("load"), F.concat(state["dealt"], F.array(card)).alias("dealt"))
-
-    dealt = listed.withColumn("_others", others).select(
-        "hold", "_own", F.aggregate("_others", start, deal)["dealt"].alias("_d"))
-    train = dealt.select("hold", F.explode("_d").alias("x")).select(
-        "hold", "x.cell_id", "x.n", "x.fold",
-        F.when(F.col("x.fold") == 0, "val").otherwise("train").alias("role"))
-    test = dealt.select("hold", F.col("hold").alias("cell_id"), F.col("_own").alias("n"),
-                        F.lit(None).cast("int").alias("fold"), F.lit("test").alias("role"))
-    return train.unionByName(test)
+        chosen = chosen.where(F.col("cell_id").isin(list(holds)))
+    tasks = max(1, len(cells) * len(cells) // ROLES_PER_TASK)
+    return chosen.repartition(tasks, "cell_id").mapInPandas(
+        deal, "hold string, cell_id string, n long, fold int, role string")
 
 
 def long_features(samples: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -126,10 +134,10 @@ def corr_guard(fold_stats: DataFrame, limit: float = fixed.CORR_LIMIT, min_rows:
 
 def fold_medians(samples: DataFrame, features: Sequence[str], label: str, roles: DataFrame
                  ) -> DataFrame:
-    """Exact training median per (hold, feature)."""
+    """Exact training median per (hold, feature), from counts per cell: no sample meets a fold."""
     train = roles.where(F.col("role") == "train").select("hold", "cell_id")
-    rows = long_features(samples, features, label).drop("y").join(train, "cell_id")
-    return group_quantiles(rows, ["hold", "feature"], "x", {"median": 0.5}).drop("n")
+    return subset_quantiles(long_features(samples, features, label), ["feature"], "cell_id", "x",
+                            train, "hold").withColumnRenamed("quantile", "median")
 
 
 def fold_scaling(fold_stats: DataFrame, medians: DataFrame) -> DataFrame:
