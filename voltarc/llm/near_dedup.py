@@ -1,15 +1,25 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Documents are sets of word shingles. Documents with equal sets are one node. MinHash signatures are
-cut into bands; nodes with an equal band are candidates. A candidate pair's signatures are compared
-batch by batch: after m of n equal values, the posterior probability that the similarity reaches
-the threshold is a binomial tail (uniform prior), and the pair is dropped as soon as it falls below
-``MISS``. Survivors are compared on their full shingle sets.
-
-A bucket of k nodes holds k^2 pairs, of which k - 1 may be enough. So each of a few rounds compares
-every node of a bucket with one node of it, found by a grouped minimum, and merges what is linked;
-then only pairs of nodes whose groups are still different are compared, all of them. Large buckets
-are cut into blocks there, so that no task holds a bucket. Nothing is capped or skipped.
+Documents are sets of word shingles. Documents with equal sets are one node. MinHash values are cut
+into bands; nodes with an equal band are candidates. Candidates get a longer signature of ``VALUES``
+further one-byte values, and a pair's signatures are compared batch by batch: after m of n equal
+values, the posterior probability that the similarity reaches the threshold is a binomial tail
+(uniform prior), and the pair is dropped as soon as it falls below ``MISS``. Survivors are compared on
+their full shingle sets.
+
+A bucket of k nodes holds k^2 pairs, of which k - 1 may be enough. So the work goes in turns, and
+nodes that are linked by then are one group:
+
+1. every node of a bucket is compared with one node of it, found by a grouped minimum;
+2. buckets that still hold several groups are compared, and of the survivors those are sent on that
+   would join groups, the likeliest first: fewer than the bucket has nodes;
+3. the survivors between groups that are still different are sent on, all of them.
+
+A bucket of more than ``BUCKET`` nodes is cut by further pieces of the long signature, ``PIECES``
+times, so that its nodes meet those that are more alike; its rows follow its nodes, not their pairs.
+A pair at the threshold shares about half of the bands and meets again in one of the pieces of such
+a bucket with 0.92, so all its buckets miss it with a probability of 3e-9. What is large after
+``CUTS`` cuts is compared in blocks. Nothing is capped or skipped.
 """
 
 from __future__ import annotations
@@ -24,21 +34,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import settle, shielded
+from voltarc.llm.common import discard, settle, shielded
 from voltarc.llm.graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 30, 4  # a pair at 0.85 shares no band with a probability of 2e-10, at 0.8 of 1e-7
-HASHES = BANDS * ROWS
-BATCH = 24
-MISS = 1e-8
-STAR_ROUNDS = 2
+VALUES = 512  # one-byte values of a candidate's long signature
+BATCH = 64
+MISS = 1e-6
+BUCKET = 1024  # nodes of a bucket that are compared as they are
 BLOCK = 1024  # nodes of a bucket that one side of a comparison task holds
+PIECES, PIECE = 8, 8  # pieces of the long signature that cut a large bucket, and their bytes
+CUTS = 4
 RESULTS = ["n_shingles", "component_id", "kept"]
 
 _rng = np.random.default_rng(20240229)
-_MULTIPLY = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
+_MULTIPLY, _ADD = (_rng.integers(0, 2**32, BANDS * ROWS + VALUES, dtype=np.uint32)
+                   for _ in range(2))
+_MULTIPLY |= np.uint32(1)
 _PLACE = _rng.integers(0, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -63,15 +76,30 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return total[np.r_[True, total[1:] != total[:-1]]]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, part: slice) -> np.ndarray:
+    """Least value of each hash function of ``part`` over the set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, np.uint32(2**32 - 1), np.uint32)
-    for at in range(0, len(x), 2048):
-        part = x[at:at + 2048]
-        np.minimum(out, (_MULTIPLY[:, None] * part + _ADD[:, None]).min(axis=1), out=out)
+    multiply, add = _MULTIPLY[part, None], _ADD[part, None]
+    out = np.full(len(multiply), 2**32 - 1, np.uint32)
+    for at in range(0, len(x), 512):
+        np.minimum(out, (multiply * x[at:at + 512] + add).min(axis=1), out=out)
     return out
 
 
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """A number per band."""
+    low = minima(shingles, slice(0, BANDS * ROWS)).astype(np.uint64).reshape(BANDS, ROWS)
+    with np.errstate(over="ignore"):
+        return _mix((low * _PLACE[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)
+                    * _PLACE[ROWS])
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The low bytes of VALUES minima, none of them in a band."""
+    low = minima(shingles, slice(BANDS * ROWS, None))
+    return (_mix(low.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+
+
 def _key(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "utf-8")))
 
@@ -81,47 +109,57 @@ def _sign(texts: pd.Series) -> pd.DataFrame:
     for t in texts:
         s = shingle_set(t)
         rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
-                     signature(s).tobytes()) if len(s) else (0, None, None))
-    return pd.DataFrame(rows, columns=["n", "node", "sig"])
+                     bands_of(s).view(np.int64)) if len(s) else (0, None, None))
+    return pd.DataFrame(rows, columns=["n", "node", "bands"])
+
+
+def _candidate(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in texts]
+    return pd.DataFrame({"x": [s.view(np.int64) for s in sets],
+                         "sig": [signature(s).tobytes() for s in sets]})
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     """Per batch, the fewest equal values with which a pair stays: with m of n equal and a uniform
-    prior, P(similarity >= t) = P(Binomial(n + 1, t) <= m)."""
-    out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    prior, P(similarity >= t) = P(Binomial(n + 1, t) <= m). Bytes are equal by chance too."""
+    t, out = threshold + (1 - threshold) / 256, []
+    for n in range(BATCH, VALUES + 1, BATCH):
         tail, m = 0.0, -1
         while tail < miss:
             m += 1
-            tail += comb(n + 1, m) * threshold**m * (1 - threshold)**(n + 1 - m)
+            tail += comb(n + 1, m) * t**m * (1 - t)**(n + 1 - m)
         out.append(m)
     return out
 
 
-def _stay(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
-    """Which rows of two signature arrays survive; later batches look at survivors only."""
+def _stay(a: np.ndarray, b: np.ndarray, least: list[int], sig: np.ndarray
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (a, b) of rows of ``sig`` survive, and their equal values; later batches look at
+    survivors only."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
     for k, need in enumerate(least):
+        if not len(alive):
+            break
         cut = slice(k * BATCH, (k + 1) * BATCH)
-        matches = matches + (a[alive, cut] == b[alive, cut]).sum(axis=1)
+        matches = matches + (sig[a[alive], cut] == sig[b[alive], cut]).sum(axis=1)
         good = matches >= need
         alive, matches = alive[good], matches[good]
-    return alive
+    return alive, matches
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, VALUES)
 
 
-def _pruned(pairs: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame:
+def _pruned(pairs: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
     """Pairs (a, b) that the sequential test keeps."""
     def stay(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), bool)
-        out[_stay(_matrix(x), _matrix(y), least)] = True
+        out, n = np.zeros(len(x), bool), len(x)
+        both = _matrix(pd.concat([x, y]))
+        out[_stay(np.arange(n), np.arange(n, 2 * n), least, both)[0]] = True
         return pd.Series(out)
 
-    sig = nodes.select("node", "sig")
-    return (pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+    return (pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
             .where(F.pandas_udf(stay, "boolean")("sa", "sb")).select("a", "b"))
 
 
@@ -130,7 +168,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return (pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
             .withColumn("both", both)
             .where(den * F.col("both") >= num * (F.size("xa") + F.size("xb") - F.col("both")))
-            .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+            .select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -152,23 +190,64 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield rest
 
 
-def _across(members: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame:
-    """Surviving pairs of different groups in a bucket. members: band, node, comp.
+def _cut(members: DataFrame, sigs: DataFrame) -> list[DataFrame]:
+    """Buckets of several groups as written tables band, node, comp, i, j, own. i and j number the
+    blocks of a bucket that are compared; own is a node's block."""
+    parts = []
+    for turn in range(CUTS + 1):
+        sizes = settle(members.groupBy("band").agg(
+            F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where("lo <> hi").select("band", "k"), "bucket-sizes")
+        large = sizes.where((F.col("k") > BUCKET) & F.lit(turn < CUTS)).select("band")
+        blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+        fit = sizes.where((F.col("k") <= BUCKET) | F.lit(turn == CUTS)).select(
+            "band", blocks.alias("blocks"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        parts.append(settle(
+            members.join(fit, "band").withColumn("own", own)
+            .select("band", "node", "comp", "own",
+                    F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("band", "node", "comp", "own", F.least("own", "other").alias("i"),
+                    F.greatest("own", "other").alias("j")), "bucket-blocks"))
+        if large.isEmpty():
+            discard(sizes)
+            return parts
+        piece = F.pmod(F.col("band") + F.lit(turn * PIECES) + F.col("p"), F.lit(VALUES // PIECE))
+        members = settle(
+            members.join(large, "band").join(sigs, "node")
+            .select("band", "node", "comp", "sig", F.explode(F.sequence(
+                F.lit(0), F.lit(PIECES - 1))).alias("p"))
+            .select(F.xxhash64("band", "p", F.substr("sig", (piece * PIECE + 1).cast("int"),
+                                                     F.lit(PIECE))).alias("band"),
+                    "node", "comp"), "bucket-pieces")
+        discard(sizes)
+    return parts
+
+
+def _joining(a: np.ndarray, b: np.ndarray, comp: np.ndarray, matches: np.ndarray) -> list[int]:
+    """Of the pairs those that join groups not yet joined by likelier ones."""
+    head: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while head.setdefault(x, x) != x:
+            head[x] = x = head[head[x]]
+        return x
 
-    The one pair of a bucket of two was compared in the first round. Blocks of buckets are sorted
-    runs in a partition; a partition's runs are compared together, row r with row r + 1, r + 2 ...
-    of its run, so that small buckets cost no call of their own.
+    out = []
+    for k in np.argsort(-matches, kind="stable").tolist():
+        x, y = find(int(comp[a[k]])), find(int(comp[b[k]]))
+        if x != y:
+            head[x] = y
+            out.append(k)
+    return out
+
+
+def _across(cut: list[DataFrame], sigs: DataFrame, least: list[int], every: bool) -> DataFrame:
+    """Surviving pairs of different groups in a bucket: those that join groups, or every one.
+
+    Blocks of buckets are sorted runs in a partition; a partition's runs are compared together, row r
+    with row r + 1, r + 2 ... of its run, so that small buckets cost no call of their own.
     """
-    mixed = (members.groupBy("band").agg(F.count("*").alias("k"), F.min("comp").alias("lo"),
-                                         F.max("comp").alias("hi")).where("lo <> hi and k > 2")
-             .select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (members.join(mixed, "band").withColumn("own", own)
-             .select("band", "node", "comp", "own",
-                     F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-             .select("band", "node", "comp", "own", F.least("own", "other").alias("i"),
-                     F.greatest("own", "other").alias("j"))
-             .join(nodes.select("node", "sig"), "node"))
     run = ["band", "i", "j"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,11 +255,13 @@ def _across(members: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame
             n = len(pdf)
             keys = pdf[run].to_numpy()
             first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            end = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n]))
+            size = np.diff(np.r_[first, n])
+            bucket = np.repeat(np.arange(len(first)), size)
+            end = np.repeat(np.r_[first[1:], n], size)
             sig, node = _matrix(pdf["sig"]), pdf["node"].to_numpy()
             comp, own = pd.factorize(pdf["comp"])[0], pdf["own"].to_numpy()
             alone = keys[:, 1] == keys[:, 2]  # a block with itself
-            left, step = np.arange(n), 0
+            left, step, found = np.arange(n), 0, []
             while True:
                 step += 1
                 left = left[left + step < end[left]]
@@ -188,13 +269,29 @@ def _across(members: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame
                     break
                 a = left[(comp[left] != comp[left + step])
                          & (alone[left] | (own[left] != own[left + step]))]
-                a = a[_stay(sig[a], sig[a + step], least)]
-                if len(a):
-                    yield pd.DataFrame({"a": node[a], "b": node[a + step]})
-
-    return (dealt.repartition(*run).sortWithinPartitions(*run)
-            .mapInPandas(compare, "a binary, b binary")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+                at, matches = _stay(a, a + step, least, sig)
+                if len(at):
+                    found.append((a[at], a[at] + step, matches))
+            if not found:
+                continue
+            a, b, matches = (np.concatenate(x) for x in zip(*found))
+            if not every:  # per bucket, so that a pair's fate does not hang on the batch
+                order = np.argsort(bucket[a], kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[a[order]])) + 1
+                keep = [p[k] for p in np.split(order, cuts)
+                        for k in _joining(a[p], b[p], comp, matches[p])]
+                a, b = a[keep], b[keep]
+            pairs = pd.DataFrame({"a": node[a], "b": node[b]})
+            swap = pairs["a"] > pairs["b"]
+            pairs.loc[swap, ["a", "b"]] = pairs.loc[swap, ["b", "a"]].to_numpy()
+            yield pairs.drop_duplicates()
+
+    out = None
+    for part in cut:
+        rows = part.join(sigs, "node").repartition(*run).sortWithinPartitions(*run)
+        pairs = rows.mapInPandas(compare, "a binary, b binary")
+        out = pairs if out is None else out.union(pairs)
+    return out.distinct()
 
 
 def _with_groups(members: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -228,65 +325,63 @@ def _judged(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> Data
     named = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{doc_id}`").alias("_id"),
                         F.col(f"`{text}`").alias("_text"))
     ids = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    signed = F.pandas_udf(_sign, "n long, node binary, sig binary")
+    signed = F.pandas_udf(_sign, "n long, node binary, bands array<long>")
     signs = settle(named.select(*[F.col(f"`{c}`") for c in rest], "_id", key.alias("_key"),
                                 signed("_text").alias("_s"))
                    .select(*[F.col(f"`{c}`") for c in rest], "_id", "_key", "_s.*"), "signatures")
     nodes = settle(signs.where("node is not null").groupBy("node")
                    .agg(F.min("_id").alias("least_id"), F.min(F.struct("_key", "_id")).alias("at"),
-                        F.first("sig").alias("sig")), "nodes")
+                        F.first("bands").alias("bands")), "nodes")
 
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS * 4 + 1, ROWS * 4))
-                      for i in range(BANDS)])
-    spread = nodes.select("node", F.explode(bands).alias("band"))
+    spread = nodes.select("node", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
     members = settle(spread.join(shared, "band"), "band-members")
     needed = settle(members.select("node").distinct().join(nodes, "node").select("node", "at.*"),
                     "candidates")
-
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
-
     picked = ids.withColumn("_key", key).join(
         needed.toDF("node", "k", "i"), (F.col("_key") == F.col("k")) & F.col("_id").eqNullSafe(
-            F.col("i")))
-    sets = settle(picked.select("node", F.pandas_udf(shingles, "array<bigint>")("_text").alias("x")),
+            F.col("i"))).dropDuplicates(["node"])
+    made = F.pandas_udf(_candidate, "x array<bigint>, sig binary")
+    held = settle(picked.select("node", made("_text").alias("c")).select("node", "c.*"),
                   "candidate-sets")
+    sets, sigs = held.select("node", "x"), held.select("node", "sig")
 
     least = least_matches(num / den)
-    groups, links = None, None
-    for turn in range(STAR_ROUNDS + 1):
+    groups, cut = None, None
+    for turn in ("star", "join", "every"):
         placed = _with_groups(members, groups)
-        if turn < STAR_ROUNDS:
-            centre = placed.groupBy("band").agg(
-                F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("c"),
-                F.count("*").alias("k"))
-            if turn:  # the pair of a bucket of two has been compared
-                centre = centre.where("k > 2")
-            centre = centre.select("band", "c")
-            pairs = (placed.join(centre, "band").where("comp <> c.comp")
-                     .select(F.least("node", "c.node").alias("a"),
-                             F.greatest("node", "c.node").alias("b")).distinct())
-            pairs = _pruned(pairs, nodes, least)
-        else:
-            pairs = _across(placed, nodes, least)
-        new = settle(_verified(pairs, sets, num, den), f"links-{turn}")
-        if turn and new.isEmpty():
+        if turn == "star":
+            centre = placed.groupBy("band").agg(F.min("node").alias("c"))
+            pairs = _pruned(placed.join(centre, "band").where("node <> c").select(
+                F.col("c").alias("a"), F.col("node").alias("b")).distinct(), sigs, least)
+        else:  # a bucket of two was compared in the first turn, but for one cut from a larger one
+            if cut:
+                discard(*cut)
+            sizes = members.groupBy("band").agg(F.count("*").alias("k")).where("k > 2")
+            cut = _cut(placed.join(sizes.select("band"), "band"), sigs)
+            pairs = _across(cut, sigs, least, turn == "every")
+        new = settle(_verified(settle(pairs, "pairs"), sets, num, den), f"links-{turn}")
+        if new.isEmpty() and groups is not None:
             continue
-        links = new if links is None else new.union(
+        links = new if groups is None else new.union(
             groups.select(F.col("node").alias("u"), F.col("comp").alias("v")))
-        groups = settle(components(links), f"groups-{turn}")
+        old, groups = groups, settle(components(links), f"groups-{turn}")
+        if old is not None:
+            discard(old)
 
     named_groups = nodes.join(groups, "node", "left").select(
         "node", "least_id", F.coalesce("comp", "node").alias("comp"))
     smallest = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_node = named_groups.join(smallest, "comp").select("node", "component_id",
                                                          F.col("comp").alias("_group"))
-    return (signs.drop("sig").join(by_node, "node", "left")
-            .withColumn("component_id", F.when(F.col("node").isNull(), F.col("_id"))
-                        .otherwise(F.col("component_id")))
-            .select(*[F.col(f"`{c}`") for c in rest], "_id", "_key", "_group",
-                    F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    done = settle(signs.drop("bands").join(by_node, "node", "left")
+                  .withColumn("component_id", F.when(F.col("node").isNull(), F.col("_id"))
+                              .otherwise(F.col("component_id")))
+                  .select(*[F.col(f"`{c}`") for c in rest], "_id", "_key", "_group",
+                          F.col("n").alias("n_shingles"), "component_id",
+                          F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")), "judged")
+    discard(signs, nodes, members, needed, held, groups, *cut)
+    return done
 
 
 @shielded
