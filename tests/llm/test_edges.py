@@ -341,3 +341,21 @@ def test_one_of_each_without_good_ids(spark):
         assert len(left) == 4 and {(None, other), (None, None), (2, "")} <= set(left)
         kept = next(r for r in left if r[1] in copies)
         assert kept[0] == min((i for i in ids if i is not None), default=None)
+
+
+def test_repeats_over_batches():
+    """Counting in the order of hashes, whatever the batches, with a bounded wait."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    h = np.sort(np.concatenate([rng.integers(0, 40, 60), np.full(50, 17), np.full(30, 99)]))
+    rows = pd.DataFrame({"h": h, "place": np.arange(len(h))})
+    times = Counter(h.tolist())
+    for hot in (2, 5, 1000):
+        for size in (1, 3, 7, 500):
+            parts = [rows.iloc[i:i + size].reset_index(drop=True) for i in range(0, len(h), size)]
+            got = pd.concat(list(suffix_dedup._repeats(hot)(iter(parts))))
+            want = {(i, int(x), min(times[x], hot)) for i, x in enumerate(h) if times[x] > 1}
+            assert len(got) == len(want)
+            assert set(zip(got["place"], got["h"], got["n"])) == want
+    assert list(suffix_dedup._repeats(5)(iter([]))) == []

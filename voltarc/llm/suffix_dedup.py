@@ -18,7 +18,9 @@ hash among its ``GRAM``-byte pieces. Equal windows have equal anchors at equal o
 
 Hot anchors (a line or passage that a large part of the corpus shares) are split by offset and by
 the window's own bytes: equal windows were already reduced to one per run, different ones go to
-different partitions. Text is shuffled by document twice, to fetch suffixes and to cut spans.
+different partitions. Anchors are shuffled once, by their hash, and counted as they come in its
+order. Text is shuffled by document twice, packed, to fetch suffixes and to cut spans; tables in
+between are removed when they have been read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import others, settle, shielded
+from voltarc.llm.common import discard, settle, shielded
 
 LENGTH = 100
 GRAM = 32
@@ -122,6 +124,46 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 "h": np.concatenate(hashes), "place": np.concatenate(places)})
 
 
+def _repeats(hot: int):
+    """Rows in the order of h -> those whose h occurs twice, with n, the count up to ``hot``. At most
+    ``hot`` rows of one h wait for it to be known."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, known = None, None  # rows of the last h; an h that has been found hot
+        for batch in batches:
+            if known is not None:
+                same = batch["h"].to_numpy() == known
+                if same.any():
+                    yield batch[same].assign(n=hot)
+                batch = batch[~same]
+            if batch.empty:
+                continue
+            if rest is not None:
+                batch = pd.concat([rest, batch], ignore_index=True)
+            h = batch["h"].to_numpy()
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            n = np.repeat(np.diff(np.r_[start, len(h)]), np.diff(np.r_[start, len(h)]))
+            open_ = np.arange(len(h)) >= start[-1]
+            if n[-1] >= hot:
+                known, rest = h[-1], None
+                open_[:] = False
+            else:
+                known, rest = None, batch[open_].reset_index(drop=True)
+            out = ~open_ & (n > 1)
+            if out.any():
+                yield batch[out].assign(n=np.minimum(n[out], hot))
+        if rest is not None and len(rest) > 1:
+            yield rest.assign(n=len(rest))
+    return count
+
+
+def _packed(texts: pd.Series) -> pd.Series:
+    return pd.Series([zstandard.compress(_bytes(t)) for t in texts], dtype=object)
+
+
+def _unpacked(packed: pd.Series) -> pd.Series:
+    return pd.Series([zstandard.decompress(z).decode() for z in packed], dtype=object)
+
+
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix, of which ``known`` bytes are not looked at."""
     n = min(len(a), len(b))
@@ -217,9 +259,9 @@ def _runs(hot: int, parts: int):
         for pdf in batches:
             # right, left reversed, least and greatest offset, document, its digest, place, part
             items: list[tuple[bytes, bytes, int, int, int, int, int, int]] = []
-            for d, x, t, places, counts, hashes in zip(*[pdf[c] for c in (
-                    "_doc", "_txt", "_text", "_place", "_n", "_h")]):
-                b = _bytes(t)
+            for d, x, z, places, counts, hashes in zip(*[pdf[c] for c in (
+                    "_doc", "_txt", "_z", "_place", "_n", "_h")]):
+                b = zstandard.decompress(z)
                 for place, count, h in zip(places.tolist(), counts.tolist(), hashes.tolist()):
                     at, low, high = place >> 16, (place >> 8) & 255, place & 255
                     if count < hot:
@@ -375,10 +417,10 @@ def _joined(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[new, 0], ends])
 
 
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+def _cut(packed: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = []
-    for t, held in zip(texts, spans):
-        b = _bytes(t)
+    for z, held in zip(packed, spans):
+        b = zstandard.decompress(z)
         if held is None or not len(held):
             rows.append((len(b), 0, 0, hashlib.sha256(b).hexdigest(), []))
             continue
@@ -400,16 +442,16 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: i
 
     A NULL text is empty. A NULL id comes after all others. Rows that repeat an id and its text are
     one document; rows of one id with different texts are different documents, ordered by a digest.
-    Texts shorter than LENGTH are left alone. An empty table stays empty; input columns with result
-    names are replaced.
+    Ids are integers. Texts shorter than LENGTH are left alone. An empty table stays empty; input
+    columns with result names are replaced; the text comes back from its packed form, NULL as NULL.
     """
-    keep = others(docs, [*RESULTS, "removed"])
+    keep = [c for c in docs.columns if c.lower() not in {*RESULTS, "removed", text.lower()}]
+    packed = F.pandas_udf(_packed, "binary")
     keyed = _keyed(docs, doc_id, text).withColumn("_text", F.col(f"`{text}`"))
-    texts = keyed.select("_doc", "_txt", "_text")
-    found = texts.where(F.octet_length("_text") >= LENGTH).mapInPandas(
-        _anchor_rows, "_doc long, _txt long, h long, place long")
-    times = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    marks = settle(found.join(times, "h"), "repeated-anchors")
+    texts = keyed.where(F.octet_length("_text") >= LENGTH).select("_doc", "_txt", "_text")
+    found = texts.mapInPandas(_anchor_rows, "_doc long, _txt long, h long, place long")
+    marks = settle(found.repartition("h").sortWithinPartitions("h").mapInPandas(
+        _repeats(hot), "_doc long, _txt long, h long, place long, n long"), "repeated-anchors")
     total = marks.agg(F.sum(F.when(F.col("n") < hot, 1).otherwise(
         F.col("place").bitwiseAND(255)
         - F.shiftright("place", 8).bitwiseAND(255) + 1))).first()[0] or 0
@@ -417,19 +459,29 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: i
     # A document's marks are bounded by its own length.
     by_doc = marks.groupBy("_doc", "_txt").agg(
         F.collect_set(F.struct("place", "n", "h")).alias("_marks"))
-    wire = settle(texts.join(by_doc, ["_doc", "_txt"])
-                  .select("_doc", "_txt", "_text", F.col("_marks.place").alias("_place"),
+    wire = settle(texts.select("_doc", "_txt", packed("_text").alias("_z"))
+                  .join(by_doc, ["_doc", "_txt"])
+                  .select("_doc", "_txt", "_z", F.col("_marks.place").alias("_place"),
                           F.col("_marks.n").alias("_n"), F.col("_marks.h").alias("_h"))
                   .mapInPandas(_runs(hot, parts), _WIRE), "suffix-runs")
+    discard(marks)
     merged = (wire.where("part is not null").select("part", "run", F.lit(parts).alias("parts"))
               .groupBy("part").applyInPandas(_equal_windows, "bucket long, run binary")
               .groupBy("bucket").applyInPandas(_spans, "_doc long, _txt long, spans binary"))
-    spans = (merged.union(wire.where("part is null").select("_doc", "_txt", "spans"))
-             .groupBy("_doc", "_txt").agg(F.collect_list("spans").alias("_spans")))
+    spans = settle(merged.union(wire.where("part is null").select("_doc", "_txt", "spans"))
+                   .groupBy("_doc", "_txt").agg(F.collect_list("spans").alias("_spans")),
+                   "repeated-spans")
+    discard(wire)
     cut = F.pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                              "removed array<array<bigint>>")
-    names = [c for c in docs.columns if c.lower() not in {*RESULTS, "removed"}]
-    return (keyed.join(spans, ["_doc", "_txt"], "left")
-            .select(*keep, cut("_text", "_spans").alias("_cut"))
-            .select(*[F.col(f"`{c}`") for c in names],
-                    *[F.col(f"_cut.{r}").alias(r) for r in [*RESULTS, "removed"]]))
+    unpacked = F.pandas_udf(_unpacked, "string")
+    out = (keyed.select(*[F.col(f"`{c}`") for c in keep], "_doc", "_txt",
+                        packed("_text").alias("_z"), F.col("_text").isNull().alias("_none"))
+           .join(spans, ["_doc", "_txt"], "left"))
+    # the text column is made only where it is selected
+    return out.select(*[F.when(~F.col("_none"), unpacked("_z")).alias(c)
+                        if c.lower() == text.lower() else F.col(f"`{c}`")
+                        for c in docs.columns if c.lower() not in {*RESULTS, "removed"}],
+                      cut("_z", "_spans").alias("_cut")).select(
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*RESULTS, "removed"}],
+        *[F.col(f"_cut.{r}").alias(r) for r in [*RESULTS, "removed"]])
