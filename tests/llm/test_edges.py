@@ -359,3 +359,48 @@ def test_repeats_over_batches():
             assert len(got) == len(want)
             assert set(zip(got["place"], got["h"], got["n"])) == want
     assert list(suffix_dedup._repeats(5)(iter([]))) == []
+
+
+def test_texts_without_letters(spark):
+    """Digits, fractions, superscripts and Roman numerals are no letters."""
+    model = language_id.fit(spark.createDataFrame(
+        [("the quick brown fox", "en"), ("de snelle bruine vos", "nl")], "text string, lang string"))
+    for t in ("½", "²²", "Ⅷ", "12 _ 3", "", None, "٣"):
+        assert model.predict(t)[0] == "und"
+    assert model.predict("²fox")[0] in ("en", "nl")
+
+
+def test_language_sums_in_levels(spark, monkeypatch):
+    """The model does not depend on the number of tasks or levels."""
+    rows = [(f"word{i % 7} text {i}", "en" if i % 3 else "nl") for i in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    one = language_id.fit(docs.coalesce(1))
+    monkeypatch.setattr(language_id, "FAN_IN", 2)
+    many = language_id.fit(docs.repartition(9))
+    assert one.languages == many.languages
+    for t in ("word1 text", "word5 9 text", "nl"):
+        assert one.predict(t) == many.predict(t)
+
+
+def test_components(spark):
+    """Long paths, stars, cycles, repeated and reversed edges, text nodes."""
+    from voltarc.llm import graph
+
+    rng = np.random.default_rng(1)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)]
+    edges += [(700, 701), (701, 702), (702, 700), (701, 700), (900, 900)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(2000, 2040, (30, 2))]
+    rng.shuffle(edges)
+    best = {}
+    for a, b in edges:
+        if a != b:
+            best.setdefault(a, a), best.setdefault(b, b)
+    for _ in best:
+        for a, b in edges:
+            if a != b:
+                best[a] = best[b] = min(best[a], best[b])
+    text = [(f"n{a:05d}", f"n{b:05d}") for a, b in edges]
+    df = spark.createDataFrame(text, "u string, v string").repartition(5)
+    got = {r.node: r.comp for r in graph.components(df).collect()}
+    assert got == {f"n{a:05d}": f"n{b:05d}" for a, b in best.items()}
+    assert graph.components(df.limit(0)).count() == 0

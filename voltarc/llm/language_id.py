@@ -32,7 +32,6 @@ AMBIGUOUS_BELOW = 0.8  # score under which a prediction is flagged
 UNKNOWN = "und"
 RESULTS = ["lang_pred", "score", "ambiguous"]
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -78,7 +77,7 @@ class Codes:
     weights: np.ndarray  # buckets x bits
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
         c = counts(text).astype(np.float32)
         margins = SHARPNESS * (c @ self.weights) / max(1.0, float(c.sum()))
@@ -105,6 +104,9 @@ def from_counts(table: dict[str, np.ndarray]) -> Codes:
     return Codes(languages, code, weights)
 
 
+FAN_IN = 64  # sums of one language that a task adds up
+
+
 def _rows(langs: list[str], sums: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame({"_lang": pd.Series(langs, dtype=object),
                          "c": pd.Series(sums, dtype=object)})
@@ -125,15 +127,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Codes:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(c, np.int64) for c in pdf["c"]], axis=0)
-        return _rows([pdf["_lang"].iat[0]], [total.tobytes()])
+        return _rows([pdf["_lang"].iat[0]], [total.tobytes()]).assign(_at=pdf["_at"].iat[0])
 
     rows = (docs.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"))
             .where("_text is not null and _lang is not null"))
-    schema = "_lang string, c binary"
-    salt = F.spark_partition_id() % 32  # first sums of a few tasks' rows, then of those
-    part = (rows.mapInPandas(gather, schema).withColumn("_salt", salt)
-            .groupBy("_lang", "_salt").applyInPandas(add, schema)
-            .groupBy("_lang").applyInPandas(add, schema))
+    part = rows.mapInPandas(gather, "_lang string, c binary").withColumn(
+        "_at", F.spark_partition_id())
+    tasks = rows.rdd.getNumPartitions()
+    while True:  # levels of sums, as many as the number of tasks asks for
+        part = (part.withColumn("_at", F.floor(F.col("_at") / FAN_IN).cast("int"))
+                .groupBy("_lang", "_at").applyInPandas(add, "_lang string, c binary, _at int"))
+        tasks = -(-tasks // FAN_IN)
+        if tasks <= 1:
+            break
     return from_counts({r["_lang"]: np.frombuffer(bytes(r["c"]), np.int64)
                         for r in part.collect()})  # a row per language
 

@@ -33,7 +33,8 @@ LEAST_REVISIT = 100  # bytes of payload from which copies become revisits
 FILE_BYTES = 256 << 20  # an archive file ends with the record that reaches this size
 READ_BYTES = 8 << 20  # one read fetches at most this much, or one record
 GAP_BYTES = 64 << 10  # unwanted bytes between two records that one read may fetch
-CHUNK_BYTES = 64 << 20  # span of a file that one reading task handles
+CHUNK_BYTES = 4 << 20  # span of a file that one task reads in order
+TASK_BYTES = 1 << 30  # bytes that a reading task handles, at most about
 
 # ---- fixed values: names of the format ----
 VERSION = b"WARC/1.1"
@@ -245,11 +246,15 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True, chunk: i
 
     payload_bytes and payload_digest are those of the full payload; payload is NULL for a revisit.
     A record that does not match its header raises. Only the index is shuffled: a task gets the rows
-    of a ``chunk`` of a file in the order of their offsets.
+    of some chunks of ``chunk`` bytes of a file in the order of their offsets. The index is small
+    against what it names, so the number of tasks follows the bytes to read.
     """
+    size = index.agg(F.sum("length")).first()[0] or 0
+    usual = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(usual, -(-size // chunk)), -(-size // TASK_BYTES))
     return (index.select("file", "offset", "length", "url")
             .withColumn("chunk", F.floor(F.col("offset") / chunk))
-            .repartition("file", "chunk").sortWithinPartitions("file", "offset")
+            .repartition(tasks, "file", "chunk").sortWithinPartitions("file", "offset")
             .drop("chunk").mapInPandas(_reader(folder, payloads),
                                        RECORD if payloads else RECORD.removesuffix(PAYLOAD)))
 
