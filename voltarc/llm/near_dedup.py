@@ -18,7 +18,7 @@ nodes that are linked by then are one group:
 A bucket of more than ``BUCKET`` nodes is cut by further pieces of the long signature, ``PIECES``
 times, so that its nodes meet those that are more alike; its rows follow its nodes, not their pairs.
 A pair at the threshold shares about half of the bands and meets again in one of the pieces of such
-a bucket with 0.92, so all its buckets miss it with a probability of 3e-9. What is large after
+a bucket with 0.85, so all its buckets miss it with a probability of 3e-8. What is large after
 ``CUTS`` cuts is compared in blocks. Nothing is capped or skipped.
 """
 
@@ -44,7 +44,7 @@ BATCH = 64
 MISS = 1e-6
 BUCKET = 1024  # nodes of a bucket that are compared as they are
 BLOCK = 1024  # nodes of a bucket that one side of a comparison task holds
-PIECES, PIECE = 8, 8  # pieces of the long signature that cut a large bucket, and their bytes
+PIECES, PIECE = 4, 6  # pieces of the long signature that cut a large bucket, and their bytes
 CUTS = 4
 RESULTS = ["n_shingles", "component_id", "kept"]
 
@@ -198,17 +198,23 @@ def _cut(members: DataFrame, sigs: DataFrame) -> list[DataFrame]:
         sizes = settle(members.groupBy("band").agg(
             F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .where("lo <> hi").select("band", "k"), "bucket-sizes")
-        large = sizes.where((F.col("k") > BUCKET) & F.lit(turn < CUTS)).select("band")
-        blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-        fit = sizes.where((F.col("k") <= BUCKET) | F.lit(turn == CUTS)).select(
-            "band", blocks.alias("blocks"))
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        if turn == CUTS:  # what is still large in blocks
+            blocks = sizes.select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+            own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+            parts.append(settle(
+                members.join(blocks, "band").withColumn("own", own)
+                .select("band", "node", "comp", "own",
+                        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+                .select("band", "node", "comp", "own", F.least("own", "other").alias("i"),
+                        F.greatest("own", "other").alias("j")), "bucket-blocks"))
+            discard(sizes)
+            return parts
+        large = sizes.where(F.col("k") > BUCKET).select("band")
+        zero = F.lit(0)
         parts.append(settle(
-            members.join(fit, "band").withColumn("own", own)
-            .select("band", "node", "comp", "own",
-                    F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            .select("band", "node", "comp", "own", F.least("own", "other").alias("i"),
-                    F.greatest("own", "other").alias("j")), "bucket-blocks"))
+            members.join(sizes.where(F.col("k") <= BUCKET).select("band"), "band")
+            .select("band", "node", "comp", zero.alias("own"), zero.alias("i"), zero.alias("j")),
+            "bucket-whole"))
         if large.isEmpty():
             discard(sizes)
             return parts
@@ -224,6 +230,16 @@ def _cut(members: DataFrame, sigs: DataFrame) -> list[DataFrame]:
     return parts
 
 
+def _met_before(a: np.ndarray, b: np.ndarray, band: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which pairs share a bucket with a smaller number than ``band``; that one sends them on."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 4096):
+        x, y = tags[a[at:at + 4096]], tags[b[at:at + 4096]]
+        lower = (x != 0) & (x < band[at:at + 4096, None])
+        out[at:at + 4096] = ((x[:, :, None] == y[:, None, :]) & lower[:, :, None]).any(axis=(1, 2))
+    return out
+
+
 def _joining(a: np.ndarray, b: np.ndarray, comp: np.ndarray, matches: np.ndarray) -> list[int]:
     """Of the pairs those that join groups not yet joined by likelier ones."""
     head: dict[int, int] = {}
@@ -246,7 +262,8 @@ def _across(cut: list[DataFrame], sigs: DataFrame, least: list[int], every: bool
     """Surviving pairs of different groups in a bucket: those that join groups, or every one.
 
     Blocks of buckets are sorted runs in a partition; a partition's runs are compared together, row r
-    with row r + 1, r + 2 ... of its run, so that small buckets cost no call of their own.
+    with row r + 1, r + 2 ... of its run, so that small buckets cost no call of their own. A pair that
+    meets in several uncut buckets is sent on by the first of them; each row carries their numbers.
     """
     run = ["band", "i", "j"]
 
@@ -261,6 +278,10 @@ def _across(cut: list[DataFrame], sigs: DataFrame, least: list[int], every: bool
             sig, node = _matrix(pdf["sig"]), pdf["node"].to_numpy()
             comp, own = pd.factorize(pdf["comp"])[0], pdf["own"].to_numpy()
             alone = keys[:, 1] == keys[:, 2]  # a block with itself
+            tags = np.zeros((n, BANDS), np.int64)
+            for r, t in enumerate(pdf["tags"]):
+                if t is not None:
+                    tags[r, :len(t)] = t
             left, step, found = np.arange(n), 0, []
             while True:
                 step += 1
@@ -270,6 +291,9 @@ def _across(cut: list[DataFrame], sigs: DataFrame, least: list[int], every: bool
                 a = left[(comp[left] != comp[left + step])
                          & (alone[left] | (own[left] != own[left + step]))]
                 at, matches = _stay(a, a + step, least, sig)
+                if every:
+                    new = ~_met_before(a[at], a[at] + step, keys[a[at], 0], tags)
+                    at, matches = at[new], matches[new]
                 if len(at):
                     found.append((a[at], a[at] + step, matches))
             if not found:
@@ -359,8 +383,14 @@ def _judged(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> Data
                 discard(*cut)
             sizes = members.groupBy("band").agg(F.count("*").alias("k")).where("k > 2")
             cut = _cut(placed.join(sizes.select("band"), "band"), sigs)
-            pairs = _across(cut, sigs, least, turn == "every")
-        new = settle(_verified(settle(pairs, "pairs"), sets, num, den), f"links-{turn}")
+            listed = cut[0].groupBy("node").agg(F.sort_array(F.collect_set("band")).alias("tags"))
+            tagged = settle(sigs.join(listed, "node", "left"), "tagged-signatures")
+            pairs = _across(cut, tagged, least, turn == "every")
+        pairs = settle(pairs, "pairs")
+        if turn != "star":
+            discard(tagged)
+        new = settle(_verified(pairs, sets, num, den), f"links-{turn}")
+        discard(pairs)
         if new.isEmpty() and groups is not None:
             continue
         links = new if groups is None else new.union(
