@@ -135,19 +135,21 @@ def _posteriors(patterns: DataFrame, rules: list[str], iterations: int) -> DataF
 
 @shielded
 def judge(docs: DataFrame, text: str = "text", rules: dict[str, Column] | None = None,
-          iterations: int = ITERATIONS) -> DataFrame:
+          iterations: int = ITERATIONS, with_text: bool = True) -> DataFrame:
     """Add the measures, votes, p_good, base_failed and kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows. kept: not
     base_failed and p_good of at least ``KEEP_AT``. A NULL or empty text has no words and fails.
     Equal rows get equal results and stay repeated; ids are not read; an empty table stays empty;
     input columns with result names are replaced. Whole texts are measured: a row's arrays grow
-    with its text. The result is read from a table of measures without texts.
+    with its text. The measures are written once with the columns that the result returns, so
+    texts are written only if they are wanted: ``with_text=False`` leaves them out of both.
     """
     rules = rules or default_rules()
-    keep = others(docs, RESULTS)
-    table = settle(measures(docs.select(*keep), text)
-                   .withColumn("votes", F.array(*rules.values())), "quality-measures")
+    measured = measures(docs.select(*others(docs, RESULTS)), text).withColumn(
+        "votes", F.array(*rules.values()))
+    keep = others(docs, RESULTS if with_text else [*RESULTS, text])
+    table = settle(measured.select(*keep, *MEASURES, "votes"), "quality-measures")
     patterns = table.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     posterior = (_posteriors(patterns, list(rules), iterations)
                  .select(F.concat_ws(",", "votes").alias("_pattern"), "p_good"))
