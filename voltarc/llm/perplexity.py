@@ -28,10 +28,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltarc.functions.quantiles import group_quantiles
 from voltarc.llm.common import settle, shielded
 
 ORDER = 3
 BATCH_BYTES = 4 << 20  # of text in a batch, about
+PARTITION_BYTES = 256 << 20  # of text in a task that goes through batches, about
 PACK_BYTES = 32 << 20  # of rows that a task holds before it packs them
 PORTION = 2_000_000  # characters that are numbered at a time
 BROADCAST_IDS = 2_000_000
@@ -291,12 +293,15 @@ def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text", own: st
     serves the requests and the scoring."""
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     batches = int(size // BATCH_BYTES) + 1
+    # Batches bound a worker's memory, partitions the number of tasks: a task has many batches.
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(batches, max(least, int(size // PARTITION_BYTES) + 1))
     rest = [c for c in docs.columns if c.lower() not in {text.lower(), *RESULTS}]
     dealt = (docs.select(*[F.col(f"`{c}`") for c in rest],
                          F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
              .withColumn("_batch", F.pmod(F.xxhash64(*[f"`{c}`" for c in rest], "_text"),
                                           F.lit(batches)).cast("int")))
-    packed = dealt.mapInArrow(_packed, "_batch int, _docs binary").repartition(batches, "_batch")
+    packed = dealt.mapInArrow(_packed, "_batch int, _docs binary").repartition(parts, "_batch")
     model = Model(counts, units)
     scorer = model.scorer()
 
@@ -368,11 +373,14 @@ def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
                     "gram-counts")
     scored = settle(perplexities(flagged, counts, text), "perplexities")
     known = scored.where("_known")
-    at = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = known.groupBy(F.col(f"`{lang}`").alias("_lang")).agg(at.alias("_own"))
-    overall = known.agg(at.alias("v")).first()["v"]
+    # Exact however large a language is: a sketch encloses the rank, the values between are counted.
+    spoken = F.concat(F.lit("="), F.col(f"`{lang}`").cast("string"))
+    values = known.select(F.coalesce(spoken, F.lit("")).alias("_lang"), "perplexity")
+    by_lang = group_quantiles(values, ["_lang"], "perplexity", {"_own": quantile}).drop("n")
+    overall = group_quantiles(values, [], "perplexity", {"v": quantile}).first()
+    overall = overall["v"] if overall else None
     rest = [F.col(f"`{c}`") for c in scored.columns if c != "_known"]
-    return (scored.join(by_lang, F.col(f"`{lang}`").eqNullSafe(F.col("_lang")), "left")
+    return (scored.join(by_lang, F.coalesce(spoken, F.lit("")) == F.col("_lang"), "left")
             .withColumn("threshold", F.coalesce("_own", F.lit(overall).cast("double")))
             .select(*rest, "threshold",
                     F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
