@@ -235,6 +235,37 @@ def test_chain_uses_earlier_categories():
     assert ((p > 0.5) == np.array(labels)).mean() > 0.99
 
 
+def test_chain_learns_one_row_of_an_id(spark):
+    """Labels without a document take no place in the sample; repeated ids bring one text each."""
+    docs = spark.createDataFrame(
+        [(i, f"plain w{i % 7}" if i % 2 else f"nasty w{i % 7}") for i in range(40)]
+        + [(1, None), (1, "plain again"), (1, "plain again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 and i < 1000)) for i in range(40)]
+                                   + [(1000 + i, 1) for i in range(200)], "doc_id long, toxic int")
+    chain = toxicity.fit(docs, labels, ["toxic"], sample=20)
+    got = toxicity.classify(docs, chain).collect()
+    assert all(r.rejected == (r.text or "").startswith("nasty") for r in got)
+
+
+def test_sample_weights_keep_the_share(spark):
+    """Half of the sample is positive, a tenth of the documents: the prior is a tenth."""
+    docs = spark.createDataFrame([(i, "same words") for i in range(400)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)],
+                                   "doc_id long, toxic int")
+    chain = toxicity.fit(docs, labels, ["toxic"], sample=20)
+    assert toxicity.classify(docs, chain).first().p_toxic == pytest.approx(0.1, abs=0.03)
+
+
+def test_quality_without_texts(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    with_texts = quality_rules.judge(docs)
+    without = quality_rules.judge(docs, with_text=False)
+    assert without.columns == [c for c in with_texts.columns if c != "text"]
+    assert (sorted(map(str, without.collect()))
+            == sorted(map(str, with_texts.drop("text").collect())))
+
+
 @pytest.mark.parametrize("cuts", [0, 2])
 def test_near_small_blocks(spark, monkeypatch, cuts):
     """Buckets cut by pieces and into blocks of two nodes link the same texts as brute force."""

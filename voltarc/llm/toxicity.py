@@ -4,10 +4,12 @@ Categories are predicted one after the other by logistic models over word and wo
 each model also sees the probabilities of the categories before it. In training those are
 out-of-fold predictions, so a later model learns from probabilities as uncertain as it will meet.
 
-The models are fitted on a bounded sample of labelled rows (``SAMPLE`` documents, chosen by a hash
-of the id, half of them positive in some category if there are as many). What is chosen from the
-sample's features, ``FEATURES`` per category, and the sample's rows over them are small whatever
-the size of the corpus. Scoring is one pass over the texts without a shuffle.
+The models are fitted on a bounded sample of labelled documents (``SAMPLE`` ids that documents
+have, chosen by a hash of the id, half of them positive in some category if there are as many; of
+the rows of an id, one). Rows weigh the inverse of the share of their half that was chosen, so a
+probability means the same however many labels there are. The sample is written once. What is
+chosen from its features, ``FEATURES`` per category, and its rows over them are small whatever the
+size of the corpus. Scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltarc.llm.common import others, shielded
+from voltarc.llm.common import discard, others, settle, shielded
 
 SAMPLE = 12_000  # labelled documents that are learned from, at most
 FEATURES = 1_000  # features per category, at most
@@ -84,12 +86,12 @@ class Chain:
         return out
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, m: int
-         ) -> tuple[np.ndarray, float]:
+def _fit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, m: int,
+         weights: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression by full gradient steps. rows, cols: where features are set;
-    extra: one column per earlier category."""
+    extra: one column per earlier category; weights: of the rows, 1 on average."""
     n, k = len(y), extra.shape[1]
-    w, mean = np.zeros(m + k), (y.sum() + 0.5) / (n + 1)
+    w, mean = np.zeros(m + k), ((weights * y).sum() + 0.5) / (weights.sum() + 1)
     b = float(np.log(mean / (1 - mean)))
     if n == 0 or y.min() == y.max():
         return w, b
@@ -97,7 +99,7 @@ def _fit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, m
     sw, sb = np.full(m + k, 1e-10), 1e-10
     for _ in range(ROUNDS):
         z = np.bincount(rows, w[cols], n) + extra @ w[m:] + b
-        r = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
+        r = weights * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
         g = np.concatenate([np.bincount(cols, r[rows], m), r @ extra]) + PENALTY / n * w
         gb = float(r.sum())
         sw, sb = sw + g * g, sb + gb * gb
@@ -106,15 +108,16 @@ def _fit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, m
 
 
 def train_chain(index: dict[str, int], sets: list[list[int]], labels: np.ndarray,
-                categories: list[str]) -> Chain:
+                categories: list[str], row_weights: np.ndarray | None = None) -> Chain:
     n, m = len(sets), len(index)
+    share = np.ones(n) if row_weights is None or not n else row_weights / row_weights.mean()
     rows = np.repeat(np.arange(n), [len(s) for s in sets]).astype(np.int64)
     cols = np.array([c for s in sets for c in s], np.int64)
     fold = np.arange(n) % FOLDS
     extra, weights, biases = np.zeros((n, 0)), [], []
     for c in range(len(categories)):
         y = labels[:, c].astype(float)
-        w, b = _fit(rows, cols, extra, y, m)
+        w, b = _fit(rows, cols, extra, y, m, share)
         weights.append(w)
         biases.append(b)
         if c + 1 == len(categories):
@@ -124,7 +127,8 @@ def train_chain(index: dict[str, int], sets: list[list[int]], labels: np.ndarray
             train = fold != f
             place = np.cumsum(train) - 1
             inside = train[rows]
-            wf, bf = _fit(place[rows[inside]], cols[inside], extra[train], y[train], m)
+            wf, bf = _fit(place[rows[inside]], cols[inside], extra[train], y[train], m,
+                          share[train])
             z = np.bincount(rows, wf[cols], n) + extra @ wf[m:] + bf
             unseen[~train] = (1 / (1 + np.exp(-np.clip(z, -40, 40))))[~train]
         extra = np.column_stack([extra, unseen])
@@ -134,20 +138,33 @@ def train_chain(index: dict[str, int], sets: list[list[int]], labels: np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str = "doc_id",
         text: str = "text", sample: int = SAMPLE) -> Chain:
     """Learn the chain. ``labels``: the id and one 0/1 column per category; NULL counts as 0, of
-    several rows of an id the greatest value holds. Without labelled texts the chain predicts from
-    the prior alone."""
+    several rows of an id the greatest value holds, labels without a document are passed over. Of
+    documents with one id, the text of least hash is learned. Without labelled texts the chain
+    predicts from the prior alone."""
+    ids = docs.select(F.col(f"`{doc_id}`").alias("_id"))
     marks = labels.where(F.col(f"`{doc_id}`").isNotNull()).groupBy(
         F.col(f"`{doc_id}`").alias("_id")).agg(*[
             F.max(F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("int")).alias(f"_y{k}")
-            for k, c in enumerate(categories)])
+            for k, c in enumerate(categories)]).join(ids, "_id", "left_semi")
     ys = [f"_y{k}" for k in range(len(categories))]
     some = F.greatest(*ys, F.lit(0)) > 0
     order = [F.xxhash64("_id"), F.col("_id")]
-    chosen = (marks.where(some).orderBy(*order).limit(sample // 2)
-              .union(marks.where(~some).orderBy(*order).limit(sample - sample // 2)))
-    rows = (docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-            .join(F.broadcast(chosen), "_id")  # at most ``sample`` rows
-            .select("_id", "_text", F.array(*ys).alias("_y")))
+    marks = settle(marks, "toxic-labels")
+    n_some, n_all = marks.agg(F.count_if(some), F.count("*")).first()
+    halves = []
+    for half, limit, held in ((some, sample // 2, n_some),
+                              (~some, sample - sample // 2, n_all - n_some)):
+        halves.append(marks.where(half).orderBy(*order).limit(limit)
+                      .withColumn("_w", F.lit(max(held / max(limit, 1), 1.0))))
+    text_of = F.col(f"`{text}`")
+    rows = settle(
+        docs.select(F.col(f"`{doc_id}`").alias("_id"), F.struct(
+            text_of.isNull().alias("none"), F.xxhash64(text_of).alias("hash"),
+            text_of.alias("text")).alias("_t"))
+        .join(F.broadcast(halves[0].union(halves[1])), "_id")  # at most ``sample`` rows
+        .groupBy("_id", "_w", *ys).agg(F.min("_t").alias("_t"))
+        .select("_id", "_w", F.col("_t.text").alias("_text"), F.array(*ys).alias("_y")),
+        "toxic-sample")
 
     width = len(categories)
 
@@ -161,6 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
                     if y[k]:
                         held[k].update(found)
             names = list(held[width])
+            if not names:  # nothing but NULL and empty texts
+                continue
             yield pd.DataFrame({"f": pd.Series(names, dtype=object), "n": [held[width][f] for f in names],
                                 "p": [[held[k][f] for k in range(width)] for f in names]})
 
@@ -188,10 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
     def pick(texts: pd.Series) -> pd.Series:
         return pd.Series([empty.columns(t) for t in texts])
 
-    got = (rows.select("_id", F.pandas_udf(pick, "array<int>")("_text").alias("c"), "_y")
+    got = (rows.select("_id", F.pandas_udf(pick, "array<int>")("_text").alias("c"), "_y", "_w")
            .orderBy(*order).collect())  # at most ``sample`` rows of chosen features
+    discard(marks, rows)
     return train_chain(index, [list(r["c"]) for r in got],
-                       np.array([list(r["_y"]) for r in got]).reshape(len(got), width), categories)
+                       np.array([list(r["_y"]) for r in got]).reshape(len(got), width), categories,
+                       np.array([r["_w"] for r in got], float))
 
 
 @shielded
