@@ -227,24 +227,27 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 @shielded
-def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Encode, decode again and add n_tokens, ids_sha256 and decoded_sha256, in one pass.
+def digests(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode, decode again and add n_tokens, ids_sha256 and decoded_sha256, in one pass;
+    ``with_ids`` adds the token ids themselves.
 
     ``path``: the vocabulary file, present on every executor. A NULL text counts as empty: no
     tokens, digests of nothing. Strings of special tokens in a text are those tokens. Repeated
     rows stay repeated; input columns with result names are replaced. A text is handled whole; a
     worker holds one batch and a memory of ``CACHED_WORDS`` words at most.
     """
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    types = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(types + ", ids array<int>" * with_ids)
     def both(texts: pd.Series) -> pd.DataFrame:
         bpe = load(path)
         rows = []
         for t in texts:
             ids, joined = bpe.encode_joined(t or "")
-            rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(),
-                         hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+            row = (len(ids), hashlib.sha256(joined.encode()).hexdigest(),
+                   hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
         return pd.DataFrame(rows, columns=names)
 
     return (docs.select(*others(docs, names), both(F.col(f"`{text}`")).alias("_bpe"))
