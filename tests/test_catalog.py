@@ -50,3 +50,13 @@ def test_segment_durations_add_up(pipeline):
 def test_compat_switch_reports_no_second_rest(pipeline):
     from voltarc.operators.exploration import mission_table
     assert mission_table(pipeline.phases, compat=True).agg(F.max("dur_rest2_s")).first()[0] == 0
+
+
+def test_last_rows_are_the_last_steps(pipeline):
+    from voltarc.operators import sequences
+    rows, features = sequences.mission_rows(pipeline.dictionary_mission)
+    windows = sequences.mission_sequences(rows, features, "SOH_end_pct")
+    names = ["cell_id", "mission_id", *features, "label"]
+    want = sequences.last_step(windows, features).select(*[F.col(f"`{n}`") for n in names])
+    got = sequences.last_rows(rows, features, "SOH_end_pct")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

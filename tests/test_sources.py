@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltarc.operators import cycles
-from voltarc.sources import stages, telemetry
+from voltarc.sources import ragged, stages, telemetry
 
 HEADER = "time_s,Ecell_V,I_mA,QDischarge_mA_h,QCharge_mA_h,Temperature__C,cycleNumber,Ns\n"
 
@@ -104,3 +104,25 @@ def test_rejected_cells(spark, folder):
     table = spark.createDataFrame([("VAH01", False)], "cell_id string, is_capacity_test boolean")
     got = {r["cell_id"]: r["reason"] for r in cycles.rejected_cells(df, table).collect()}
     assert got == {"VAH01": "no capacity test", "VAH27": "no cycle summary"}
+
+
+def test_ragged_arrays_come_back(spark, tmp_path):
+    """Arrays over page borders, longer than pages, empty, NULL, with repeated and NULL keys."""
+    rows = [(i % 9 if i % 10 else None, None if i % 7 == 6 else [float(i * 100 + k) for k in range(
+        (i * 5) % 23)]) for i in range(60)] + [(1, [1.0, 2.0])] * 3
+    df = spark.createDataFrame(rows, "k int, v array<double>").repartition(3)
+    path = str(tmp_path / "ragged")
+    ragged.write_ragged(df, ["k"], "v", path, page=8)
+    pages = spark.read.parquet(f"{path}/values").select(F.size("values")).collect()
+    assert max(r[0] for r in pages) == 8 and len(pages) <= sum(len(v or []) for _, v in rows) / 8 + 3
+    back = ragged.read_ragged(spark, path)
+    assert back.schema == df.schema
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    some = ragged.read_ragged(spark, path, spark.createDataFrame([(3,), (3,), (77,)], "k int"))
+    assert sorted(map(str, some.collect())) == sorted(map(str, df.where("k = 3").collect()))
+
+
+def test_ragged_empty_table(spark, tmp_path):
+    empty = spark.createDataFrame([], "k int, v array<double>")
+    ragged.write_ragged(empty, ["k"], "v", str(tmp_path / "none"))
+    assert ragged.read_ragged(spark, str(tmp_path / "none")).count() == 0

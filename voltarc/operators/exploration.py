@@ -56,14 +56,16 @@ def mission_table(segments: DataFrame, compat: bool = False) -> DataFrame:
             .drop("mission_pos", "n_missions"))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """``keys, value -> name``: average rank of each distinct value within its keys.
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str,
+                  weight: str | None = None) -> DataFrame:
+    """``keys, value -> name``: average rank of each distinct value within its keys. ``weight``
+    names the number of rows that a row stands for, one each without it.
 
     Equal values are counted first, so the ranks run over distinct values only; those are cut
     into ranges that follow the data and the totals of earlier ranges are carried over.
     """
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("_c")))
+              .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")))
     blocks = ordered.range_blocks(counts, [*keys, value])
     ends = ordered.running_sums(blocks, keys, [value], {"_end": F.col("_c")})
     return ends.select(*keys, value, (F.col("_end") - (F.col("_c") - 1) / F.lit(2.0)).alias(name))
@@ -74,21 +76,30 @@ def dsoh_spearman(missions: DataFrame, features=tuple(fixed.DSOH_FEATURES),
     """Rank correlation of mission features with the SOH drop towards the next mission.
 
     The target is ranked over all rows that have it; a feature is ranked over its own values.
+    Missions with equal feature and target are counted before anything else, so the joins with the
+    ranks and the moments run over the distinct pairs: ties, such as a target of 0.0, are one row.
     """
     kept = missions.where(F.col(target).isNotNull())
-    pairs = kept.select(F.col(target), F.explode(F.array(*[
+    cells = kept.select(target, F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"))
-        for f in features])).alias("_p")).select(target, "_p.*")
-    x_rank = average_ranks(pairs, ["feature"], "x", "x_rank")
+        for f in features])).alias("_p")).groupBy(target, "_p.feature", "_p.x").agg(
+        F.count(F.lit(1)).alias("_w"))
+    x_rank = average_ranks(cells, ["feature"], "x", "x_rank", "_w")
     y_rank = average_ranks(kept.withColumn("all", F.lit(1)), ["all"], target, "y_rank"
                            ).drop("all")
-    ranked = pairs.join(y_rank, target).join(x_rank, ["feature", "x"], "left")
-    y_seen = F.when(F.col("x_rank").isNotNull(), F.col("y_rank"))
+    ranked = cells.join(y_rank, target).join(x_rank, ["feature", "x"], "left")
+    x, w = F.col("x_rank"), F.when(F.col("x_rank").isNotNull(), F.col("_w"))
+    y = F.when(x.isNotNull(), F.col("y_rank"))
     out = ranked.groupBy("feature").agg(
-        F.count("x").alias("n"), F.covar_pop("x_rank", "y_rank").alias("_cov"),
-        F.stddev_pop("x_rank").alias("_sx"), F.stddev_pop(y_seen).alias("_sy"))
-    r = F.try_divide(F.col("_cov"), F.col("_sx") * F.col("_sy"))
-    return out.select("feature", F.when(F.col("n") >= min_rows, r).alias("spearman_r"), "n")
+        F.coalesce(F.sum(w), F.lit(0)).alias("n"),
+        *[F.sum(w * v).alias(name) for name, v in
+          (("_x", x), ("_y", y), ("_xx", x * x), ("_xy", x * y), ("_yy", y * y))],
+        ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("_varies"))
+    n = F.col("n")
+    part = lambda ab, a, b: n * F.col(ab) - F.col(a) * F.col(b)
+    r = part("_xy", "_x", "_y") / F.sqrt(part("_xx", "_x", "_x") * part("_yy", "_y", "_y"))
+    return out.select("feature", F.when(F.col("_varies") & (n >= min_rows), r)
+                      .alias("spearman_r"), "n")
 
 
 def phase_degradation(segments: DataFrame) -> DataFrame:

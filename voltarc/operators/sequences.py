@@ -108,6 +108,12 @@ def last_step(sequences: DataFrame, features: Sequence[str]) -> DataFrame:
     return sequences.withColumns({f: last[i] for i, f in enumerate(features)}).drop("steps")
 
 
+def last_rows(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """What :func:`last_step` gives for trailing windows, without building them: the last step of
+    the window that ends at a row is that row."""
+    return rows.select(*MISSION, *map(quoted, features), F.col(label).alias("label"))
+
+
 def window_scaler(rows: DataFrame, features: Sequence[str], keys: Sequence[str], position: str,
                   steps: int, first: int = 0) -> DataFrame:
     """Mean and deviation of each feature over all overlapping windows, without building them.

@@ -8,6 +8,7 @@ below the last digit makes decimal ties round the same way whatever that order w
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
@@ -22,7 +23,7 @@ from voltarc.operators import (exploration, folds, health, missions, models, phy
                                segments, sequences, tables)
 from voltarc.plans import oracle
 from voltarc.plans.pipeline import Pipeline, pipeline
-from voltarc.sources import stages, telemetry
+from voltarc.sources import ragged, stages, telemetry
 
 KEY = "cell_id cycleNumber"
 SEG = "cell_id cycleNumber seg_id"
@@ -168,6 +169,13 @@ query("rejected_cells", "cell_id n_samples n_cycles n_capacity_tests reason",
       "AS n_capacity_tests FROM c_cycles WHERE NOT RUL_censored GROUP BY cell_id) y "
       "ON y.cell_id = t.cell_id)")(
     lambda p: cy.cell_checks(p.telemetry, p.cycles.where(~F.col("RUL_censored"))))
+query("skipped_cells", "cell_id reason",
+      "(SELECT DISTINCT t.cell_id, CASE WHEN y.cell_id IS NULL THEN 'no cycle summary' "
+      "ELSE 'no capacity test' END AS reason FROM c_tele t LEFT JOIN "
+      "(SELECT cell_id, bool_or(is_capacity_test) AS tested FROM c_cycles "
+      "WHERE NOT RUL_censored GROUP BY cell_id) y ON y.cell_id = t.cell_id "
+      "WHERE y.cell_id IS NULL OR NOT y.tested)")(
+    lambda p: cy.rejected_cells(p.telemetry, p.cycles.where(~F.col("RUL_censored"))))
 
 # ---------------------------------------------------------------- samples
 
@@ -485,8 +493,7 @@ PLAIN_MISSION = " ".join(f"*{f}" for f in oracle.MISSION_MODEL)
 @query("last_step", f"{MIS} {PLAIN_MISSION}", "c_mrow")
 def last_step(p):
     rows, features = sequences.mission_rows(p.dictionary_mission)
-    seq = sequences.mission_sequences(rows, features, "SOH_end_pct")
-    return sequences.last_step(seq, features)
+    return sequences.last_rows(rows, features, "SOH_end_pct")
 
 
 @query("padded_sequences", f"{MIS} seg_id length padded_length n_real n_zero_steps ~steps_sum",
@@ -644,6 +651,25 @@ query("attention_summary", "vec_id length attn_argmax *attn_max *attn_entropy",
       "attn_argmax, max(p) AS attn_max, -sum((p / s) * ln(p / s + 1e-12)) / ln(count(*)) AS "
       "attn_entropy FROM (SELECT *, sum(p) OVER (PARTITION BY vec_id) + 1e-12 AS s FROM c_att) "
       "GROUP BY vec_id)")(lambda p: predictions.attention_summary(p.arrays))
+@query("ragged_arrays", "vec_id length *first_value *last_value ~total",
+       "(SELECT vec_id, CAST(len(r) AS INTEGER) AS length, r[1] AS first_value, "
+       "r[-1] AS last_value, coalesce(list_sum(r), CASE WHEN r IS NOT NULL THEN 0e0 END) AS total "
+       "FROM (SELECT vec_id, CASE WHEN vec_id % 17 <> 16 THEN g[1:vec_id % (len(g) + 1)] END AS r "
+       "FROM c_arr))")
+def ragged_arrays(p):
+    """Arrays of differing lengths, some empty or NULL, through the ragged store and back."""
+    g = F.col("gate_logits")
+    cut = F.slice(g, F.lit(1), F.pmod(F.col("vec_id"), F.size(g) + 1).cast("int"))
+    rows = p.arrays.select("vec_id", F.when(F.col("vec_id") % 17 != 16, cut).alias("r"))
+    path = p.store.path(f"ragged-{uuid.uuid4().hex}")
+    ragged.write_ragged(rows, ["vec_id"], "r", path)
+    r = F.col("r")
+    return ragged.read_ragged(p.spark, path).select(
+        "vec_id", F.when(r.isNotNull(), F.size(r)).alias("length"),
+        F.get(r, F.lit(0)).alias("first_value"), F.try_element_at(r, F.lit(-1)).alias("last_value"),
+        F.aggregate(r, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 query("gate_top2", "vec_id gate_top1 *gate_pi_top1 gate_top2 *gate_pi_top2",
       "(SELECT vec_id, CAST(max(pos) FILTER (WHERE k = 1) AS INTEGER) AS gate_top1, "
       "max(p) FILTER (WHERE k = 1) AS gate_pi_top1, CAST(max(pos) FILTER (WHERE k = 2) AS "
