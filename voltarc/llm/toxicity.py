@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from voltarc.llm.common import discard, others, settle, shielded
 
 SAMPLE = 12_000  # labelled documents that are learned from, at most
+SAMPLE_PARTS = 32  # tasks that count the sample's features, so that a worker holds few texts' counts
 FEATURES = 1_000  # features per category, at most
 LEAST_DOCS = 3  # sample documents that must hold a feature
 LEAST_LIFT = 2.0  # times the category's share that a feature's documents must have
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
             text_of.isNull().alias("none"), F.xxhash64(text_of).alias("hash"),
             text_of.alias("text")).alias("_t"))
         .join(F.broadcast(halves[0].union(halves[1])), "_id")  # at most ``sample`` rows
-        .groupBy("_id", "_w", *ys).agg(F.min("_t").alias("_t"))
+        .repartition(SAMPLE_PARTS, "_id").groupBy("_id", "_w", *ys).agg(F.min("_t").alias("_t"))
         .select("_id", "_w", F.col("_t.text").alias("_text"), F.array(*ys).alias("_y")),
         "toxic-sample")
 
