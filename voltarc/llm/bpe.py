@@ -12,14 +12,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltarc.llm.common import others, shielded
 
@@ -27,6 +30,7 @@ from voltarc.llm.common import others, shielded
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CACHED_WORDS = 200_000  # words that a worker remembers, and as many of the time before
 CACHED_LENGTH = 64
+SLICE = 256  # rows whose token ids are handed over at once
 #: The same cut by the faster standard module, for texts of characters on which both agree:
 #: there, a letter is what is neither digit, underscore nor non-word.
 _COMMON_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+"
@@ -229,26 +233,47 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 @shielded
 def digests(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode, decode again and add n_tokens, ids_sha256 and decoded_sha256, in one pass;
-    ``with_ids`` adds the token ids themselves.
+    ``with_ids`` adds the token ids themselves, which take the place of the text.
 
     ``path``: the vocabulary file, present on every executor. A NULL text counts as empty: no
     tokens, digests of nothing. Strings of special tokens in a text are those tokens. Repeated
     rows stay repeated; input columns with result names are replaced. A text is handled whole; a
     worker holds one batch and a memory of ``CACHED_WORDS`` words at most.
     """
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    types = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-    @F.pandas_udf(types + ", ids array<int>" * with_ids)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    types = [T.LongType(), T.StringType(), T.StringType()]
+
+    def row(bpe: BytePairs, t: str | None) -> tuple:
+        ids, joined = bpe.encode_joined(t or "")
+        return (len(ids), hashlib.sha256(joined.encode()).hexdigest(),
+                hashlib.sha256(bpe.decode(ids).encode()).hexdigest(), ids)
+
+    if with_ids:
+        keep = others(docs, [*names, "ids", text])
+        held = docs.select(*keep, F.col(f"`{text}`").alias("_text"))
+
+        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Output in slices of ``SLICE`` rows, as ids are larger than what is known of them."""
+            bpe = load(path)
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    n, ids_sha, decoded_sha, ids = zip(*[row(bpe, t) for t in part[-1].to_pylist()])
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids_sha),
+                         pa.array(decoded_sha), pa.array([np.array(x, np.int32) for x in ids],
+                                                         pa.list_(pa.int32()))],
+                        [*part.schema.names[:-1], *names, "ids"])
+
+        schema = T.StructType([f for f in held.schema.fields if f.name != "_text"])
+        for name, kind in zip([*names, "ids"], [*types, T.ArrayType(T.IntegerType())]):
+            schema = schema.add(name, kind)
+        return held.mapInArrow(slices, schema)
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both(texts: pd.Series) -> pd.DataFrame:
         bpe = load(path)
-        rows = []
-        for t in texts:
-            ids, joined = bpe.encode_joined(t or "")
-            row = (len(ids), hashlib.sha256(joined.encode()).hexdigest(),
-                   hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
-        return pd.DataFrame(rows, columns=names)
+        return pd.DataFrame([row(bpe, t)[:3] for t in texts], columns=names)
 
     return (docs.select(*others(docs, names), both(F.col(f"`{text}`")).alias("_bpe"))
             .select(*others(docs, names), *[F.col(f"_bpe.{n}").alias(n) for n in names]))
