@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +38,6 @@ _COMMON_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s
                            r"|\s+(?!\S)|\s+")
 _UNCOMMON = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0590-\u1fff\u2070-\U0010ffff]")
 
-Entry = tuple[tuple[int, ...], str]  # ids, and the same in decimal, each with a comma after it
-
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte: itself where printable, else one from 256 on."""
@@ -81,7 +80,8 @@ class BytePairs:
             self._merged.setdefault(pair, rank)
             if made not in self._halves and len(a + b) > 1:
                 self._halves[made], self._rank[made] = pair, rank
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # of both tokens as one number
+        self._decimal = [str(i) for i in range(size)]
         self._length = {i: len(b) for b, i in vocab.items() if i in self._rank}
         self._auto = ahocorasick.Automaton()
         for b, i in vocab.items():
@@ -96,18 +96,24 @@ class BytePairs:
                 if b[:n] in known:
                     self._shorter[i] = known[b[:n]]
                     break
-        # Words seen lately, and those seen before them.
-        self._seen: dict[str, Entry] = {}
-        self._before: dict[str, Entry] = {}
+        # Words seen lately, and those seen before them, with their ids as 32-bit numbers.
+        self._seen: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Free what the words so far have left; the vocabulary stays."""
+        for known in (self._seen, self._before, self._fits):
+            known.clear()
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging leaves the border between two tokens open: no pair of parts that meet
         there joins before both tokens are complete."""
-        known = self._fits.get((left, right))
+        pair = left * len(self._decimal) + right
+        known = self._fits.get(pair)
         if known is None:
             if len(self._fits) > 500_000:
                 self._fits.clear()
-            known = self._fits[left, right] = self._border(left, right)
+            known = self._fits[pair] = self._border(left, right)
         return known
 
     def _border(self, left: int, right: int) -> bool:
@@ -155,11 +161,10 @@ class BytePairs:
                 at -= length[token]
         return out
 
-    def _encoded(self, word: str) -> Entry:
+    def _encoded(self, word: str) -> bytes:
         entry = self._before.get(word)
         if entry is None:
-            ids = tuple(self.encode_word(word.encode()))
-            entry = ids, "".join([f"{i}," for i in ids])
+            entry = array("i", self.encode_word(word.encode())).tobytes()
         if len(word) <= CACHED_LENGTH:
             if len(self._seen) >= CACHED_WORDS:
                 self._before = dict(self._seen)
@@ -167,31 +172,29 @@ class BytePairs:
             self._seen[word] = entry
         return entry
 
-    def _entries(self, text: str) -> list[Entry]:
+    def _entries(self, text: str) -> list[bytes]:
         get, encoded = self._seen.get, self._encoded
         cut = self._words if _UNCOMMON.search(text) else _COMMON_WORDS
         return [get(w) or encoded(w) for w in cut.findall(text)]
 
-    def _all(self, text: str) -> list[Entry]:
+    def ids_of(self, text: str) -> np.ndarray:
         if self._cut is None or not self._cut.search(text):
-            return self._entries(text)
+            return np.frombuffer(b"".join(self._entries(text)), np.int32)
         out, at = [], 0
         for m in self._cut.finditer(text):
-            i = self.special[m[0]]
             out += self._entries(text[at:m.start()])
-            out.append(((i,), f"{i},"))
+            out.append(array("i", [self.special[m[0]]]).tobytes())
             at = m.end()
-        return out + self._entries(text[at:])
+        return np.frombuffer(b"".join(out + self._entries(text[at:])), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self._all(text) for i in ids]
+        return self.ids_of(text).tolist()
 
-    def encode_joined(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the same in decimal joined by commas."""
-        entries = self._all(text)
-        return ([i for ids, _ in entries for i in ids], "".join([s for _, s in entries])[:-1])
+    def joined(self, ids: np.ndarray) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self._decimal.__getitem__, ids.tolist()))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """Bytes that are no valid UTF-8 become replacement characters."""
         if not len(ids):
             return ""
@@ -214,7 +217,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         bpe = load(path)
-        return pd.Series([np.array(bpe.encode(t or ""), np.int32) for t in texts], dtype=object)
+        return pd.Series([bpe.ids_of(t or "") for t in texts], dtype=object)
 
     return docs.select(*others(docs, ["ids"]), ids(F.col(f"`{text}`")).alias("ids"))
 
@@ -244,8 +247,8 @@ def digests(docs: DataFrame, path: str, text: str = "text", with_ids: bool = Fal
     types = [T.LongType(), T.StringType(), T.StringType()]
 
     def row(bpe: BytePairs, t: str | None) -> tuple:
-        ids, joined = bpe.encode_joined(t or "")
-        return (len(ids), hashlib.sha256(joined.encode()).hexdigest(),
+        ids = bpe.ids_of(t or "")
+        return (len(ids), hashlib.sha256(bpe.joined(ids).encode()).hexdigest(),
                 hashlib.sha256(bpe.decode(ids).encode()).hexdigest(), ids)
 
     if with_ids:
@@ -253,7 +256,8 @@ def digests(docs: DataFrame, path: str, text: str = "text", with_ids: bool = Fal
         held = docs.select(*keep, F.col(f"`{text}`").alias("_text"))
 
         def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Output in slices of ``SLICE`` rows, as ids are larger than what is known of them."""
+            """Output in slices of ``SLICE`` rows, as ids are larger than what is known of them. A
+            worker outlives its task, so the words are forgotten at the end of it."""
             bpe = load(path)
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
@@ -261,9 +265,9 @@ def digests(docs: DataFrame, path: str, text: str = "text", with_ids: bool = Fal
                     n, ids_sha, decoded_sha, ids = zip(*[row(bpe, t) for t in part[-1].to_pylist()])
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids_sha),
-                         pa.array(decoded_sha), pa.array([np.array(x, np.int32) for x in ids],
-                                                         pa.list_(pa.int32()))],
+                         pa.array(decoded_sha), pa.array(ids, pa.list_(pa.int32()))],
                         [*part.schema.names[:-1], *names, "ids"])
+            bpe.forget()
 
         schema = T.StructType([f for f in held.schema.fields if f.name != "_text"])
         for name, kind in zip([*names, "ids"], [*types, T.ArrayType(T.IntegerType())]):
