@@ -129,6 +129,40 @@ def test_rows_that_stay_grow_the_same_trees(table):
     assert [r.y_pred for r in a] == pytest.approx([r.y_pred for r in b], abs=1e-9)
 
 
+@pytest.mark.parametrize("changes", [{}, {"leaves": 7, "depth": 30}, {"rows": 0.8, "columns": 0.5},
+                                     {"boost": False, "min_rows": 2}])
+def test_histograms_count_the_smaller_child(changes, monkeypatch):
+    """Below the root at most half of the rows are counted, none in nodes that cannot split; the
+    trees are those of sums over cells, also where these are made for few nodes at a time."""
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 40, (3000, 5)).astype(np.uint8)
+    codes[:, 2] = 7  # one code: nothing to split
+    y = codes @ np.array([1.0, -2.0, 0.0, 0.5, 0.0]) + rng.normal(size=3000)
+    own = replace(models.PRESETS["xgb"], **{"trees": 3, "depth": 5, "rows": 1.0, "columns": 1.0,
+                                            "patience": None, **changes})
+    args = (codes, y, np.arange(3000, dtype=np.uint64), np.arange(2500), np.arange(2500, 3000),
+            np.ones(5, bool), own, grower.Scale.of(y.min(), y.max()))
+    counted, sums = [], grower.Histograms.sums
+    monkeypatch.setattr(grower.Histograms, "sums", lambda self, slot, *rest: (
+        counted.append(len(slot)), sums(self, slot, *rest))[1])
+    _, trees = grower.fit(*args)
+    if own.leaves is None and own.boost and own.rows == 1:
+        assert len(counted) == 3 * 5  # the last level's nodes do not split
+        assert all(n <= (2500 if k % 5 == 0 else 1250) for k, n in enumerate(counted))
+    monkeypatch.setattr(grower, "DENSE_CELLS", 0)
+    searched, search = [], grower.best_splits
+    monkeypatch.setattr(grower, "SPARSE_CELLS", 2000)
+    monkeypatch.setattr(grower, "best_splits", lambda found, *rest: (
+        searched.append(len(found[0])), search(found, *rest))[1])
+    counted.clear()
+    _, plain = grower.fit(*args)
+    assert not counted and len(searched) > 3 * 5 and len(plain) == len(trees)
+    for a, b in zip(trees, plain):
+        on = a["left"] >= 0
+        assert (a["left"] == b["left"]).all() and (a["value"] == b["value"]).all()
+        assert all((a[k][on] == b[k][on]).all() for k in ("feature", "cut"))
+
+
 def test_codes():
     bounds = np.array([1.0, 2.0, 5.0])
     assert grower.code_of(np.array([0.5, 1.0, 1.5, 2.0, 5.0, 6.0, np.nan]), bounds).tolist() == [
