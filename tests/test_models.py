@@ -216,6 +216,49 @@ def test_importance_finds_the_signal(table):
     assert models.permutation_importance(few, KEYS, "t").count() == 0
 
 
+def test_importance_equals_one_forest_in_one_place(table, monkeypatch):
+    """Trees grown a few to a task, whose sums alone leave it, against all trees on collected rows."""
+    monkeypatch.setattr(models, "TREES_A_TASK", 3)
+    monkeypatch.setattr(models, "TEST_BLOCK", 7)
+    names = ["signal", "noise", "flat"]
+    data = table.select(*KEYS, "signal", "noise", F.lit(1.5).alias("flat"), F.col("y").alias("target"))
+    rows = [r.asDict() for r in data.withColumn("id", F.xxhash64(*KEYS)).collect()]
+    bounds = grower.cut_points(data, names)
+    code = lambda some: np.column_stack([
+        grower.code_of(np.array([r[f] for r in some]), b) for f, b in zip(names, bounds)])
+    ys = [r["target"] for r in rows]
+    train = sorted((r for r in rows if r["id"] % 4), key=lambda r: r["id"])
+    test = [r for r in rows if r["id"] % 4 == 0]
+    own = grower.Settings("importance", 8, depth=6, boost=False, seed=42)
+    base, trees, gain = grower.importance_trees(
+        code(train), np.array([r["target"] for r in train]),
+        np.array([r["id"] for r in train]).view(np.uint64), own,
+        grower.Scale.of(min(ys), max(ys)), range(8))
+    guess = lambda some: grower.predict(base, trees, some, own)
+    y = np.array([r["target"] for r in test])
+    plain = ((y - guess(code(test)))**2).sum()
+    spread = ((y - y.mean())**2).sum()
+    gini = {r.feature: r for r in models.feature_importance(data, KEYS, "t", 8, 6).collect()}
+    assert [gini[f].gini_importance for f in names] == pytest.approx(list(gain / gain.sum()))
+    assert gini["signal"].r2 == pytest.approx(1 - plain / spread) and len(trees) == 8
+
+    orders = data.withColumn("id", F.xxhash64(*KEYS)).where("pmod(id, 4) = 0").select(
+        "*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("repeat")).withColumn(
+        "h", F.xxhash64("repeat", "id", *KEYS)).collect()
+    order = [[r.asDict() for r in sorted(orders, key=lambda r: r.h) if r.repeat == k] for k in (0, 1, 2)]
+    y = np.array([r["target"] for r in order[0]])
+    perm = {r.feature: r for r in models.permutation_importance(data, KEYS, "t", 8, 6, 2).collect()}
+    for j, f in enumerate(names):
+        drops = []
+        for donors in order[1:]:
+            x = code(order[0])
+            x[:, j] = code(donors)[:, j]
+            drops.append((((y - guess(x))**2).sum() - plain) / spread)
+        assert perm[f].perm_importance_mean == pytest.approx(np.mean(drops), abs=1e-9)
+        assert perm[f].perm_importance_std == pytest.approx(np.std(drops), abs=1e-9)
+    assert perm["flat"].perm_importance_mean == 0
+
+
 def test_every_model_meets_every_task(spark, monkeypatch):
     """Boosters and pooled sequences too get SOC, SOH and all three levels, each with features and
     with the library's settings."""
