@@ -288,6 +288,31 @@ def test_near_small_blocks(spark, monkeypatch, cuts):
     assert got == dict(enumerate(want)) and len(set(want)) > 2
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Pieces of the signature that never agree cut all large buckets to single nodes in the second
+    turn; the last turn still finds every link, and a bucket's largest group is not dealt in pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "BUCKET", 3)
+    monkeypatch.setattr(near_dedup, "JOIN", 2)
+    monkeypatch.setattr(near_dedup, "PIECES", 1)
+    monkeypatch.setattr(near_dedup, "PIECE", 256)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[i * 2:] + [f"y{k}" for k in range(i * 2)]) for i in range(24)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        num=94).collect()}
+    assert got == {i: 0 for i in range(24)}  # each text is linked with the next ones only
+    members = spark.createDataFrame(
+        [(1, bytes([n]), b"main" if n < 20 else bytes([n])) for n in range(23)],
+        "band long, node binary, comp binary")
+    whole, dealt = near_dedup._cut(members, None, 0)
+    rows = dealt.collect()
+    met = {frozenset((x.node, y.node)) for x in rows for y in rows if (x.i, x.j) == (y.i, y.j)
+           and x.node != y.node and x.comp != y.comp}
+    assert whole.count() == 0 and len(met) == 20 * 3 + 3
+    assert sum(r.comp == b"main" for r in rows) <= 20 * 2
+
+
 def kneser_ney(texts, alone, order=3):
     """Brute force: (n-grams, perplexity) per text, one of ``texts`` if ``alone`` is its place."""
     def grams(t):

@@ -15,17 +15,19 @@ nodes that are linked by then are one group:
    would join groups, the likeliest first: fewer than the bucket has nodes;
 3. the survivors between groups that are still different are sent on, all of them.
 
-A bucket of more than ``BUCKET`` nodes is cut by further pieces of the long signature, ``PIECES``
-times, so that its nodes meet those that are more alike; its rows follow its nodes, not their pairs.
-A pair at the threshold shares about half of the bands and meets again in one of the pieces of such
-a bucket with 0.85, so all its buckets miss it with a probability of 3e-8. What is large after
-``CUTS`` cuts is compared in blocks. Nothing is capped or skipped.
+The second turn starts from buckets of ``JOIN`` nodes and cuts those of more than ``BUCKET`` by further
+pieces of the long signature, up to ``CUTS`` times, so that nodes meet those that are more alike; it
+may miss a pair. The last turn cuts nothing: a bucket of more than ``BUCKET`` nodes is compared in
+blocks. Its largest group by then needs no pairs within itself, so blocks of the other nodes meet all
+blocks, blocks of that group only these. A pair of different groups that shares a bucket is compared
+there, whatever the bucket's size; nothing is capped or skipped.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -43,6 +45,7 @@ VALUES = 512  # one-byte values of a candidate's long signature
 BATCH = 64
 MISS = 1e-6
 BUCKET = 1024  # nodes of a bucket that are compared as they are
+JOIN = 64
 BLOCK = 1024  # nodes of a bucket that one side of a comparison task holds
 PIECES, PIECE = 4, 6  # pieces of the long signature that cut a large bucket, and their bytes
 CUTS = 4
@@ -190,46 +193,54 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield rest
 
 
-def _cut(members: DataFrame, sigs: DataFrame) -> list[DataFrame]:
+def _cut(members: DataFrame, sigs: DataFrame, cuts: int) -> list[DataFrame]:
     """Buckets of several groups as written tables band, node, comp, i, j, own. i and j number the
     blocks of a bucket that are compared; own is a node's block."""
-    parts = []
-    for turn in range(CUTS + 1):
-        sizes = settle(members.groupBy("band").agg(
-            F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .where("lo <> hi").select("band", "k"), "bucket-sizes")
-        if turn == CUTS:  # what is still large in blocks
-            blocks = sizes.select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-            own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-            parts.append(settle(
-                members.join(blocks, "band").withColumn("own", own)
-                .select("band", "node", "comp", "own",
-                        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-                .select("band", "node", "comp", "own", F.least("own", "other").alias("i"),
-                        F.greatest("own", "other").alias("j")), "bucket-blocks"))
-            discard(sizes)
-            return parts
-        large = sizes.where(F.col("k") > BUCKET).select("band")
-        zero = F.lit(0)
+    parts, zero = [], F.lit(0)
+    for turn in range(cuts + 1):
+        sizes = settle(
+            members.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(
+                F.sum("n").alias("k"), F.max(F.struct("n", "comp")).alias("most"),
+                F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where("lo <> hi").select("band", "k", "most"), "bucket-sizes")
+        large = sizes.where(F.col("k") > BUCKET)
         parts.append(settle(
             members.join(sizes.where(F.col("k") <= BUCKET).select("band"), "band")
             .select("band", "node", "comp", zero.alias("own"), zero.alias("i"), zero.alias("j")),
             "bucket-whole"))
         if large.isEmpty():
             discard(sizes)
-            return parts
-        piece = F.pmod(F.col("band") + F.lit(turn * PIECES) + F.col("p"), F.lit(VALUES // PIECE))
-        members = settle(
-            members.join(large, "band").join(sigs, "node")
-            .select("band", "node", "comp", "sig", F.explode(F.sequence(
-                F.lit(0), F.lit(PIECES - 1))).alias("p"))
-            .select(F.xxhash64("band", "p", F.substr("sig", (piece * PIECE + 1).cast("int"),
-                                                     F.lit(PIECE))).alias("band"),
-                    "node", "comp"), "bucket-pieces")
+            break
+        if turn == cuts:  # what is still large in blocks
+            parts.append(settle(_blocks(members, large), "bucket-blocks"))
+        else:
+            piece = F.pmod(F.col("band") + F.lit(turn * PIECES) + F.col("p"), F.lit(VALUES // PIECE))
+            members = settle(
+                members.join(large.select("band"), "band").join(sigs, "node")
+                .select("band", "node", "comp", "sig", F.explode(F.sequence(
+                    F.lit(0), F.lit(PIECES - 1))).alias("p"))
+                .select(F.xxhash64("band", "p", F.substr("sig", (piece * PIECE + 1).cast("int"),
+                                                         F.lit(PIECE))).alias("band"),
+                        "node", "comp"), "bucket-pieces")
         discard(sizes)
     return parts
 
 
+def _blocks(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs of blocks of the ``large`` buckets, but for pairs within a bucket's largest group."""
+    sides = large.select(
+        "band", F.col("most.comp").alias("main"),
+        F.ceil(F.col("most.n") / BLOCK).cast("int").alias("a"),
+        F.ceil((F.col("k") - F.col("most.n")) / BLOCK).cast("int").alias("b"))
+    inside, h, first = F.col("comp") == F.col("main"), F.xxhash64("node"), F.col("a")
+    own = F.when(inside, F.pmod(h, "a")).otherwise(first + F.pmod(h, "b")).cast("int")
+    others = F.sequence(F.when(inside, first).otherwise(F.lit(0)), first + F.col("b") - 1)
+    return (members.join(sides, "band").withColumn("own", own)
+            .select("band", "node", "comp", "own", F.explode(others).alias("other"))
+            .select("band", "node", "comp", "own", F.least("own", "other").alias("i"),
+                    F.greatest("own", "other").alias("j")))
+
+
 def _met_before(a: np.ndarray, b: np.ndarray, band: np.ndarray, tags: np.ndarray) -> np.ndarray:
     """Which pairs share a bucket with a smaller number than ``band``; that one sends them on."""
     out = np.zeros(len(a), bool)
@@ -263,7 +274,7 @@ def _across(cut: list[DataFrame], sigs: DataFrame, least: list[int], every: bool
 
     Blocks of buckets are sorted runs in a partition; a partition's runs are compared together, row r
     with row r + 1, r + 2 ... of its run, so that small buckets cost no call of their own. A pair that
-    meets in several uncut buckets is sent on by the first of them; each row carries their numbers.
+    meets in several buckets is sent on by the first of them; each row carries their numbers.
     """
     run = ["band", "i", "j"]
 
@@ -378,14 +389,16 @@ def _judged(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> Data
             centre = placed.groupBy("band").agg(F.min("node").alias("c"))
             pairs = _pruned(placed.join(centre, "band").where("node <> c").select(
                 F.col("c").alias("a"), F.col("node").alias("b")).distinct(), sigs, least)
-        else:  # a bucket of two was compared in the first turn, but for one cut from a larger one
+        else:  # a bucket of two was compared in the first turn
             if cut:
                 discard(*cut)
-            sizes = members.groupBy("band").agg(F.count("*").alias("k")).where("k > 2")
-            cut = _cut(placed.join(sizes.select("band"), "band"), sigs)
-            listed = cut[0].groupBy("node").agg(F.sort_array(F.collect_set("band")).alias("tags"))
+            every = turn == "every"
+            sizes = members.groupBy("band").agg(F.count("*").alias("k")).where(
+                F.col("k") > (2 if every else JOIN))
+            cut = _cut(placed.join(sizes.select("band"), "band"), sigs, 0 if every else CUTS)
+            listed = reduce(DataFrame.union, cut if every else cut[:1]).groupBy("node").agg(F.sort_array(F.collect_set("band")).alias("tags"))
             tagged = settle(sigs.join(listed, "node", "left"), "tagged-signatures")
-            pairs = _across(cut, tagged, least, turn == "every")
+            pairs = _across(cut, tagged, least, every)
         pairs = settle(pairs, "pairs")
         if turn != "star":
             discard(tagged)
