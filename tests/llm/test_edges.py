@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -460,3 +461,19 @@ def test_components(spark):
     got = {r.node: r.comp for r in graph.components(df).collect()}
     assert got == {f"n{a:05d}": f"n{b:05d}" for a, b in best.items()}
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_texts_are_cut_into_words_once(spark):
+    odd = ["", None, " ", "A b", " -x- ", "\x00a\x00\x7fb\n\r C", "É İ \U0001f600x", "[a]", "a.b.c.d.E"]
+    docs = spark.createDataFrame([(t, t) for t in odd], "_key string, text string")
+    words = docs.select("_key", decontaminate.words_of(F.col("text")).alias("_w"))
+    want = {t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            for t in odd}
+    assert {r._key: r._w for r in words.collect()} == want
+    found = decontaminate.positions(words, 2)
+    assert sorted((r._key, r._n, r._p) for r in found.collect()) == sorted(
+        (t, len(w), i) for t, w in want.items() for i in range(len(w) - 1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "[_key#" in generate and "_w#" not in generate.rsplit("[_key#", 1)[1].split("]")[0]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from voltarc.llm.common import ascii_lower, others, settle, shielded
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 SHINGLE = 5
 RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -27,7 +27,7 @@ RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 def words_of(text: Column) -> Column:
     """Runs of digits, letters and anything beyond ASCII, A-Z lower-cased; NULL has none."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)),
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), BREAK), ""),
                       F.array().cast("array<string>"))
 
 
@@ -43,6 +43,15 @@ def _shingles(words: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: _shingle(words, i, n))
 
 
+def positions(narrow: DataFrame, n: int) -> DataFrame:
+    """_key, _n, _p, token: the shingles of n words of ``narrow`` (_key, _w) with their places. Short
+    texts have none; a filter by their length would make Spark cut every text into words twice, and
+    the length is taken before the explode, which copies what its rows need."""
+    hashes = F.when(F.col("_n") >= n, _shingles(F.col("_w"), n))
+    return narrow.select("_key", "_w", F.size("_w").alias("_n")).select(
+        "_key", "_n", F.posexplode(hashes).alias("_p", "token"))
+
+
 def windows(items: DataFrame, item: str = "item_id", text: str = "text",
             window: int = WINDOW) -> DataFrame:
     """Distinct windows: wtext (words joined by spaces), wlen, items (the ids that hold it)."""
@@ -96,11 +105,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: st
               .select(key.alias("_key"), words_of(F.col(f"`{text}`")).alias("_w")))
     found = None
     for n in sizes:
-        hashes = _shingles(F.col("_w"), n)
-        rows = (narrow.where(F.size("_w") >= n)
-                .select("_key", F.size("_w").alias("_n"), F.posexplode(hashes).alias("_p", "token")))
         start = F.col("_p") - F.col("offset")
-        met = (rows.join(tokens.where(F.col("size") == n), "token")
+        met = (positions(narrow, n).join(tokens.where(F.col("size") == n), "token")
                .where((start >= 0) & (start + F.col("wlen") <= F.col("_n")))
                .select("_key", start.alias("start"), "wlen", "wtext"))
         found = met if found is None else found.unionByName(met)
