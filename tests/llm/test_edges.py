@@ -477,3 +477,29 @@ def test_texts_are_cut_into_words_once(spark):
     assert plan.count("split(") == 1
     generate = next(line for line in plan.splitlines() if "Generate" in line)
     assert "[_key#" in generate and "_w#" not in generate.rsplit("[_key#", 1)[1].split("]")[0]
+
+
+@pytest.mark.parametrize("local", [0, 1 << 17])
+def test_components_of_few_edges_end_in_one_task(spark, monkeypatch, local):
+    from voltarc.llm import graph
+
+    written = []
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    monkeypatch.setattr(graph, "settle", lambda df, name, real=graph.settle: written.append(name) or real(df, name))
+    edges = spark.createDataFrame([(f"n{i:03d}".encode(), f"n{i + 1:03d}".encode()) for i in range(60)] +
+                                  [(b"x", b"z"), (b"y", b"x")], "u binary, v binary").repartition(7)
+    got = {bytes(r.node): bytes(r.comp) for r in graph.components(edges).collect()}
+    assert got == {f"n{i:03d}".encode(): b"n000" for i in range(61)} | {k: b"x" for k in (b"x", b"y", b"z")}
+    assert len(written) == 2 if local else len(written) > 2
+
+
+def test_few_texts_move_to_the_join(spark):
+    """Every key that is held is marked, others only by chance, NULL included."""
+    texts = [None, "", *[f"text {i}" for i in range(3000)]]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn(
+        "_key", near_dedup._key(F.col("text")))
+    for held in (set(texts[:40]), set(texts[1:3]), set()):
+        keys = docs.where(F.col("text").isin([t for t in held if t is not None])
+                          | (F.col("text").isNull() & F.lit(None in held)))
+        got = {r.text for r in near_dedup._marked(docs, keys).where("_maybe").collect()}
+        assert held <= got and len(got) <= len(held) + 3

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 from voltarc.llm.common import discard, settle
 
+LOCAL_EDGES = 1 << 17  # edges that one task contracts to the end
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All edges of a task as stars."""
+    return _contract(iter([pd.concat([pd.DataFrame(columns=["u", "v"]), *batches])]))
+
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges of a batch as stars around the least node of each of its parts."""
@@ -37,8 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges``: u, v of any orderable type. Returns node, comp (the least node reachable) for
     every node of an edge.
 
-    Tasks first contract their batches of edges to stars. Then large-star and small-star steps
-    alternate until nothing changes: every node hangs its greater (then its lesser) neighbours on its
+    Tasks first contract their batches of edges to stars. Up to ``LOCAL_EDGES`` edges that are left
+    then are contracted in one task. While there are more, large-star and small-star steps alternate
+    until nothing changes: every node hangs its greater (then its lesser) neighbours on its
     least neighbour. A node's least neighbour is a grouped minimum, combined before the shuffle, and
     is joined back to the edges, a join that Spark splits where one node has very many; no node's
     neighbours are gathered. Each step is cut by a table in the shared folder, removed after use.
@@ -49,6 +57,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settle(edges.sortWithinPartitions("v", "u").mapInPandas(_contract, kinds), "edges")
     before = None
     while True:
+        if edges.count() <= LOCAL_EDGES:
+            rest, edges = edges, settle(edges.coalesce(1).mapInPandas(_finish, kinds), "edges")
+            discard(rest)
+            break
         both = _both(edges)  # large star
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = settle(both.where("v > u").join(least, "u").select(
