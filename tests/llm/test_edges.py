@@ -371,6 +371,34 @@ def test_perplexity_by_brute_force(spark):
         assert got[i].n_grams == n and got[i].perplexity == pytest.approx(value)
 
 
+def test_perplexity_in_slices_by_brute_force(spark, monkeypatch):
+    """Many batches, slices and parts; words of white space and scripts of several kinds."""
+    monkeypatch.setattr(perplexity, "BATCH_BYTES", 200)
+    monkeypatch.setattr(perplexity, "PART_BYTES", 150)
+    rng = np.random.default_rng(8)
+    texts = [sentences(rng, int(rng.integers(1, 9))) for _ in range(30)]
+    texts += [texts[3], "", None, "ünï\u2003cödé\tthe\x1c red \U0001f600x", "the \u6f22 \u5b57 the", "red " * 40]
+    trusted = [*range(0, 30, 2), 30, 33, 34, 35]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r.doc_id: r for r in perplexity.judge(
+        docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+    held = [texts[i] or "" for i in trusted]
+    for i, t in enumerate(texts):
+        n, value = kneser_ney(held, trusted.index(i) if i in trusted else None)(t or "")
+        assert got[i].n_grams == n and got[i].perplexity == pytest.approx(value)
+
+
+def test_perplexity_requests_are_small(spark):
+    """What a slice of requests puts on disk; rows of strings took many times the text."""
+    docs = (spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+            .selectExpr("0 as _batch", "text as _text", "doc_id % 3 = 0 as _own").coalesce(1))
+    size = docs.selectExpr("sum(octet_length(_text))").first()[0]
+    dealing = perplexity.Dealing(perplexity.SLICES, 1, 1, 1)
+    for k in (3, 2):
+        rows = perplexity._requests(docs, dealing, k, 0)
+        assert rows.selectExpr("sum(length(blob))").first()[0] < 0.6 * size
+
+
 def test_perplexity_hears_word_order(spark):
     """Unseen texts in the usual order pass; the same words in senseless order do not."""
     rng = np.random.default_rng(6)

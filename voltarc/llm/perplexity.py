@@ -1,17 +1,22 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of word n-grams.
 
-The model is learned from trusted texts. Counts of n-grams, of their continuations and of their
-contexts are grouped tables, sharded by n-gram, and together they are one table of n-grams of all
-orders. A text's perplexity needs the entries of its n-grams and their contexts, so documents are
-dealt into batches by a hash; a batch asks for each of them once, the requests are joined with the
-table, and what is found goes back to the batches. A trusted text is scored without its own counts,
-as it would else know itself by heart. A document passes if its perplexity is at most a quantile of
-the trusted documents' perplexities in its language.
+The model is learned from trusted texts. A document passes if its perplexity is at most a quantile of
+the trusted documents' perplexities in its language. A trusted text is scored without its own counts,
+as it would else know itself by heart.
 
 n-grams are strings of ``ORDER`` words, after ``ORDER - 1`` start marks and before an end mark. Words
-are what white space separates; characters of scripts of East Asia are words by themselves. What
-is gathered grows with the corpus; the number of batches follows the size of the input, so a batch
-stays small. The same code counts n-grams of characters (``CHARACTERS``).
+are what white space separates; characters of scripts of East Asia are words by themselves.
+
+Most n-grams of words are rare, so counts and requests are as many as the words of the corpus. They
+move as blobs of numbered words, known by 64-bit hashes, and a slice of all bigrams at a time: the
+documents are read again for each slice, and the disk holds the requests of one. Documents are dealt
+into batches by a hash. For each order from the highest down, batches ask for their n-grams, these
+requests meet the counts in parts dealt by a hash of the n-gram, and a part answers each batch in the
+order of the hashes, and hands what it counted to the order below. At last a batch's texts meet its
+answers. ``SLICES`` does not depend on the input, so work and disk grow with it in proportion.
+
+``count_grams`` and ``log_probabilities`` give the same model as tables of n-grams of characters or
+words.
 """
 
 from __future__ import annotations
@@ -19,23 +24,31 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltarc.functions.quantiles import group_quantiles
-from voltarc.llm.common import settle, shielded
+from voltarc.llm.common import discard, settle, shielded
 
 ORDER = 3
 BATCH_BYTES = 4 << 20  # of text in a batch, about
 PARTITION_BYTES = 256 << 20  # of text in a task that goes through batches, about
 PACK_BYTES = 32 << 20  # of rows that a task holds before it packs them
-PORTION = 2_000_000  # characters that are numbered at a time
+PORTION = 200_000  # characters that are numbered at a time, so that they stay in a core's cache
+PART_BYTES = 6 << 20  # of text whose n-grams meet in a part, about
+HELD = 1 << 20  # n-grams that a task holds before it packs them
+MERGED = 1 << 20  # n-grams of blobs that a task holds before it merges them
+SLICES = 5  # of all bigrams, and with them of the n-grams that begin or end in them
+WORD_SLICES = 2
+SCORE_SLICES = 4  # of the batches
 BROADCAST_IDS = 2_000_000
 QUANTILE = 0.995
 RESULTS = ["n_grams", "perplexity", "threshold", "kept"]
@@ -87,12 +100,6 @@ class _Grams:
             before = np.concatenate([[0], self.ids[-1][:-1]])
             self.ids.append(np.unique(before * len(base) + codes, return_inverse=True)[1])
 
-    def used(self, k: int) -> tuple[np.ndarray, list[str]]:
-        """Numbers and names of the k-grams that are looked up, also as contexts."""
-        ends = self.at if k == self.units.order else np.concatenate([self.at, self.at - 1])
-        ids, first = np.unique(self.ids[k - 1][ends], return_index=True)
-        return ids, self.names(ends[first], k)
-
     def names(self, ends: np.ndarray, k: int) -> list[str]:
         join, flat = self.units.separator.join, self.flat
         return [join(flat[i - k + 1:i + 1]) for i in ends.tolist()]
@@ -138,18 +145,19 @@ def tables(counts: DataFrame, units: Units = CHARACTERS) -> list[DataFrame]:
     return out[::-1]
 
 
-def _discounts(tables_: list[DataFrame]) -> list[list[float]]:
-    """D1, D2, D3+ per order, from how many n-grams have the counts 1 to 4; where these give none
+def _discount(times: list[int]) -> list[float]:
+    """D1, D2, D3+ from how many n-grams of an order have the counts 1 to 4; where these give none
     between 0 and the count, half the count, so that no probability is 0."""
-    out = []
-    for t in tables_:
-        r = t.agg(*[F.sum((F.col("n") == i).cast("long")) for i in range(1, 5)]).first()
-        n1, n2, n3, n4 = [x or 0 for x in r]
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        d = [i - (i + 1) * y * b / a if a else 0.0
-             for i, (a, b) in enumerate([(n1, n2), (n2, n3), (n3, n4)], 1)]
-        out.append([x if 0 < x <= i else i / 2 for i, x in enumerate(d, 1)])
-    return out
+    n1, n2, n3, n4 = times
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    d = [i - (i + 1) * y * b / a if a else 0.0
+         for i, (a, b) in enumerate([(n1, n2), (n2, n3), (n3, n4)], 1)]
+    return [x if 0 < x <= i else i / 2 for i, x in enumerate(d, 1)]
+
+
+def _discounts(tables_: list[DataFrame]) -> list[list[float]]:
+    return [_discount([x or 0 for x in t.agg(*[
+        F.sum((F.col("n") == i).cast("long")) for i in range(1, 5)]).first()]) for t in tables_]
 
 
 class Model:
@@ -188,34 +196,50 @@ class Scorer:
     t1: int
     d1: float
 
-    def logs(self, grams: _Grams, found: dict[str, tuple[float, float, float]],
-             own: np.ndarray) -> np.ndarray:
-        """Log-probability of each unit at ``grams.at``. A text that ``own`` marks is taken out of the
-        counts, an n-gram that only it holds also out of the counts of shorter ones."""
-        at, which, order = grams.at, grams.which, self.units.order
-        looked = []
-        for k in range(1, order + 1):
-            ids, names = grams.used(k)
-            values = np.zeros((int(grams.ids[k - 1].max()) + 1, 3))
-            values[ids] = [found.get(x, (0.0, 0.0, 0.0)) for x in names]
-            looked.append(values)
+    def values(self, k: int, answers: np.ndarray) -> np.ndarray:
+        """n, t and d of k-grams from n, the rest of t, and how many followers have the counts 1, 2, more."""
+        out = np.zeros((len(answers), 3))
+        out[:, 0] = answers[:, 0]
+        if k < self.units.order:
+            out[:, 1] = answers[:, 1] + answers[:, 2:] @ np.arange(1, 4)
+            out[:, 2] = answers[:, 2:] @ np.array(self.discounts[k])
+        return out
+
+    def logs(self, at: np.ndarray, which: np.ndarray, ids: list[np.ndarray],
+             looked: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+        """Log-probability of each unit ``at`` a place, of text ``which``. ``ids[k - 1]`` numbers the
+        k-gram that ends at a place, ``looked[k - 1]`` has n, t and d of each number. A text that
+        ``own`` marks is taken out of the counts, an n-gram that only it holds also out of the counts
+        of shorter ones."""
+        out, mine = np.empty(len(at)), own[which] > 0
+        for known in (False, True):
+            pick = mine == known
+            out[pick] = self._logs(at[pick], which[pick], ids, looked, known)
+        return out
+
+    def _logs(self, at: np.ndarray, which: np.ndarray, ids: list[np.ndarray],
+              looked: list[np.ndarray], known: bool) -> np.ndarray:
         levels, gone, first_above = [], None, None
-        for k in range(order, 0, -1):
+        for k in range(self.units.order, 0, -1):
             d = np.array([0.0, *self.discounts[k - 1]])
             off = lambda n: d[np.minimum(n, 3).astype(np.int64)]  # noqa: B023, E731
-            gram = grams.ids[k - 1][at]
+            gram = ids[k - 1][at]
+            if k > 1:
+                context = ids[k - 2][at - 1]
+                t, mass = looked[k - 2][context, 1], looked[k - 2][context, 2]
+            else:
+                t, mass = np.full(len(at), float(self.t1)), self.d1
+            if not known:
+                n = looked[k - 1][gram, 0]
+                levels.append((n - off(n), t, mass))
+                continue
             _, first, place, times = np.unique(which * len(looked[k - 1]) + gram, return_index=True,
                                                return_inverse=True, return_counts=True)
-            mine = (times * own[which[first]] if gone is None
-                    else np.bincount(place[first_above], gone, len(first)))
+            mine = times if gone is None else np.bincount(place[first_above], gone, len(first))
             n = looked[k - 1][gram[first], 0]
             left = np.maximum(n - mine, 0)
-            if k > 1:
-                context = grams.ids[k - 2][at - 1]
-                _, group = np.unique(which * len(looked[k - 2]) + context, return_inverse=True)
-                t, mass = looked[k - 2][context, 1], looked[k - 2][context, 2]
-            else:
-                group, t, mass = which, float(self.t1), self.d1
+            group = which if k == 1 else np.unique(which * len(looked[k - 2]) + context,
+                                                   return_inverse=True)[1]
             t = t - np.bincount(group[first], mine)[group]
             mass = mass - np.bincount(group[first], off(n) - off(left))[group]
             levels.append((np.maximum(left - off(left), 0)[place], t, np.maximum(mass, 0)))
@@ -240,12 +264,12 @@ def log_probabilities(requests: DataFrame, counts: DataFrame, units: Units = CHA
                .agg(F.collect_list(F.struct("gram", *"ntd")).alias("found")))
 
     def one(gram: str, rows) -> float:
-        grams = _Grams([""], units)  # start marks and one unit, replaced by those of the gram
         own = gram.split(units.separator) if units.separator else list(gram)
-        grams.flat, grams.at, grams.which = own, np.array([order - 1]), np.array([0])
-        grams.ids = [np.arange(order, dtype=np.int64)] * order
         found = {r["gram"]: (r["n"], r["t"], r["d"]) for r in ([] if rows is None else rows)}
-        return float(scorer.logs(grams, found, np.zeros(1))[0])
+        looked = [np.array([found.get(units.separator.join(own[max(i - k, 0):i]), (0.0, 0.0, 0.0))
+                            for i in range(1, order + 1)]) for k in range(1, order + 1)]
+        return float(scorer.logs(np.array([order - 1]), np.zeros(1, np.int64),
+                                 [np.arange(order)] * order, looked, np.zeros(1))[0])
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -286,65 +310,431 @@ def _unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
 
 
-def perplexities(docs: DataFrame, counts: DataFrame, text: str = "text", own: str = "_known",
-                 units: Units = WORDS) -> DataFrame:
-    """Add n_grams and perplexity, without the text. ``own`` marks the rows that were counted.
-    Documents are dealt by a hash of all their columns and packed before they move; that one shuffle
-    serves the requests and the scoring."""
+_SPACES = [c for c in range(0x3001) if chr(c).isspace()]
+_KINDS = np.zeros(0x110000, np.uint8)  # of code points: 1 white space, 2 a word by itself
+_KINDS[_SPACES] = 1
+for _low, _high in zip(_EAST[::3], _EAST[2::3]):
+    _KINDS[ord(_low):ord(_high) + 1] = 2
+_POWER = 0x9E3779B97F4A7C15
+_START, _END = np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash per row of words."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = _mixed(out * np.uint64(_POWER) + c)
+    return out
+
+
+@lru_cache(1)
+def _powers(n: int) -> np.ndarray:
+    """The first powers of a number and of its inverse, modulo 2^64."""
+    steps = np.ones((2, n), np.uint64)
+    steps[0, 1:], steps[1, 1:] = _POWER, pow(_POWER, -1, 1 << 64)
+    return np.cumprod(steps, axis=1, dtype=np.uint64)
+
+
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some texts in a row, and how many each text has. A word's hash is a polynomial
+    in its code points, so differences of one running sum give those of all words."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _KINDS[points]
+    plain, alone = kinds == 0, kinds == 2
+    inside = np.concatenate([[False], plain, [False]])
+    begins = np.flatnonzero(alone | (plain & ~inside[:-2]))
+    ends = np.flatnonzero(alone | (plain & ~inside[2:])) + 1
+    up, down = _powers(1 << len(points).bit_length())
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_mixed(points + np.uint64(1)) * up[:len(points)], out=total[1:])
+    words = _mixed((total[ends] - total[begins]) * down[begins])
+    closes = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.diff(np.searchsorted(begins, closes), prepend=0)
+
+
+class _Hashed:
+    """Like ``_Grams`` with a hash per word: ``flat`` has start marks, words and an end mark of each text."""
+
+    def __init__(self, texts: list[str]):
+        lead, parts = ORDER - 1, [_word_hashes(texts[a:b]) for a, b in _portions(texts)]
+        words = np.concatenate([np.zeros(0, np.uint64), *[w for w, _ in parts]])
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]]) + 1
+        text = np.repeat(np.arange(len(texts)), self.sizes - 1)
+        self.flat = np.full(len(words) + (lead + 1) * len(texts), _START)
+        self.flat[np.arange(len(words)) + text * (lead + 1) + lead] = words
+        self.flat[np.cumsum(self.sizes + lead) - 1] = _END
+
+    def ends(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the k-grams that matter end, also as contexts, and the text of each."""
+        more = 0 if k == ORDER else 1  # the start mark before the first word is a context
+        which = np.repeat(np.arange(len(self.sizes)), self.sizes + more)
+        return np.arange(len(which)) + (which + 1) * (ORDER - 1 - more), which
+
+    def columns(self, ends: np.ndarray, k: int) -> list[np.ndarray]:
+        return [self.flat[ends - j] for j in range(k - 1, -1, -1)]
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """In order; sorting is many times faster here than the hashing of ``np.unique``."""
+    numbers = np.sort(numbers)
+    return numbers[np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])[:len(numbers)])]
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in order, a place of each, and for each place which of them it has."""
+    names, number = np.unique(ids, return_inverse=True)
+    places = np.empty(len(names), np.int64)
+    places[number] = np.arange(len(ids))
+    return names, places, number
+
+
+def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0, each in as few bytes as its largest needs, first bytes first."""
+    small = [a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)) for a in arrays]
+    head = np.array([len(small), *[x for a in small for x in (a.itemsize, len(a))]], np.int64)
+    return zstandard.compress(head.tobytes() + b"".join(
+        a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in small))
+
+
+def _arrays(blob: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(blob)
+    head = np.frombuffer(data, np.int64, 1 + 2 * int(np.frombuffer(data, np.int64, 1)[0]))
+    out, at = [], head.nbytes
+    for size, n in head[1:].reshape(-1, 2).tolist():
+        a = np.frombuffer(data, np.uint8, size * n, at).reshape(size, n).T
+        a = np.ascontiguousarray(a).view(f"u{size}").reshape(n) if n else np.zeros(0, "u1")
+        out.append(a.astype(np.uint64 if size == 8 else np.int64, copy=False))
+        at += size * n
+    return out
+
+
+def _sorted_blob(ids: np.ndarray, *rest: np.ndarray) -> bytes:
+    return _blob(np.diff(ids, prepend=np.uint64(0)), *rest)
+
+
+def _grams_blob(columns: list[np.ndarray], *rest: np.ndarray) -> bytes:
+    """Rows of words as numbers of a list of words, in order, and columns beside them."""
+    words, codes = np.unique(np.concatenate(columns), return_inverse=True)
+    codes = codes.reshape(len(columns), -1)
+    order = np.argsort(codes[0], kind="stable")
+    return _sorted_blob(words, *codes[:, order], *[r[order] for r in rest])
+
+
+def _grams_of(blob: bytes, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    words, *arrays = _arrays(blob)
+    words = np.cumsum(words.astype(np.uint64), dtype=np.uint64)
+    return [words[c] for c in arrays[:k]], [a.astype(np.int64) for a in arrays[k:]]
+
+
+#: Rows between jobs: requests, trigrams of trusted texts by their last two words, counts for the
+#: order below, answers (key: the batch) and sums over a part.
+_ASKED, _ENDING, _COUNTED, _ANSWER, _SUMS = range(5)
+_ROWS = "kind int, level int, key int, part int, blob binary, sums array<long>"
+_SUMMED = ["n1", "n2", "n3", "n4", "grams", "total"]
+
+
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+    columns = zip(*rows) if rows else [[]] * len(types)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)],
+                           names=["kind", "level", "key", "part", "blob", "sums"])
+
+
+def _runs(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, start and end of each run of equal values."""
+    values, starts = np.unique(sorted_, return_index=True)
+    yield from zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_)])
+
+
+@dataclass
+class Dealing:
+    """How n-grams are dealt: a bigram's hash gives its slice, an n-gram's hash its part of a slice."""
+    slices: int
+    parts: int
+    word_slices: int
+    word_parts: int
+
+    def part(self, columns: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """The part of each k-gram; parts of a slice follow one another, and ids in a slice's parts."""
+        return self.in_slice(self.slice(columns, ids), ids, len(columns))
+
+    def slice(self, columns: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+        if len(columns) == 1:
+            return (ids % np.uint64(self.word_slices)).astype(np.int64)
+        ids = ids if len(columns) == 2 else _hashed(columns[:2])
+        return (ids % np.uint64(self.slices)).astype(np.int64)
+
+    def in_slice(self, s: np.ndarray | int, ids: np.ndarray, k: int) -> np.ndarray:
+        parts = self.word_parts if k == 1 else self.parts
+        return s * parts + ((ids >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _requests(dealt: DataFrame, dealing: Dealing, k: int, s: int) -> DataFrame:
+    """A row per task's share and part: the distinct k-grams of slice ``s`` in each batch; for the
+    highest order also the n-grams of trusted texts, and those whose last words are of the slice."""
+    def asked(batch: np.ndarray, ids: np.ndarray, batches: int) -> Iterator[tuple]:
+        ids, place = np.unique(ids, return_inverse=True)
+        key = _distinct(place * batches + batch)
+        times, batch = np.bincount(key // batches, minlength=len(ids)), key % batches
+        ends = np.cumsum(times)
+        for p, a, b in _runs(dealing.in_slice(s, ids, k)):
+            yield _ASKED, k, p, p, _sorted_blob(ids[a:b], times[a:b],
+                                                batch[ends[a] - times[a]:ends[b - 1]]), None
+
+    def trusted(kind: int, ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+        ids, places, number = _numbered(ids)
+        columns, times = [c[places] for c in columns], np.bincount(number)
+        for p, a, b in _runs(dealing.in_slice(s, ids, k)):
+            yield kind, k, p, p, _grams_blob([c[a:b] for c in columns], times[a:b]), None
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {_ASKED: [], _COUNTED: [], _ENDING: []}
+
+        def flushed(least: int) -> Iterator[pa.RecordBatch]:
+            for kind, got in held.items():
+                if sum(len(x[0]) for x in got) >= least:
+                    columns = [np.concatenate(c) for c in zip(*got)]
+                    got.clear()
+                    if kind == _ASKED:
+                        out = asked(*columns, int(columns[0].max()) + 1)
+                    else:
+                        out = trusted(kind, *columns)
+                    yield _row_batch(list(out))
+
+        for rb in rows:
+            texts, batch = rb["_text"].to_pylist(), rb["_batch"].to_numpy()
+            known = np.array(rb["_own"].to_pylist(), bool)
+            for a, b in _portions(texts):
+                grams = _Hashed(texts[a:b])
+                ends, which = grams.ends(k)
+                columns = grams.columns(ends, k)
+                ids = _hashed(columns)
+                pick = np.flatnonzero(dealing.slice(columns, ids) == s)
+                held[_ASKED].append((batch[a:b][which[pick]].astype(np.int64), ids[pick]))
+                if k == ORDER:
+                    own = known[a:b][which]
+                    pick = pick[own[pick]]
+                    held[_COUNTED].append((ids[pick], *[c[pick] for c in columns]))
+                    own = np.flatnonzero(own)
+                    last = [c[own] for c in columns[1:]]
+                    pick = own[dealing.slice(last, _hashed(last)) == s]
+                    held[_ENDING].append((ids[pick], *[c[pick] for c in columns]))
+                yield from flushed(HELD)
+        yield from flushed(1)
+
+    return dealt.mapInArrow(ask, _ROWS)
+
+
+class _Counts:
+    """n-grams with sums beside them, merged while they come."""
+
+    def __init__(self, k: int, width: int):
+        self.k, self.width, self.new = k, width, 0
+        self.held = [(np.zeros(0, np.uint64), *[np.zeros(0, np.uint64)] * k,
+                      np.zeros((0, width), np.int64))]
+
+    def add(self, columns: list[np.ndarray], values: np.ndarray) -> None:
+        self.held.append((_hashed(columns), *columns, values))
+        self.new += len(values)
+        if self.new > MERGED:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Hashes in order, words, sums."""
+        ids, *columns, values = [np.concatenate(c) for c in zip(*self.held)]
+        ids, places, number = _numbered(ids)
+        columns = [c[places] for c in columns]
+        sums = np.zeros((len(ids), self.width), np.int64)
+        for j in range(self.width):
+            sums[:, j] = np.rint(np.bincount(number, values[:, j], len(ids)))
+        self.held, self.new = [(ids, *columns, sums)], 0
+        return ids, columns, sums
+
+
+def _sums(n: np.ndarray) -> list[int]:
+    return [*[int((n == i).sum()) for i in range(1, 5)], int((n > 0).sum()), int(n.sum())]
+
+
+def _answers(rows: DataFrame, dealing: Dealing, k: int) -> DataFrame:
+    """Per part: answers to the batches, counts for the order below, sums over the part. Values are n,
+    as a context the total t, and how many k-grams that follow have the counts 1, 2, more."""
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        counts, ending = _Counts(k, 1 if k == ORDER else 5), _Counts(k, 0)
+        asked, new = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist()):
+            if kind == _ASKED:
+                wanted, times, batch = _arrays(blob)
+                wanted = np.cumsum(wanted.astype(np.uint64), dtype=np.uint64)
+                asked.append((np.repeat(wanted, times), batch))
+                new += len(batch)
+                if new > MERGED:
+                    wanted, place, batch = merged(asked)
+                    asked, new = [(wanted[place], batch)], 0
+                continue
+            columns, rest = _grams_of(blob, k)
+            if kind == _COUNTED:
+                counts.add(columns, np.stack(rest, axis=1))
+            else:
+                ending.add(columns, np.zeros((len(columns[0]), 0), np.int64))
+        ids, columns, values = counts.merged()
+        out = [(_SUMS, k, part, part, None, _sums(values[:, 0]))]
+        if k > 1:
+            own = values[:, 0] > 0
+            n, columns = values[own, 0], [c[own] for c in columns]
+            last = ending.merged()[1] if k == ORDER else columns
+            below = _Counts(k - 1, 5)
+            below.add(columns[:-1], np.stack([n * 0, n, n == 1, n == 2, n > 2], axis=1).astype(np.int64))
+            below.add(last[1:], np.repeat([[1, 0, 0, 0, 0]], len(last[0]), axis=0))
+            _, words, sums = below.merged()
+            target = dealing.part(words, _hashed(words))
+            order = np.argsort(target, kind="stable")
+            for p, a, b in _runs(target[order]):
+                pick = order[a:b]
+                out.append((_COUNTED, k - 1, p, part,
+                            _grams_blob([c[pick] for c in words], *sums[pick].T), None))
+        wanted, place, batch = merged(asked)
+        # Equal values have one number; the last row of values is that of n-grams without counts.
+        values = np.concatenate([values, np.zeros((1, values.shape[1]), np.int64)])
+        _, first, number = _numbered(_hashed([*values.T.astype(np.uint64)]))
+        order = np.lexsort(values[first].T)
+        first, number = first[order], np.argsort(order)[number]
+        if k < ORDER:  # most n-grams have followers of few counts: what these leave of t is small
+            values[:, 1] -= values[:, 2:] @ np.arange(1, 4)
+        found = np.full(len(wanted), number[-1])
+        if len(ids):
+            at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+            found = np.where(ids[at] == wanted, number[at], found)
+        for b, start, end in _runs(batch):
+            used, codes = np.unique(found[place[start:end]], return_inverse=True)
+            out.append((_ANSWER, k, b, part, _blob(codes, *values[first[used]].T), None))
+        return pa.Table.from_batches([_row_batch(out)])
+
+    def merged(asked: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in order; the distinct requests by batch, then hash, as places of hashes and batches."""
+        wanted, batch = [np.concatenate(c) for c in zip(*asked)]
+        wanted, place = np.unique(wanted, return_inverse=True)
+        key = _distinct(batch * max(len(wanted), 1) + place)
+        return wanted, key % max(len(wanted), 1), key // max(len(wanted), 1)
+
+    return rows.groupBy("key").applyInArrow(meet, _ROWS)
+
+
+@contextmanager
+def _short_lived(spark: SparkSession):
+    """Shuffle files go when a job has ended, as the next slice needs their place."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _answered(dealt: DataFrame, dealing: Dealing) -> DataFrame:
+    """The answers to all batches, and the sums."""
+    tables, words, later = [], [], F.col("kind") == _COUNTED
+    for s in range(dealing.slices):
+        high = settle(_answers(_requests(dealt, dealing, 3, s), dealing, 3), f"kn-3-{s}")
+        low = settle(_answers(_requests(dealt, dealing, 2, s).union(high.where(later)), dealing, 2),
+                     f"kn-2-{s}")
+        tables.append(settle(high.union(low).where(~later), f"kn-answers-{s}"))
+        discard(high)
+        words.append(settle(low.where(later), f"kn-words-{s}"))
+        discard(low)
+    for s in range(dealing.word_slices):
+        rows = _requests(dealt, dealing, 1, s)
+        for t in words:
+            rows = rows.union(t.where(F.floor(F.col("key") / dealing.word_parts) == s))
+        tables.append(settle(_answers(rows, dealing, 1), f"kn-1-{s}"))
+    discard(*words)
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def _scorer(rows: DataFrame) -> Scorer:
+    sums = {k: [0] * len(_SUMMED) for k in range(1, ORDER + 1)}
+    sums |= {r["level"]: [r[c] or 0 for c in _SUMMED] for r in rows.where(F.col("kind") == _SUMS)
+            .groupBy("level").agg(*[F.sum(F.col("sums")[i]).alias(c) for i, c in enumerate(_SUMMED)])
+            .collect()}
+    discounts = [_discount(sums[k][:4]) for k in range(1, ORDER + 1)]
+    n1, n2, _, _, grams, total = sums[1]
+    d1, d2, d3 = discounts[0]
+    return Scorer(WORDS, discounts, grams + 1, total, d1 * n1 + d2 * n2 + d3 * (grams - n1 - n2))
+
+
+def perplexities(docs: DataFrame, text: str = "text", own: str = "_known") -> DataFrame:
+    """Add n_grams and perplexity under the model of the texts that ``own`` marks, without the text;
+    these texts are scored without their own counts. Documents are dealt by a hash of all their
+    columns, so each slice finds the same batches."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     batches = int(size // BATCH_BYTES) + 1
-    # Batches bound a worker's memory, partitions the number of tasks: a task has many batches.
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(batches, max(least, int(size // PARTITION_BYTES) + 1))
+    slices, word_slices, score_slices = [min(x, batches) for x in (SLICES, WORD_SLICES, SCORE_SLICES)]
+    dealing = Dealing(slices, int(size // (slices * PART_BYTES)) + 1,
+                      word_slices, int(size // (word_slices * PART_BYTES)) + 1)
     rest = [c for c in docs.columns if c.lower() not in {text.lower(), *RESULTS}]
     dealt = (docs.select(*[F.col(f"`{c}`") for c in rest],
                          F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
              .withColumn("_batch", F.pmod(F.xxhash64(*[f"`{c}`" for c in rest], "_text"),
                                           F.lit(batches)).cast("int")))
-    packed = dealt.mapInArrow(_packed, "_batch int, _docs binary").repartition(parts, "_batch")
-    model = Model(counts, units)
-    scorer = model.scorer()
-
-    def ask(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in groups:
-            for batch, part in pdf.groupby("_batch"):
-                names: set[str] = set()
-                for blob in part["_docs"]:
-                    texts = _unpacked(blob)["_text"].to_pylist()
-                    for a, b in _portions(texts):
-                        grams = _Grams(texts[a:b], units)
-                        for k in range(1, units.order + 1):
-                            names.update(grams.used(k)[1])
-                yield pd.DataFrame({"_batch": np.full(len(names), batch, np.int32),
-                                    "gram": pd.Series(list(names), dtype=object)})
-
-    # A batch finds at most as many n-grams as its BATCH_BYTES hold.
-    answers = (packed.mapInPandas(ask, "_batch int, gram string").join(model.table, "gram")
-               .select("_batch", "gram", *[F.coalesce(c, F.lit(0)).alias(c) for c in "ntd"]))
-    schema = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in rest)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = dict(zip(right["gram"].to_pylist(),
-                         zip(*[right[c].to_pylist() for c in "ntd"])))
-        done = []
-        for blob in left["_docs"].to_pylist():
-            docs = _unpacked(blob)
-            texts = docs["_text"].to_pylist()
-            counted = np.array(docs[own].to_pylist(), float)
-            sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for a, b in _portions(texts):
-                grams = _Grams(texts[a:b], units)
-                logs = scorer.logs(grams, found, counted[a:b])
-                sums[a:b] = np.bincount(grams.which, logs, b - a)
-                n[a:b] = np.bincount(grams.which, minlength=b - a)
-            done.append(docs.select(rest).append_column("n_grams", pa.array(n, pa.int64()))
-                        .append_column("perplexity", pa.array(np.exp(-sums / np.maximum(n, 1)))))
-        if done:
-            return pa.concat_tables(done)
-        return pa.table({})
-
-    return (packed.groupBy("_batch").cogroup(answers.groupBy("_batch"))
-            .applyInArrow(score, f"{schema}, n_grams long, perplexity double"))
+    with _short_lived(spark):
+        rows = _answered(dealt.select("_batch", "_text", F.col(f"`{own}`").alias("_own")), dealing)
+        scorer = _scorer(rows)
+        answers = rows.where(F.col("kind") == _ANSWER).select(F.col("key").alias("_batch"), "level", "part", "blob")
+        schema = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in rest)
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            docs = pa.concat_tables([_unpacked(blob) for blob in left["_docs"].to_pylist()])
+            grams = _Hashed(docs["_text"].to_pylist())
+            level, blobs = right["level"].to_numpy(), right["blob"].to_pylist()
+            by_part = np.argsort(right["part"].to_numpy(), kind="stable")
+            ids, looked = [], []
+            for k in range(1, ORDER + 1):
+                ends, which = grams.ends(k)
+                columns = grams.columns(ends, k)
+                names, places, number = _numbered(_hashed(columns))
+                part = dealing.part([c[places] for c in columns], names)
+                got = [_arrays(blobs[i]) for i in by_part.tolist() if level[i] == k]
+                got = np.concatenate([scorer.values(k, np.stack(c, axis=1))[codes] for codes, *c in got])
+                values = np.zeros((len(names), 3))
+                order = np.argsort(part, kind="stable")
+                if len(got) != len(order):
+                    raise ValueError("a batch has not got an answer to each request")
+                values[order] = got
+                numbers = np.zeros(len(grams.flat), np.int64)
+                numbers[ends] = number
+                ids.append(numbers)
+                looked.append(values)
+            counted = np.array(docs[own].to_pylist(), bool)
+            logs = scorer.logs(ends, which, ids, looked, counted)
+            sums = np.bincount(which, logs, len(counted))
+            return (docs.select(rest).append_column("n_grams", pa.array(grams.sizes, pa.int64()))
+                    .append_column("perplexity", pa.array(np.exp(-sums / grams.sizes))))
+
+        # Batches bound a worker's memory, partitions the number of tasks: a task has many batches.
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = min(batches, max(least, int(size // PARTITION_BYTES) + 1))
+        out = None
+        for s in range(score_slices):
+            mine = F.col("_batch") % score_slices == s
+            packed = dealt.where(mine).mapInArrow(_packed, "_batch int, _docs binary").repartition(parts, "_batch")
+            done = settle(packed.groupBy("_batch").cogroup(answers.where(mine).groupBy("_batch"))
+                          .applyInArrow(score, f"{schema}, n_grams long, perplexity double"), f"perplexities-{s}")
+            out = done if out is None else out.union(done)
+    return out
 
 
 @shielded
@@ -368,10 +758,7 @@ def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
     rest = [F.col(f"`{c}`") for c in docs.columns]
     flagged = docs.join(marked, F.col(f"`{doc_id}`") == F.col("_tid"), "left").select(
         *rest, F.col("_tid").isNotNull().alias("_known"))
-    texts = flagged.where("_known").select(F.col(f"`{text}`").alias("_text"))
-    counts = settle(count_grams(texts.select(F.coalesce("_text", F.lit("")).alias("_text")), WORDS),
-                    "gram-counts")
-    scored = settle(perplexities(flagged, counts, text), "perplexities")
+    scored = perplexities(flagged, text)
     known = scored.where("_known")
     # Exact however large a language is: a sketch encloses the rank, the values between are counted.
     spoken = F.concat(F.lit("="), F.col(f"`{lang}`").cast("string"))
