@@ -399,6 +399,17 @@ def test_perplexity_requests_are_small(spark):
         assert rows.selectExpr("sum(length(blob))").first()[0] < 0.6 * size
 
 
+def test_perplexity_keeps_a_quantile_of_few(spark):
+    """At least the quantile of each language's trusted texts passes, however few they are."""
+    rng = np.random.default_rng(7)
+    rows = [(i, sentences(rng, 12), "abc"[i % 3]) for i in range(18)]
+    trusted = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
+    got = perplexity.judge(spark.createDataFrame(rows, SCHEMA), trusted).collect()
+    assert all(r.kept for r in got)
+    half = perplexity.judge(spark.createDataFrame(rows, SCHEMA), trusted, quantile=0.5).collect()
+    assert sum(r.kept for r in half) == 12  # of six values the fourth is the first to reach the median
+
+
 def test_perplexity_hears_word_order(spark):
     """Unseen texts in the usual order pass; the same words in senseless order do not."""
     rng = np.random.default_rng(6)

@@ -737,6 +737,15 @@ def perplexities(docs: DataFrame, text: str = "text", own: str = "_known") -> Da
     return out
 
 
+def _reached(values: DataFrame, keys: list[str], quantile: float) -> DataFrame:
+    """Per group the least perplexity that is not below the interpolated quantile. It is one of the
+    group's, so no small group loses its worst text only because there is one."""
+    marks = group_quantiles(values, keys, "perplexity", {"_mark": quantile}).drop("n")
+    v = F.col("perplexity")
+    return (values.join(marks, keys).groupBy(*keys)
+            .agg(F.coalesce(F.min(F.when(v >= F.col("_mark"), v)), F.max(v)).alias("_least")))
+
+
 @shielded
 def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
           lang: str = "lang", trusted_id: str = "doc_id", quantile: float = QUANTILE
@@ -745,8 +754,8 @@ def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
 
     ``trusted``: a table of ids. The model counts every trusted text, and each of these is scored
     without its own counts. kept:
-    perplexity at most the ``quantile`` of the trusted documents of the row's language (NULL is a
-    language of its own); a language without any takes the quantile of all trusted documents, and
+    perplexity at most the least one that reaches the ``quantile`` among the trusted documents of the
+    row's language (NULL is a language of its own); a language without any takes the quantile of all trusted documents, and
     without those everything is kept. A NULL or empty text is one end mark. Rows stay one to one;
     a NULL id is never trusted; empty tables are fine; input columns with result names are
     replaced. The trusted ids are broadcast up to ``BROADCAST_IDS`` of them, else both sides are
@@ -763,9 +772,9 @@ def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
     # Exact however large a language is: a sketch encloses the rank, the values between are counted.
     spoken = F.concat(F.lit("="), F.col(f"`{lang}`").cast("string"))
     values = known.select(F.coalesce(spoken, F.lit("")).alias("_lang"), "perplexity")
-    by_lang = group_quantiles(values, ["_lang"], "perplexity", {"_own": quantile}).drop("n")
-    overall = group_quantiles(values, [], "perplexity", {"v": quantile}).first()
-    overall = overall["v"] if overall else None
+    by_lang = _reached(values, ["_lang"], quantile).withColumnRenamed("_least", "_own")
+    overall = _reached(values.withColumn("_lang", F.lit("")), ["_lang"], quantile).first()
+    overall = overall["_least"] if overall else None
     rest = [F.col(f"`{c}`") for c in scored.columns if c != "_known"]
     return (scored.join(by_lang, F.coalesce(spoken, F.lit("")) == F.col("_lang"), "left")
             .withColumn("threshold", F.coalesce("_own", F.lit(overall).cast("double")))
