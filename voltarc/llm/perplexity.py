@@ -46,7 +46,7 @@ PORTION = 200_000  # characters that are numbered at a time, so that they stay i
 PART_BYTES = 6 << 20  # of text whose n-grams meet in a part, about
 HELD = 1 << 20  # n-grams that a task holds before it packs them
 MERGED = 1 << 20  # n-grams of blobs that a task holds before it merges them
-SLICES = 5  # of all bigrams, and with them of the n-grams that begin or end in them
+SLICES = 7  # of all bigrams, and with them of the n-grams that begin or end in them
 WORD_SLICES = 2
 SCORE_SLICES = 4  # of the batches
 BROADCAST_IDS = 2_000_000
@@ -753,10 +753,9 @@ def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
     """Add n_grams, perplexity, threshold and kept; the text is left out.
 
     ``trusted``: a table of ids. The model counts every trusted text, and each of these is scored
-    without its own counts. kept:
-    perplexity at most the least one that reaches the ``quantile`` among the trusted documents of the
-    row's language (NULL is a language of its own); a language without any takes the quantile of all trusted documents, and
-    without those everything is kept. A NULL or empty text is one end mark. Rows stay one to one;
+    without its own counts. kept: perplexity at most the least one that reaches the ``quantile`` among
+    the trusted documents of the row's language (NULL is a language of its own); a language without
+    any takes the quantile of all trusted documents, and without those everything is kept. A NULL or empty text is one end mark. Rows stay one to one;
     a NULL id is never trusted; empty tables are fine; input columns with result names are
     replaced. The trusted ids are broadcast up to ``BROADCAST_IDS`` of them, else both sides are
     shuffled.
