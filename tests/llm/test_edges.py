@@ -457,6 +457,43 @@ def test_repeats_over_batches():
     assert list(suffix_dedup._repeats(5)(iter([]))) == []
 
 
+def test_suffixes_wait_as_numbers():
+    """A batch whose passages are all hot holds few bytes a window, before the merge and in it."""
+    import tracemalloc
+
+    import pandas as pd
+    import zstandard
+
+    rng = np.random.default_rng(5)
+    line = bytes(rng.integers(97, 123, 400).astype(np.uint8))
+    texts = [bytes(rng.integers(97, 123, 200).astype(np.uint8)) + line for _ in range(200)]
+    found = [suffix_dedup.anchors(np.frombuffer(t, np.uint8)) for t in texts]
+    places = [(at << 16) | ((at - last) << 8) | (at - first) for at, _, first, last in found]
+    pdf = pd.DataFrame({"_doc": np.arange(200), "_txt": np.arange(200),
+                        "_z": [zstandard.compress(t) for t in texts], "_place": places,
+                        "_n": [np.full(len(p), 9) for p in places],
+                        "_h": [f[1].view(np.int64) for f in found]})
+    windows = 200 * (600 - suffix_dedup.LENGTH + 1)
+
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    wire, most = peak(lambda: pd.concat(list(suffix_dedup._runs(9, 50)(iter([pdf])))))
+    assert most < 250 * windows
+    ends = [np.frombuffer(s, np.int64).reshape(-1, 2) for s in wire["spans"].dropna()]
+    # the first text is the earliest; a letter before the line may be equal too
+    assert len(ends) == 199 and all(len(e) == 1 and 190 < e[0, 0] <= 200 and e[0, 1] == 600 for e in ends)
+
+    wire = pd.concat(list(suffix_dedup._runs(2000, 1)(iter([pdf[i:i + 1] for i in range(200)]))))
+    own = wire[wire["part"].notna()].assign(parts=1)
+    out, most = peak(lambda: suffix_dedup._equal_windows(own))
+    assert most < 1500 * sum(len(suffix_dedup._unpack(b)[0]) for b in own["run"])
+
+
 def test_texts_without_letters(spark):
     """Digits, fractions, superscripts and Roman numerals are no letters."""
     model = language_id.fit(spark.createDataFrame(

@@ -40,8 +40,10 @@ from voltarc.llm.common import discard, settle, shielded
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # pieces in a window, each a possible offset of its anchor
-HOT = 2000  # occurrences from which an anchor is split by offset
+HOT = 20_000  # occurrences from which an anchor is split by offset: a fifth of a partition
 PART_SUFFIXES = 100_000  # suffixes that a merge partition takes, about
+BLOCK = 1 << 16  # windows that are hashed at a time
+RUNS_A_BATCH = 256  # runs that leave a task together
 RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 LAST_ID = 2**63 - 1  # stands for a NULL id: after all others
 
@@ -253,49 +255,79 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int,
 _WIRE = "part long, run binary, _doc long, _txt long, spans binary"
 
 
+def _items(texts: list[bytes], places: pd.Series, counts: pd.Series, hashes: pd.Series, hot: int,
+           parts: int) -> tuple[np.ndarray, ...]:
+    """Numbers of a batch's suffixes: text, place, least and greatest offset, part. An anchor that is
+    hot gives one for each of its windows, in the part of the window's own bytes."""
+    text = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+    place = np.concatenate(places.to_list()).astype(np.int64)
+    at, low, high = place >> 16, (place >> 8) & 255, place & 255
+    part = np.concatenate(hashes.to_list()).astype(np.int64) % parts
+    often = np.concatenate(counts.to_list()) >= hot
+    rest, own = np.flatnonzero(~often), np.flatnonzero(often)
+    wide = high[own] - low[own] + 1
+    many = np.repeat(own, wide)
+    offset = low[many] + np.arange(len(many)) - np.repeat(np.cumsum(wide) - wide, wide)
+    dealt = np.empty(len(many), np.int64)
+    for a in range(0, len(many), BLOCK):
+        some = slice(a, a + BLOCK)
+        starts = zip(text[many[some]].tolist(), (at[many[some]] - offset[some]).tolist())
+        dealt[some] = [xxhash.xxh64_intdigest(texts[t][s:s + LENGTH]) % parts for t, s in starts]
+    pick = np.concatenate([rest, many])
+    return (text[pick].astype(np.int32), at[pick].astype(np.int32),
+            np.concatenate([low[rest], offset]).astype(np.uint8),
+            np.concatenate([high[rest], offset]).astype(np.uint8),
+            np.concatenate([part[rest], dealt]))
+
+
 def _runs(hot: int, parts: int):
-    """Pandas batches of documents with their repeated anchors -> runs and spans settled here."""
+    """Pandas batches of documents with their repeated anchors -> runs and spans settled here. A
+    batch's suffixes are numbers; their bytes are cut for one part at a time."""
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            # right, left reversed, least and greatest offset, document, its digest, place, part
-            items: list[tuple[bytes, bytes, int, int, int, int, int, int]] = []
-            for d, x, z, places, counts, hashes in zip(*[pdf[c] for c in (
-                    "_doc", "_txt", "_z", "_place", "_n", "_h")]):
-                b = zstandard.decompress(z)
-                for place, count, h in zip(places.tolist(), counts.tolist(), hashes.tolist()):
-                    at, low, high = place >> 16, (place >> 8) & 255, place & 255
-                    if count < hot:
-                        items.append((b[at:at + LENGTH - low], b[at - high:at][::-1], low, high,
-                                      d, x, at, h % parts))
-                        continue
-                    for o in range(low, high + 1):
-                        right, left = b[at:at + LENGTH - o], b[at - o:at][::-1]
-                        items.append((right, left, o, o, d, x, at,
-                                      xxhash.xxh64_intdigest(left + right) % parts))
-            items.sort(key=lambda i: (i[7], *i[:7]))
-            spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            kept: list[tuple] = []
-            for i in items:
-                if kept and kept[-1][:4] == i[:4] and kept[-1][7] == i[7]:
+            if pdf.empty:
+                continue
+            texts = [zstandard.decompress(z) for z in pdf["_z"]]
+            docs, digests = pdf["_doc"].tolist(), pdf["_txt"].tolist()
+            *numbers, part = _items(texts, pdf["_place"], pdf["_n"], pdf["_h"], hot, parts)
+            order = np.argsort(part, kind="stable")
+            ends = np.r_[np.flatnonzero(np.diff(part[order])) + 1, len(order)].tolist()
+            settled, rows, start = [], [], 0
+            for end in ends:
+                own = order[start:end]
+                start = end
+                # right, left reversed, least and greatest offset, document, its digest, place, text
+                items = sorted([
+                    (texts[t][at:at + LENGTH - low], texts[t][at - high:at][::-1], low, high,
+                     docs[t], digests[t], at, t)
+                    for t, at, low, high in zip(*[x[own].tolist() for x in numbers])])
+                kept, spans = items[:1], []
+                for i in items[1:]:
+                    if kept[-1][:4] != i[:4]:
+                        kept.append(i)
                     # An earlier one of this run is equal in every window that this one stands for.
-                    if kept[-1][4:7] != i[4:7]:
-                        spans.setdefault((i[4], i[5]), []).append(
-                            (i[6] - i[3], i[6] - i[2] + LENGTH))
-                else:
-                    kept.append(i)
-            rows = []
-            start = 0
-            for end in range(1, len(kept) + 1):
-                if end == len(kept) or kept[end][7] != kept[start][7]:
-                    own = kept[start:end]
-                    rows.append((own[0][7], _pack(own), None, None, None))
-                    start = end
-            for (d, x), s in spans.items():
-                rows.append((None, None, d, x, np.array(s, np.int64).tobytes()))
+                    elif kept[-1][4:7] != i[4:7]:
+                        spans.append((i[7], i[6] - i[3], i[6] - i[2] + LENGTH))
+                rows.append((int(part[own[0]]), _pack(kept), None, None, None))
+                if spans:
+                    settled.append(np.array(spans, np.int32))
+                if len(rows) == RUNS_A_BATCH:
+                    yield _wire(rows)
+                    rows = []
             yield _wire(rows)
+            if settled:
+                yield _wire([(None, None, docs[t], digests[t], s.tobytes())
+                             for t, s in _by_text(np.concatenate(settled))])
     return send
 
 
+def _by_text(spans: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of text, start and end -> each text with its joined spans."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")].astype(np.int64)
+    for own in np.split(spans, np.flatnonzero(np.diff(spans[:, 0])) + 1):
+        yield int(own[0, 0]), _joined(own[:, 1:])
+
+
 def _wire(rows: list[tuple]) -> pd.DataFrame:
     columns = list(zip(*rows)) if rows else [()] * 5
     return pd.DataFrame({name: pd.Series(list(c), dtype=kind) for name, c, kind in zip(
@@ -351,15 +383,15 @@ def _equal_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     age = np.empty(n, np.int64)  # by document, then place
     age[np.lexsort((ids[:, 2], ids[:, 1], ids[:, 0]))] = np.arange(n)
 
-    found = []
+    # Windows of one suffix overlap: together they are the span from its first to its last.
+    least, most = np.full(n, SPAN, np.int64), np.full(n, -1, np.int64)
     for o in range(SPAN):
-        here = (meta[:, 1] <= o) & (o <= meta[:, 2])
-        if not here.any():
+        mine = np.flatnonzero((meta[:, 1] <= o) & (o <= meta[:, 2]))
+        if not len(mine):
             continue
         right_group = np.cumsum(lcp_a < LENGTH - o)
         left_group = np.empty(n, np.int64)
         left_group[left_order] = np.cumsum(left_lcp < o) if o else 0
-        mine = np.flatnonzero(here)
         key = right_group[mine] * (n + 1) + left_group[mine]
         by = np.lexsort((age[mine], key))
         k = key[by]
@@ -371,26 +403,17 @@ def _equal_windows(pdf: pd.DataFrame) -> pd.DataFrame:
             (ids[later, 0] != ids[first, 0]) | (ids[later, 1] != ids[first, 1])
             | (ids[later, 2] != ids[first, 2]))
         hit = later[dup]
-        found.append(np.column_stack([ids[hit, 0], ids[hit, 1], ids[hit, 2] - o]))
-    if not found:
-        return pd.DataFrame({"bucket": pd.Series([], dtype="int64"),
-                             "run": pd.Series([], dtype=object)})
-    rows = _by_document(np.concatenate(found))
+        least[hit] = np.minimum(least[hit], o)
+        most[hit] = o
+    hit = np.flatnonzero(most >= 0)
+    rows = np.column_stack([ids[hit], ids[hit, 2] - least[hit] + LENGTH])
+    rows[:, 2] -= most[hit]
     bucket = (rows[:, 0] ^ rows[:, 1]) % int(pdf["parts"].iat[0])
-    numbers = np.unique(bucket)
-    return pd.DataFrame({"bucket": numbers, "run": pd.Series(
-        [zstandard.compress(rows[bucket == k].tobytes()) for k in numbers], dtype=object)})
-
-
-def _by_document(starts: np.ndarray) -> np.ndarray:
-    """document, digest, window start -> document, digest, start and end of joined spans"""
-    starts = starts[np.lexsort((starts[:, 2], starts[:, 1], starts[:, 0]))]
-    spans = np.column_stack([starts, starts[:, 2] + LENGTH])
-    new = np.ones(len(spans), bool)
-    new[1:] = ((np.diff(spans[:, 0]) != 0) | (np.diff(spans[:, 1]) != 0)
-               | (spans[1:, 2] > spans[:-1, 3]))
-    ends = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(spans) - 1]]).astype(np.int64)
-    return np.column_stack([spans[new][:, :3], spans[ends[:new.sum()], 3]]) if len(spans) else spans
+    order = np.argsort(bucket, kind="stable")
+    own = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    return pd.DataFrame({
+        "bucket": np.array([bucket[o[0]] for o in own], np.int64),
+        "run": pd.Series([zstandard.compress(rows[o].tobytes()) for o in own], dtype=object)})
 
 
 def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
