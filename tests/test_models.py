@@ -299,6 +299,16 @@ def test_budgets_are_scaled_together():
     assert models.PRESETS["xgb"].patience * s == 200 and models.FOREST.trees * s == 600
 
 
+def test_queries_fit_the_published_budgets():
+    """Held-out models get all rounds, trees and patience; a round's step is the published one."""
+    from voltarc.plans import catalog
+
+    assert [(s.trees, s.step, s.patience) for s in catalog.GROUPS["gbt"]] == [
+        (4000, 0.03, 200), (5000, 0.03, None), (5000, 0.03, 200)]
+    assert catalog.GROUPS["gbt"][2].min_rows == 200
+    assert [s.trees for g in ("rf", "seq") for s in catalog.GROUPS[g]] == [600, 600]
+
+
 def test_segment_pools(spark):
     rows = spark.createDataFrame(
         [("VAH01", 1, 3, s, float(x)) for s, x in enumerate([1, 5, 3, 8])]
