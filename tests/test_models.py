@@ -309,6 +309,24 @@ def test_queries_fit_the_published_budgets():
     assert [s.trees for g in ("rf", "seq") for s in catalog.GROUPS[g]] == [600, 600]
 
 
+@pytest.mark.parametrize("flat", [0, 1 << 20])
+def test_histograms_hold_codes_that_occur(flat, monkeypatch):
+    """Codes that no counted row has take no place, whichever way sums are made; cuts stay the same."""
+    monkeypatch.setattr(grower, "FLAT_CELLS", flat)
+    rng = np.random.default_rng(3)
+    codes = rng.choice([3, 90, 200, 250], (60, 3)).astype(np.uint8)
+    codes[40:, 0] = 120  # not among the counted rows
+    gradient, weight = rng.integers(-9, 9, 60), rng.integers(1, 3, 40)
+    tables = grower.Histograms(codes, np.array([True, True, False]), np.arange(40))
+    assert tables.width == 8 and set(tables.code.tolist()) == {3, 90, 200, 250}
+    slot = rng.integers(0, 2, 40)
+    n, g = tables.sums(slot, np.arange(40), weight, gradient, 2)
+    for s in range(2):
+        for f, c, rows, pull in zip(tables.feature, tables.code, n[s], g[s]):
+            own = (slot == s) & (codes[:40, f] == c)
+            assert rows == weight[own].sum() and pull == (weight * gradient[:40])[own].sum()
+
+
 def test_segment_pools(spark):
     rows = spark.createDataFrame(
         [("VAH01", 1, 3, s, float(x)) for s, x in enumerate([1, 5, 3, 8])]
