@@ -259,6 +259,30 @@ def test_importance_equals_one_forest_in_one_place(table, monkeypatch):
     assert perm["flat"].perm_importance_mean == 0
 
 
+def test_shuffled_features_are_walked_where_they_matter(monkeypatch):
+    """Predictions with one feature shuffled equal those of whole rows; a tree is walked again only
+    for rows whose path tests the feature."""
+    rng = np.random.default_rng(6)
+    codes, others = (rng.integers(0, 30, (400, 70)).astype(np.uint8) for _ in range(2))
+    others = [others, others[::-1]]
+    y = codes[:, 0] + 0.3 * codes[:, 69] + rng.normal(size=400)
+    own = grower.Settings("importance", 5, depth=12, boost=False, seed=42)
+    base, trees, _ = grower.importance_trees(
+        codes, y, np.arange(400, dtype=np.uint64), own, grower.Scale.of(y.min(), y.max()), range(5))
+    walked, walk = [], grower.walk_changed
+    monkeypatch.setattr(grower, "walk_changed", lambda tree, c, rows, *rest: (
+        walked.append(len(rows)), walk(tree, c, rows, *rest))[1])
+    got = grower.shuffled_guesses(base, trees, codes, others)
+    assert got.shape == (400, 1 + 70 * 2)
+    assert np.allclose(got[:, 0] / 5, grower.predict(base, trees, codes, own))
+    for j in range(70):
+        for r, z in enumerate(others):
+            x = codes.copy()
+            x[:, j] = z[:, j]
+            assert np.allclose(got[:, 1 + 2 * j + r] / 5, grower.predict(base, trees, x, own))
+    assert sum(walked) < 0.25 * 400 * 70 * 2 * 5
+
+
 def test_every_model_meets_every_task(spark, monkeypatch):
     """Boosters and pooled sequences too get SOC, SOH and all three levels, each with features and
     with the library's settings."""
