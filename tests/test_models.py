@@ -129,6 +129,24 @@ def test_rows_that_stay_grow_the_same_trees(table):
     assert [r.y_pred for r in a] == pytest.approx([r.y_pred for r in b], abs=1e-9)
 
 
+def test_held_rows_grow_the_same_trees(spark, table, monkeypatch):
+    """Models too large for a group, but not for their codes, are not spread; rows come in batches."""
+    settings = [replace(models.FOREST, trees=5, depth=4),
+                replace(models.PRESETS["lightgbm"], trees=4, leaves=5, min_rows=4, patience=1)]
+    args = (table, ["signal", "noise"], "y", KEYS, settings)
+    key = lambda r: (r.model, r.cell_id, r.mission_id)
+    one = sorted(held_out(*args).collect(), key=key)
+    monkeypatch.setattr(grower, "_spread", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        two = sorted(held_out(*args, local_cells=100).collect(), key=key)  # 160 x 2 cells
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(one) == 2 * 160
+    assert [(key(r), r.rounds, r.y_true) for r in one] == [(key(r), r.rounds, r.y_true) for r in two]
+    assert [r.y_pred for r in one] == pytest.approx([r.y_pred for r in two], abs=1e-12)
+
+
 @pytest.mark.parametrize("changes", [{}, {"leaves": 7, "depth": 30}, {"rows": 0.8, "columns": 0.5},
                                      {"boost": False, "min_rows": 2}])
 def test_histograms_count_the_smaller_child(changes, monkeypatch):
